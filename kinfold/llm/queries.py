@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm._base import read
+from kinfold.session import ship
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +16,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"), window=50)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.quality_classifier import classify
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, read(spark, sf_dir, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.secret_scan import digest, scan_secrets
+
+    return digest(scan_secrets(read(spark, sf_dir, "documents")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.decontamination import find_benchmark
+
+    found = find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(ship(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: _shipped(f) for k, f in globals().items() if k.startswith("op")}
