@@ -44,6 +44,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.nearest_neighbours import nearest
 
