@@ -41,7 +41,13 @@ TEMPLATES = {
 def word_list(text: Column) -> Column:
     """Lower-cased (A-Z) words of ASCII letters, digits and everything beyond ASCII."""
     upper = "".join(map(chr, range(65, 91)))
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    return F.filter(parts, lambda w: w != "")  # a gap at either end leaves an empty part
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    """doc_id and w, the words; made by a generator, so that the optimizer can't repeat the splitting in each use of w."""
+    return docs.select("doc_id", F.explode(F.array(word_list(F.col("text")))).alias("w"))
 
 
 def _places(words: Column, padded: Column, phrase: str) -> Column:
@@ -69,7 +75,7 @@ def scan_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templat
     known = docs.sparkSession.createDataFrame(list((templates or TEMPLATES).items()), "label string, body string")
     known = known.select("label", _grams(word_list(F.col("body")), k).alias("g"))
     known = known.select("label", F.size("g").alias("grams"), F.posexplode("g").alias("t", "h"))
-    at = docs.select("doc_id", word_list(F.col("text")).alias("w")).select("doc_id", F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
+    at = with_words(docs).select("doc_id", F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
     hits = at.join(F.broadcast(known), "h").withColumn("diagonal", F.col("p") - F.col("t"))
     votes = hits.groupBy("doc_id", "label", "grams", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     order = W.partitionBy("doc_id", "label").orderBy("diagonal")
@@ -87,7 +93,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     ``score`` is 1 with a base phrase, else the largest coverage of a verified span, else 0.
     """
     phrases = phrases or PHRASES
-    rows = texts(docs, key, text).select("doc_id", word_list(F.col("text")).alias("w"))
+    rows = with_words(texts(docs, key, text))
     rows = rows.withColumn("padded", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     names = [f"at_{i}" for i in range(len(phrases))]
     rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), *(_places(F.col("w"), F.col("padded"), p).alias(n) for n, p in zip(names, phrases, strict=True)))
