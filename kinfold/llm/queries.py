@@ -23,6 +23,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, read(spark, sf_dir, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.secret_scan import digest, scan_secrets
 
