@@ -62,6 +62,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.katz_lm import score
+
+    return score(read(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
