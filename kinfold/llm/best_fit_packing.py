@@ -1,8 +1,8 @@
 """Best-fit packing: documents become token pieces, a grouping genetic algorithm puts them into sequences.
 
 Method: a text's ids come from a public tokenizer, followed by one end id; only what is longer than ``capacity`` is cut.
-A batch's distinct white-space words are tokenised once and cached, which gives the same ids because the tokenizer's own
-splitting never crosses white space.  Pieces (no ids, only their lengths and checksums) are written to a table and dealt
+A batch's distinct units (words, parted where the tokenizer's own splitting always parts them) are tokenised once and
+cached, which gives the same ids.  Pieces (no ids, only their lengths and checksums) are written to a table and dealt
 by hash into shards of about ``shard`` pieces.  Each shard is solved on several *islands*: a population of groupings,
 begun by randomised best-fit decreasing; crossover injects the best-filled bins of one parent into another, drops the
 bins that hold the same pieces, and best-fits the displaced ones.  Between epochs each island's best grouping migrates to
@@ -16,6 +16,7 @@ pieces; ties are broken by doc_id and piece; an empty table gives an empty resul
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._base import stored, texts
-from kinfold.llm._words import SPACE, chunks, record_batch, words
+from kinfold.llm._words import LOWER, SPACE, chunks, record_batch
+
+#: Kinds of bytes, after lower-casing: the tokenizer's splitting (letters, single digits, other characters) always parts
+#: ASCII letters from ASCII punctuation, but for the apostrophe, and each digit from everything.
+_GAP, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[48:58], _KIND[97:123], _KIND[ord("'")], _KIND[SPACE] = _DIGIT, _LETTER, _OTHER, _GAP
+_PARTS = np.zeros((5, 5), bool)
+_PARTS[_GAP, :] = _PARTS[_DIGIT, :] = _PARTS[:, _DIGIT] = True
+_PARTS[_LETTER, _MARK] = _PARTS[_MARK, _LETTER] = True
+#: Letters that stay single letters when normalised and lower-cased.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 _LOADED: dict[str, WordIds] = {}
 
@@ -34,12 +47,14 @@ _LOADED: dict[str, WordIds] = {}
 class WordIds:
     """Token ids by word, with a cache that starts anew when it holds ``most`` words."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -48,39 +63,55 @@ class WordIds:
         self.used = 0
 
     def _add(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        n, sizes = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
+        """Tokenise units: those of plain letters many at a time (each ends with one word-end token), the others singly."""
+        texts_ = [w.decode() for w in new]
+        plain = [bool(_LETTERS.fullmatch(t)) for t in texts_]
+        easy = [t for t, p in zip(texts_, plain, strict=True) if p]
+        joined = self.tokenizer.encode_batch_fast([" ".join(easy[i : i + 256]) for i in range(0, len(easy), 256)], add_special_tokens=False)
+        ids = np.fromiter((i for e in joined for i in e.ids), np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(easy) or (len(stop) and stop[-1] != len(ids)):
+            raise ValueError("the tokenizer doesn't mark word ends as expected")
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, p in zip(texts_, plain, strict=True) if not p], add_special_tokens=False)]
+        new = [w for w, p in zip(new, plain, strict=True) if p] + [w for w, p in zip(new, plain, strict=True) if not p]
+        sizes = np.concatenate([np.diff(stop, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+        ids = np.concatenate([ids, np.fromiter((i for x in rest for i in x), np.uint32)])
+        n, total = len(self.place), len(ids)
         while len(self.size) < n + len(new):
-            self.size, self.begin = (np.concatenate([a, np.zeros_like(a)]) for a in (self.size, self.begin))
+            self.size, self.begin = (np.concatenate([v, np.zeros_like(v)]) for v in (self.size, self.begin))
         while len(self.pool) < self.used + total:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.size[n : n + len(new)] = sizes
         self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.pool[self.used : self.used + total] = ids
         self.used += total
         self.place.update(zip(new, range(n, n + len(new)), strict=True))
 
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk, and where each text's begin."""
-        w = words(buf, offs, SPACE, hashes=False)
-        if not len(w.start):
+        buf = LOWER[buf]
+        kind = _KIND[buf]
+        inside = kind != _GAP
+        if not inside.any():
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        length = w.end - w.start
-        ends = np.zeros(len(length) + 1, np.int32)
-        np.cumsum(length, out=ends[1:])
-        inside = buf[~SPACE[buf]]
-        coded = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(inside)]).dictionary_encode()
+        begins = inside.copy()  # a unit begins after a gap, at a text's begin, and where the kinds surely part
+        begins[1:] &= _PARTS[kind[:-1], kind[1:]]
+        at_text = offs[:-1][offs[:-1] < len(buf)]
+        begins[at_text] = inside[at_text]
+        start = np.flatnonzero(begins)
+        first = np.searchsorted(start, offs)
+        ends = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(buf[inside])]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.place) + len(distinct) > self.most:
             self.clear()
         if new := [x for x in distinct if x not in self.place]:
             self._add(new)
-        at = np.fromiter((self.place[x] for x in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         size = self.size[at]
         stop = np.cumsum(size)
         ids = self.pool[np.repeat(self.begin[at] - stop + size, size) + np.arange(stop[-1])]
-        return ids, np.concatenate([[0], stop])[w.first]
+        return ids, np.concatenate([[0], stop])[first]
 
 
 def _word_ids(path: str) -> WordIds:
@@ -96,7 +127,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         coder = _word_ids(path)
         end = np.array([end_id], "<u4")
         for b in batches:
-            for lo, hi, buf, offs in chunks(b, limit=2 << 20):
+            for lo, hi, buf, offs in chunks(b, limit=4 << 20):
                 ids, at = coder.ids(buf, offs)
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for i, d in enumerate(b.column(0).slice(lo, hi - lo).to_pylist()):
