@@ -9,7 +9,7 @@ emits its empty parts, so every link is covered.
 
 Signatures travel as compressed blobs, a row for each batch of texts and part of the signature space, sized so that a part
 holds about ``part_rows`` of them.  A bucket of equal signatures yields a star of candidates around its least document, not
-all pairs.  Stars are pruned by an exact lower bound of the difference (1,024-bit parity sketches), the rest are verified on
+all pairs.  Stars are pruned by an exact lower bound of the difference (2,048-bit parity sketches), the rest are verified on
 the whole texts, and components follow.  Then only buckets that still hold several components are looked at again: their
 pairs across components, pruned by the same bound, are verified too, which completes the components exactly.
 
@@ -32,7 +32,8 @@ from kinfold.llm._base import stored, texts
 from kinfold.llm._components import components
 from kinfold.llm._words import SPACE, chunks, grams, lists, mix, record_batch, seeds, words
 
-WORDS = 64  # of 16 bits: the sketch has 1,024 bits, kept in 16 longs
+#: Longs of a parity sketch, of 64 bits each.
+LONGS = 32
 _K = seeds(8, 4242)
 
 
@@ -81,22 +82,23 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
         inst = band - back
         top = ends[np.clip(inst + 1, 0, len(ends) - 1)] - 1  # the largest size of the instance's lower band
         most = _differ(top + top * 100 // percent, percent)
-        parts = np.where((inst >= 0) & (most > 0) & (size > 0), (most + 1) * 112 // 100 + 3, 0)
+        parts = np.where((inst >= 0) & (most > 0) & (size > 0), (most + 1) * 144 // 100 + 3, 0)
         begin = np.cumsum(parts) - parts
         use = parts[owner] > 0
         o, x = owner[use], h[use]
-        where = (mix(x ^ _K[0]) % parts[o].astype(np.uint64)).astype(np.int64)
+        cell = begin[o] + (mix(x ^ _K[0]) % parts[o].astype(np.uint64)).astype(np.int64)
         total = int(parts.sum())
         acc = np.zeros(total, np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(acc, begin[o] + where, mix(x ^ _K[1]))
-            count = np.bincount(begin[o] + where, minlength=total)
+            np.add.at(acc, cell, mix(x ^ _K[1]))
+            count = np.bincount(cell, minlength=total)
             doc = np.repeat(np.arange(len(size)), parts)
             part = np.arange(total) - np.repeat(begin, parts)
             sig = mix(acc + mix(inst[doc].astype(np.uint64) * _K[2] + part.astype(np.uint64)))
-        filled = np.bincount(doc, count > 0, len(size))
-        weak = filled < most + 1
-        keep = (count > 0) | weak[doc]
+        # A link of a set of the lower band reaches up to size / percent, one of the upper band down to the lower band's top.
+        apart = _differ(size + np.where(back, top, size * 100 // percent), percent)
+        weak = np.bincount(doc, count > 1, len(size)) < apart + 1
+        keep = (count > 1) | weak[doc]
         docs.append(doc[keep])
         sigs.append(sig[keep])
     return np.concatenate(docs), np.concatenate(sigs)
@@ -116,10 +118,10 @@ def _describe(size: int):
                         acc = np.zeros(m, np.uint64)
                         np.add.at(acc, owner, mix(h ^ _K[k]))
                         sums.append(mix(acc).view(np.int64))
-                bit = (mix(h ^ _K[5]) & np.uint64(1023)).astype(np.int64)
-                odd = np.bincount(owner * 1024 + bit, minlength=m * 1024).reshape(m, 1024) & 1
+                bit = (mix(h ^ _K[5]) & np.uint64(64 * LONGS - 1)).astype(np.int64)
+                odd = np.bincount(owner * (64 * LONGS) + bit, minlength=m * 64 * LONGS).reshape(m, -1) & 1
                 sketch = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
-                yield record_batch(schema, doc_id=b.column(0).slice(lo, m), n=n, one=sums[0], two=sums[1], sketch=lists(sketch.ravel(), np.full(m, 16), pa.int64()))
+                yield record_batch(schema, doc_id=b.column(0).slice(lo, m), n=n, one=sums[0], two=sums[1], sketch=lists(sketch.ravel(), np.full(m, LONGS), pa.int64()))
 
     return run, "doc_id long, n long, one long, two long, sketch array<long>"
 
@@ -152,7 +154,7 @@ def _emit(size: int, percent: int, parts: int):
 
 
 def _buckets(t: pa.Table) -> pa.Table:
-    """Of one part: the documents of each bucket of several, one bucket for each set of documents."""
+    """Of one part: the distinct pairs of a bucket's least document and each other one."""
     unpack = zstandard.ZstdDecompressor()
     raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in t["sigs"].to_pylist()])
     wide = np.zeros((len(raw), 8), np.uint8)
@@ -161,18 +163,15 @@ def _buckets(t: pa.Table) -> pa.Table:
     doc = np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(x), "<i8")) for x in t["docs"].to_pylist()])
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-    sig, doc = sig[new], doc[new]
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    size = np.diff(np.append(first, len(sig)))
-    with np.errstate(over="ignore"):
-        made = np.add.reduceat(mix(doc.astype(np.uint64)), first)
-    _, once = np.unique(made, return_index=True)  # buckets of the same documents say the same
-    once = once[size[once] > 1]
-    size, first = size[once], first[once]
-    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return pa.table({"bucket": pa.array(np.repeat(made[once].view(np.int64), size)), "center": pa.array(np.repeat(doc[first], size)), "doc": pa.array(doc[at])})
+    center = np.repeat(doc[first], np.diff(np.append(first, len(sig))))
+    other = center != doc
+    center, doc = center[other], doc[other]
+    order = np.lexsort((doc, center))
+    center, doc = center[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (center[1:] != center[:-1]) | (doc[1:] != doc[:-1])
+    return pa.table({"center": pa.array(center[new]), "doc": pa.array(doc[new])})
 
 
 def _verify(size: int, percent: int):
@@ -204,7 +203,7 @@ def _verify(size: int, percent: int):
 def _close(a: str, b: str, percent: int) -> Column:
     """Whether sizes and parity sketches allow a link; never false for a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))) for i in range(16)), F.lit(0))
+    apart = sum((F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
@@ -231,21 +230,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) * 6 // 10 // part_rows))
     fn, ddl = _emit(size, percent, parts)
-    buckets = stored(ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "bucket long, center long, doc long"), "buckets")
+    stars = ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long")
+    stars = stored(stars.distinct(), "stars")
 
     known = base.select(F.col("doc_id"), "n", "sketch")
-    stars = buckets.where("center != doc").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = stars.join(known.alias("y"), F.col("b") == F.col("y.doc_id")).join(known.alias("x"), F.col("a") == F.col("x.doc_id"))
-    stars = stored(stars.where(_close("x", "y", percent)).select("a", "b"), "stars")
-    links = stored(_links(stars, docs, size, percent), "verified")
+    near = stars.select(F.col("center").alias("a"), F.col("doc").alias("b"))
+    near = near.join(known.alias("y"), F.col("b") == F.col("y.doc_id")).join(known.alias("x"), F.col("a") == F.col("x.doc_id"))
+    near = stored(near.where(_close("x", "y", percent)).select("a", "b"), "candidates")
+    links = stored(_links(near, docs, size, percent), "verified")
     roots = stored(components(links), "roots")
 
-    of = buckets.join(roots, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = of.join(mixed, "bucket").join(known, F.col("doc") == F.col("doc_id")).select("bucket", "doc", "root", "n", "sketch")
+    # Documents that share a bucket share its center, so the pairs left to look at meet under a center.
+    of = stars.unionByName(stars.select("center", F.col("center").alias("doc")).distinct())
+    of = of.join(roots, F.col("doc") == F.col("node"), "left").select("center", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = of.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("center")
+    open_ = of.join(mixed, "center", "left_semi").join(known, F.col("doc") == F.col("doc_id")).select("center", "doc", "root", "n", "sketch")
     open_ = stored(open_, "open")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
-    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.center") == F.col("y.center")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
+    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     more = stored(_links(pairs, docs, size, percent), "verified")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
