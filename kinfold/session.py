@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +41,28 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, Path(here.name) / p.relative_to(here))
         spark.sparkContext.addPyFile(target)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only in local mode."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or os.environ.get("KINFOLD_SHARED_DIR")
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = os.path.join(tempfile.gettempdir(), f"kinfold-{os.getpid()}")
+        os.environ["KINFOLD_SHARED_DIR"] = where
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step of a loop as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
