@@ -29,7 +29,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's code to the executors, once per application, so that Python workers can import it."""
+    """Send this package's code to the executors, once per application, so that Python workers can import it.
+
+    Batches for Python are made smaller than by default, unless the session sets them: long texts and the memory of two
+    workers beside a heap are what an executor has to hold.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         _SHIPPED.add(app)
