@@ -119,8 +119,12 @@ def _describe(size: int):
                         np.add.at(acc, owner, mix(h ^ _K[k]))
                         sums.append(mix(acc).view(np.int64))
                 bit = (mix(h ^ _K[5]) & np.uint64(64 * LONGS - 1)).astype(np.int64)
-                odd = np.bincount(owner * (64 * LONGS) + bit, minlength=m * 64 * LONGS).reshape(m, -1) & 1
-                sketch = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+                sketch = np.zeros((m, LONGS), "<i8")
+                for at in range(0, m, 256):  # short texts come by the thousand
+                    x, y = np.searchsorted(owner, (at, at + 256))
+                    k = min(256, m - at)
+                    odd = np.bincount((owner[x:y] - at) * (64 * LONGS) + bit[x:y], minlength=k * 64 * LONGS).reshape(k, -1) & 1
+                    sketch[at : at + k] = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
                 yield record_batch(schema, doc_id=b.column(0).slice(lo, m), n=n, one=sums[0], two=sums[1], sketch=lists(sketch.ravel(), np.full(m, LONGS), pa.int64()))
 
     return run, "doc_id long, n long, one long, two long, sketch array<long>"
@@ -207,12 +211,20 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole texts."""
+def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, few: int = 2000) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole texts.
+
+    Up to ``few`` pairs, counted, are broadcast to where the texts are; more are joined by shuffle, both ends by one
+    partitioning of the texts.
+    """
     a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     fn, ddl = _verify(size, percent)
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    if pairs.count() <= few:
+        both = b.join(F.broadcast(pairs), "b").join(a.join(F.broadcast(pairs), "a"), ["a", "b"])
+    else:
+        both = pairs.hint("merge").join(b, "b").hint("merge").join(a, "a")
+    both = both.select("a", "b", "text_a", "text_b")
     return both.mapInArrow(fn, ddl).where("linked").select("a", "b")
 
 
@@ -224,17 +236,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = base.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
     named = base.drop("sketch").join(first, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = stored(named, "first-copies")
-    # Exact copies and sets too small for inexact links (under four shingles) have nothing more to find.
-    idle = named.where("rep != doc_id or n < 4").select("doc_id")
-    ours = docs.join(idle, "doc_id", "left_anti")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) * 6 // 10 // part_rows))
     fn, ddl = _emit(size, percent, parts)
-    stars = ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long")
-    stars = stored(stars.distinct(), "stars")
+    stars = docs.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct()
+    copies = named.where("rep != doc_id").select("doc_id", "rep")  # stand-ins for exact copies
+    for c in ("center", "doc"):
+        stars = stars.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("center", "doc")
+    stars = stored(stars.where("center != doc").distinct(), "stars")
 
     known = base.select(F.col("doc_id"), "n", "sketch")
-    near = stars.select(F.col("center").alias("a"), F.col("doc").alias("b"))
+    near = stars.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
     near = near.join(known.alias("y"), F.col("b") == F.col("y.doc_id")).join(known.alias("x"), F.col("a") == F.col("x.doc_id"))
     near = stored(near.where(_close("x", "y", percent)).select("a", "b"), "candidates")
     links = stored(_links(near, docs, size, percent), "verified")
@@ -247,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     open_ = of.join(mixed, "center", "left_semi").join(known, F.col("doc") == F.col("doc_id")).select("center", "doc", "root", "n", "sketch")
     open_ = stored(open_, "open")
     pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.center") == F.col("y.center")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
-    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    pairs = stored(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
     more = stored(_links(pairs, docs, size, percent), "verified")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

@@ -57,18 +57,32 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = "block long, docs binary, train binary, sizes binary, vocabulary binary, tokens binary, n_words long"
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = 28 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, to about ``most`` bytes: fewer blocks ask for less twice."""
+    group, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            group.append(b)
+            size += b.nbytes
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens are indexes into the block's words, an end token after each text's."""
     schema = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("docs", "train", "sizes", "vocabulary", "tokens")), ("n_words", pa.int64())])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, train = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+    for group in _grouped(batches):
+        ids, train = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in group]) for i in (0, 2))
         hs, ns = [], []
-        for _, _, buf, offs in chunks(b):
-            w = words(buf, offs, SPACE, lower=True)
-            hs.append(np.insert(w.hash, w.first[1:], _END))
-            ns.append(np.diff(w.first))
+        for b in group:
+            for _, _, buf, offs in chunks(b):
+                w = words(buf, offs, SPACE, lower=True)
+                hs.append(np.insert(w.hash, w.first[1:], _END))
+                ns.append(np.diff(w.first))
+        del group
         n = np.concatenate(ns)
         h = np.concatenate(hs)
         del hs
