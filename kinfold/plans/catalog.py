@@ -364,7 +364,7 @@ def lineage_avuncular(spark, sf):
 
 # Checks over the dirty variant ---------------------------------------------------------------------------------------
 
-_OPTIONS = validation.Options(birth_year="birth_year", multiple_birth="twin_set", zygosity="zygosity", birth_year_max=2026, max_children_mother=10, max_children_father=10)
+_OPTIONS = validation.Options(birth_year="birth_year", multiple_birth="twin_set", zygosity="zygosity", birth_year_max=2026, min_parent_age=12, max_parent_age=80, max_children_mother=10, max_children_father=10)
 
 
 def _report(spark: SparkSession, sf: str) -> validation.Report:

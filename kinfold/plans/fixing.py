@@ -74,12 +74,11 @@ def reduce_pedigree(raw: DataFrame, options: Options, most: int | None = None) -
     while True:
         k += 1
         report = validate(now, options)
-        bad = report.findings.where(F.col("check").isin(*report.failed("block_or_drop", "keep_or_drop"))).where("id is not null")
+        bad = report.findings.where(F.col("check").isin(*report.failed("block_or_drop", "keep_or_drop"))).where("id is not null").select("id", "check").distinct()
+        go = bad.where("check != 'acyclic'").select("id")
         if "acyclic" in report.failed("block_or_drop"):
-            inside = cycle_components(report.context.ped, report.context.depths()).select(F.col("id").cast("string").alias("id"))
-            own = report.context.ped.where("id = mother or id = father").select(F.col("id").cast("string").alias("id"))
-            bad = bad.where("check != 'acyclic'").unionByName(bad.where("check = 'acyclic'").join(inside.unionByName(own).distinct(), "id", "left_semi"))
-        bad = stored(bad.select("id", "check").distinct().withColumn("round", F.lit(k)), "dropped")
+            go = go.unionByName(cycle_components(report.context.ped, report.context.depths()).select(F.col("id").cast("string").alias("id")))
+        bad = stored(bad.join(go.distinct(), "id", "left_semi").select("id", "check", F.lit(k).alias("round")), "dropped")
         if bad.isEmpty() or k > limit or report.failed("block"):
             return Reduction(report, now, dropped, k)
         dropped = dropped.unionByName(bad)
