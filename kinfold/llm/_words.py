@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,14 @@ LOWER[65:91] += 32
 LOWER_TABLE = LOWER.tobytes()
 
 #: Bytes of text handled at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +60,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that lives on shares its machine with a heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class Words(NamedTuple):
     """``start``/``end``: byte ranges in ``buf``; ``first[i]:first[i+1]`` are the words of text i; ``hash``: 64 bits of each word."""
 
@@ -85,6 +100,16 @@ def chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK) -> Ite
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    trim()
+
+
+def hash_runs(dense: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs dense[at[i]:at[i + 1]]."""
+    length = np.diff(at)
+    with np.errstate(over="ignore"):
+        terms = _powers(int(length.max()))[np.arange(len(dense)) - np.repeat(at[:-1], length)]
+        terms *= _BYTE[dense]
+        return mix(np.add.reduceat(terms, at[:-1]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def words(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE, lower: bool = False, hashes: bool = True) -> Words:
@@ -104,14 +129,9 @@ def words(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE, lower: bo
     first = np.searchsorted(start, offs)
     h = np.zeros(len(start), np.uint64)
     if hashes and len(start):
-        with np.errstate(over="ignore"):
-            length = end - start
-            where = np.flatnonzero(inside)
-            at = np.zeros(len(start) + 1, np.int64)
-            np.cumsum(length, out=at[1:])
-            within = np.arange(len(where)) - np.repeat(at[:-1], length)
-            h = np.add.reduceat(_BYTE[buf[where]] * _powers(int(length.max()))[within], at[:-1])
-            h = mix(h + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=at[1:])
+        h = hash_runs(buf[inside], at)
     return Words(buf, start, end, first, h)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._base import stored, texts
-from kinfold.llm._words import LOWER, SPACE, chunks, record_batch
+from kinfold.llm._words import LOWER, SPACE, chunks, hash_runs, record_batch
 
 #: Kinds of bytes, after lower-casing: the tokenizer's splitting (letters, single digits, other characters) always parts
 #: ASCII letters from ASCII punctuation, but for the apostrophe, and each digit from everything.
@@ -45,9 +45,9 @@ _LOADED: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Token ids by word, with a cache that starts anew when it holds ``most`` words."""
+    """Token ids by unit, cached by a 64-bit hash in sorted arrays (some 30 bytes each); starts anew at ``most`` units."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,34 +58,31 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.size, self.begin, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.keys, self.size, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, new: list[bytes]) -> None:
+    def _add(self, new: list[bytes], keys: np.ndarray) -> None:
         """Tokenise units: those of plain letters many at a time (each ends with one word-end token), the others singly."""
         texts_ = [w.decode() for w in new]
-        plain = [bool(_LETTERS.fullmatch(t)) for t in texts_]
-        easy = [t for t, p in zip(texts_, plain, strict=True) if p]
+        plain = np.fromiter((_LETTERS.fullmatch(t) is not None for t in texts_), bool, len(new))
+        easy = [t for t, p in zip(texts_, plain.tolist(), strict=True) if p]
         joined = self.tokenizer.encode_batch_fast([" ".join(easy[i : i + 256]) for i in range(0, len(easy), 256)], add_special_tokens=False)
         ids = np.fromiter((i for e in joined for i in e.ids), np.uint32)
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(easy) or (len(stop) and stop[-1] != len(ids)):
             raise ValueError("the tokenizer doesn't mark word ends as expected")
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, p in zip(texts_, plain, strict=True) if not p], add_special_tokens=False)]
-        new = [w for w, p in zip(new, plain, strict=True) if p] + [w for w, p in zip(new, plain, strict=True) if not p]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, p in zip(texts_, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        keys = np.concatenate([keys[plain], keys[~plain]])
         sizes = np.concatenate([np.diff(stop, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
         ids = np.concatenate([ids, np.fromiter((i for x in rest for i in x), np.uint32)])
-        n, total = len(self.place), len(ids)
-        while len(self.size) < n + len(new):
-            self.size, self.begin = (np.concatenate([v, np.zeros_like(v)]) for v in (self.size, self.begin))
-        while len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.size[n : n + len(new)] = sizes
-        self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = ids
-        self.used += total
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(self.used, len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.size, self.begin = (np.insert(old, at, v[order].astype(old.dtype)) for old, v in ((self.keys, keys), (self.size, sizes), (self.begin, begin)))
 
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk, and where each text's begin."""
@@ -100,17 +97,21 @@ class WordIds:
         begins[at_text] = inside[at_text]
         start = np.flatnonzero(begins)
         first = np.searchsorted(start, offs)
-        ends = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(buf[inside])]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) + len(distinct) > self.most:
+        dense = buf[inside]
+        at = np.append(np.cumsum(inside, dtype=np.int64)[start] - 1, len(dense))
+        distinct, where, inverse = np.unique(hash_runs(dense, at), return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > self.most:
             self.clear()
-        if new := [x for x in distinct if x not in self.place]:
-            self._add(new)
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        size = self.size[at]
+        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        if not known.all():
+            raw, new = dense.tobytes(), where[~known]
+            self._add([raw[x:y] for x, y in zip(at[new].tolist(), at[new + 1].tolist(), strict=True)], distinct[~known])
+            place = np.searchsorted(self.keys, distinct)
+        place = place[inverse]
+        size = self.size[place].astype(np.int64)
         stop = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[at] - stop + size, size) + np.arange(stop[-1])]
+        ids = self.pool[np.repeat(self.begin[place] - stop + size, size) + np.arange(stop[-1])]
         return ids, np.concatenate([[0], stop])[first]
 
 
@@ -127,7 +128,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         coder = _word_ids(path)
         end = np.array([end_id], "<u4")
         for b in batches:
-            for lo, hi, buf, offs in chunks(b, limit=2 << 20):
+            for lo, hi, buf, offs in chunks(b, limit=1 << 20):
                 ids, at = coder.ids(buf, offs)
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for i, d in enumerate(b.column(0).slice(lo, hi - lo).to_pylist()):
