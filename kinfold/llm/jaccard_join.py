@@ -34,6 +34,8 @@ from kinfold.llm._words import SPACE, chunks, grams, lists, mix, record_batch, s
 
 #: Longs of a parity sketch, of 64 bits each.
 LONGS = 32
+#: Ids of exact copies are broadcast up to this number (some 10 MB), else joined by shuffle.
+FEW_IDS = 500_000
 _K = seeds(8, 4242)
 
 
@@ -239,11 +241,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) * 6 // 10 // part_rows))
     fn, ddl = _emit(size, percent, parts)
-    stars = docs.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct()
-    copies = named.where("rep != doc_id").select("doc_id", "rep")  # stand-ins for exact copies
-    for c in ("center", "doc"):
-        stars = stars.join(copies, F.col(c) == F.col("doc_id"), "left").withColumn(c, F.coalesce("rep", c)).select("center", "doc")
-    stars = stored(stars.where("center != doc").distinct(), "stars")
+    copies = stored(named.where("rep != doc_id").select("doc_id"), "copies")  # they have nothing more to find
+    few = copies.count() <= FEW_IDS
+    ours = docs.join(F.broadcast(copies) if few else copies.hint("merge"), "doc_id", "left_anti")
+    stars = stored(ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct(), "stars")
 
     known = base.select(F.col("doc_id"), "n", "sketch")
     near = stars.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
