@@ -15,7 +15,7 @@ def density(x: np.ndarray) -> np.ndarray:
 
 
 def cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def quantile(p: float) -> float:
