@@ -156,3 +156,12 @@ def test_template_of_pages_without_article(spark):
 
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<body><div>Welcome to our site</div><div>story {i} {'word ' * i}</div><div>All rights kept</div>") for i in range(1, 9)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in extract(df).collect()}[3] == "story 3 word word word"
+
+
+def test_attributes_are_read_by_name():
+    from kinfold.llm.html_extraction import content, parse
+
+    for given in ("style='overflow:hidden'", 'aria-hidden="false"', 'title="hidden gems"', "data-id='menu'", 'data-class="ad"', 'title="class=ad" class="post"', "class=post class=ad"):
+        assert content(parse(f"<body><article {given}><p>story</p></article>")) == "story", given
+    for given in ("hidden", "HIDDEN=''", "class='ad'", "id=menu", 'role="navigation"'):
+        assert content(parse(f"<body><div {given}>no</div><p>story</p>")) == "story", given
