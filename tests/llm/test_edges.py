@@ -165,3 +165,12 @@ def test_attributes_are_read_by_name():
         assert content(parse(f"<body><article {given}><p>story</p></article>")) == "story", given
     for given in ("hidden", "HIDDEN=''", "class='ad'", "id=menu", 'role="navigation"'):
         assert content(parse(f"<body><div {given}>no</div><p>story</p>")) == "story", given
+
+
+def test_nesting_has_no_limit():
+    from kinfold.llm.html_extraction import content, parse
+
+    deep = "<div>" * 5000
+    assert content(parse(f"<div id=w><article><p>a</p>{deep}b<nav>no</nav>{'</div>' * 5000}<p>c</p></article></div>")) == "a\nb\nc"
+    assert content(parse("<body>" + "<font>" * 50_000 + "<div class=comments><b>no</b></div>x" + "<p>y</font>z" * 5000)).startswith("x\ny")
+    assert content(parse("<table><tr><td><p>a<table><tr><td>b</table>c<td>d</table>")) == "a\nb\nc\nd"
