@@ -174,3 +174,20 @@ def test_nesting_has_no_limit():
     assert content(parse(f"<div id=w><article><p>a</p>{deep}b<nav>no</nav>{'</div>' * 5000}<p>c</p></article></div>")) == "a\nb\nc"
     assert content(parse("<body>" + "<font>" * 50_000 + "<div class=comments><b>no</b></div>x" + "<p>y</font>z" * 5000)).startswith("x\ny")
     assert content(parse("<table><tr><td><p>a<table><tr><td>b</table>c<td>d</table>")) == "a\nb\nc\nd"
+
+
+def _template_texts(spark, htmls, parts=3):
+    from kinfold.llm.html_extraction import extract
+
+    df = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in extract(df.repartition(parts, "page_id")).orderBy("page_id").collect()]
+
+
+def test_template_is_the_hosts_not_the_runs(spark):
+    story = lambda i: f"<body><div>Welcome to our site</div><div>story {i} {'word ' * i}</div><div>All rights kept</div>"
+    want = lambda i: f"story {i} {'word ' * i}".strip()
+    for n in (33, 34, 65):
+        got = _template_texts(spark, [None, "", "<p>odd", *map(story, range(3, n))])
+        assert got == ["", "", "odd", *map(want, range(3, n))]
+    many = _template_texts(spark, [story(i if i < 6 else 6) for i in range(80)])
+    assert many == [want(i if i < 6 else 6) for i in range(80)]
