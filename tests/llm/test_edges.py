@@ -191,3 +191,15 @@ def test_template_is_the_hosts_not_the_runs(spark):
         assert got == ["", "", "odd", *map(want, range(3, n))]
     many = _template_texts(spark, [story(i if i < 6 else 6) for i in range(80)])
     assert many == [want(i if i < 6 else 6) for i in range(80)]
+
+
+def test_boilerplate_alone_makes_no_copies(spark):
+    page = lambda i, s: f"<body><div>Welcome to our site</div><h2>News</h2><div>story {s} {'word ' * s}</div><div class=ad>{i}</div><b>All rights kept</b>"
+    want = lambda s: f"story {s} {'word ' * s}".strip()
+    assert _template_texts(spark, [page(i, i) for i in range(8)]) == [want(i) for i in range(8)]
+    # copies of one page, or edits of it in a short text, are no evidence of a template
+    text = lambda i: f"<body><div>Welcome to our site</div><h2>News</h2><div>{'the one story ' * 9}</div><i>no {i}</i>"
+    copies = _template_texts(spark, [text(1)] * 6 + [page(i, i) for i in range(2)])
+    assert copies[0].endswith("no 1") and "the one story" in copies[0] and "Welcome" in copies[0]
+    edits = _template_texts(spark, [text(i) for i in range(3)] + [page(i, i) for i in range(5)])
+    assert all("the one story" in t and "Welcome" not in t for t in edits[:3])
