@@ -203,3 +203,10 @@ def test_boilerplate_alone_makes_no_copies(spark):
     assert copies[0].endswith("no 1") and "the one story" in copies[0] and "Welcome" in copies[0]
     edits = _template_texts(spark, [text(i) for i in range(3)] + [page(i, i) for i in range(5)])
     assert all("the one story" in t and "Welcome" not in t for t in edits[:3])
+
+
+def test_template_inside_articles(spark):
+    page = lambda i: f"<body><article><h1>title {i}</h1><p>story {i}</p><div class=box>Sign up for our letters</div><p>more {i}</p><p>Read on at our host</p></article>"
+    assert _template_texts(spark, [page(i) for i in range(8)]) == [f"title {i}\nstory {i}\nmore {i}" for i in range(8)]
+    only = _template_texts(spark, [*map(page, range(8)), "<body><article><div class=box>Sign up for our letters</div></article>"])
+    assert only[8] == "Sign up for our letters"  # what a page marks is kept where nothing else is marked
