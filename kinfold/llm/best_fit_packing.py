@@ -2,7 +2,7 @@
 
 Method: a text's ids come from a public tokenizer, followed by one end id; only what is longer than ``capacity`` is cut.
 A batch's distinct units (words, parted where the tokenizer's own splitting always parts them) are tokenised once and
-cached, which gives the same ids.  Pieces (no ids, only their lengths and checksums) are written to a table and dealt
+cached, which gives the same ids; added tokens (such as an end of text) are found first and keep their own ids.  Pieces (no ids, only their lengths and checksums) are written to a table and dealt
 by hash into shards of about ``shard`` pieces.  Each shard is solved on several *islands*: a population of groupings,
 begun by randomised best-fit decreasing; crossover injects the best-filled bins of one parent into another, drops the
 bins that hold the same pieces, and best-fits the displaced ones.  Between epochs each island's best grouping migrates to
@@ -31,13 +31,16 @@ from kinfold.llm._words import LOWER, SPACE, chunks, hash_runs, record_batch
 
 #: Kinds of bytes, after lower-casing: the tokenizer's splitting (letters, single digits, other characters) always parts
 #: ASCII letters from ASCII punctuation, but for the apostrophe, and each digit from everything.
-_GAP, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_GAP, _LETTER, _MARK, _DIGIT, _OTHER, _ADDED = range(6)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[33:127] = _MARK
 _KIND[48:58], _KIND[97:123], _KIND[ord("'")], _KIND[SPACE] = _DIGIT, _LETTER, _OTHER, _GAP
-_PARTS = np.zeros((5, 5), bool)
-_PARTS[_GAP, :] = _PARTS[_DIGIT, :] = _PARTS[:, _DIGIT] = True
+_PARTS = np.zeros((6, 6), bool)
+_PARTS[_GAP, :] = _PARTS[_DIGIT, :] = _PARTS[:, _DIGIT] = _PARTS[_ADDED, :] = _PARTS[:, _ADDED] = True
 _PARTS[_LETTER, _MARK] = _PARTS[_MARK, _LETTER] = True
+#: Bytes that no text has; each stands for one of the tokenizer's added tokens.
+_SPARE = bytes([*range(0xF5, 0x100)])
+_KIND[0xF5:] = _ADDED
 #: Letters that stay single letters when normalised and lower-cased.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
@@ -52,7 +55,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if len(added) > len(_SPARE) or any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("the tokenizer's added tokens aren't plain strings")
+        self.added = {_SPARE[k : k + 1]: i for k, i in enumerate(added)}
+        self.spare = {t.content.encode(): _SPARE[k] for k, t in enumerate(added.values())}
+        self.find = re.compile(b"|".join(re.escape(c) for c in sorted(self.spare, key=len, reverse=True))) if added else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
@@ -63,7 +71,7 @@ class WordIds:
 
     def _add(self, new: list[bytes], keys: np.ndarray) -> None:
         """Tokenise units: those of plain letters many at a time (each ends with one word-end token), the others singly."""
-        texts_ = [w.decode() for w in new]
+        texts_ = ["" if w in self.added else w.decode() for w in new]
         plain = np.fromiter((_LETTERS.fullmatch(t) is not None for t in texts_), bool, len(new))
         easy = [t for t, p in zip(texts_, plain.tolist(), strict=True) if p]
         joined = self.tokenizer.encode_batch_fast([" ".join(easy[i : i + 256]) for i in range(0, len(easy), 256)], add_special_tokens=False)
@@ -71,7 +79,9 @@ class WordIds:
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(easy) or (len(stop) and stop[-1] != len(ids)):
             raise ValueError("the tokenizer doesn't mark word ends as expected")
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, p in zip(texts_, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        others = [w for w, p in zip(new, plain.tolist(), strict=True) if not p]
+        coded = iter(self.tokenizer.encode_batch_fast([w.decode() for w in others if w not in self.added], add_special_tokens=False))
+        rest = [[self.added[w]] if w in self.added else next(coded).ids for w in others]
         keys = np.concatenate([keys[plain], keys[~plain]])
         sizes = np.concatenate([np.diff(stop, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
         ids = np.concatenate([ids, np.fromiter((i for x in rest for i in x), np.uint32)])
@@ -86,8 +96,14 @@ class WordIds:
 
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk, and where each text's begin."""
-        buf = LOWER[buf]
-        kind = _KIND[buf]
+        spots = [m.span() for m in self.find.finditer(buf.tobytes())] if self.find else []
+        low = LOWER[buf]
+        kind = _KIND[low]
+        for s, e in spots:
+            if np.searchsorted(offs, s, "right") == np.searchsorted(offs, e - 1, "right"):  # not across two texts
+                low[s] = self.spare[buf[s:e].tobytes()]
+                kind[s], kind[s + 1 : e] = _ADDED, _GAP
+        buf = low
         inside = kind != _GAP
         if not inside.any():
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)

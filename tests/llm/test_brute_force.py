@@ -107,6 +107,22 @@ def test_units_with_odd_characters():
         assert mine.ids(b, np.array([0, len(b)]))[0].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_keep_their_ids():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from kinfold.llm.best_fit_packing import WordIds
+
+    path = P.path("word_bpe_49k.json")
+    t, mine, rng = Tokenizer.from_file(path), WordIds(path), random.Random(4)
+    alphabet = ["a page", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "<", "|>", "'s", "'", "e", "\u0301", "7", " ", "\n", "é", "—", "İ"]
+    texts_ = ["a page <|endoftext|> next", "<|endof", "text|>", "", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 20))) for _ in range(400))]
+    raw = [x.encode() for x in texts_]
+    ids, at = mine.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, x in enumerate(texts_):
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
 def test_quality_on_held_out_rows(spark):
     from kinfold.llm.queries import queries
 
