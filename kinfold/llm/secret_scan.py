@@ -10,6 +10,9 @@ these p-values over all texts by length class (a table of fixed size); in each l
 threshold at false-discovery rate ``q`` follows from the counts, so a longer string, with more evidence and fewer
 rivals, is judged by its own class.  A second scan applies the thresholds.
 
+So the class changes decide and the battery only rejects: a random string of one class (all lower case, all upper case, all
+digits) has no change and is never found, and base 32 and base 36 only if long (figures in the README).
+
 Spans are code points of the text, end exclusive.  Spans of the base patterns always stay; a random string that
 overlaps one isn't reported again.
 
