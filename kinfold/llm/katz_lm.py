@@ -4,10 +4,11 @@ P(w | v) = d(c) c(v w) / c(v) where the bigram was seen, else alpha(v) P(w); d i
 to ``top``, and alpha(v) is the mass the discounts left divided by the unigram mass of the words not seen after v, so each
 distribution sums to one exactly.  P(w) is discounted likewise, and what that leaves is the unknown word's.
 
-Texts are cut into blocks, a batch of documents each, which keep their words once as 64-bit hashes and their tokens as
-indexes.  The counts live in tables partitioned by hash.  A block asks each part for what it needs, once per distinct word
-or bigram, and the request carries the block's own training counts, so counting and looking up share one exchange and a hot
-word costs one entry per block.  A bigram is owned by the first block that trains on it; owners sum the discounted and the
+Texts are cut into blocks of some 10 MB, which keep their words once as 64-bit hashes and their tokens as indexes.  A block
+is named by the task that cut it and its place there, so equal texts in other blocks stay apart.  The counts live in tables
+partitioned by ranges of the hash.  A block asks each part for what it needs, once per distinct word or bigram, in sorted
+order (the differences of sorted hashes take few bytes), and the request carries the block's own training counts, so counting
+and looking up share one exchange and a hot word costs one entry per block.  A bigram is owned by the first block that trains on it; owners sum the discounted and the
 unigram mass per context, a second exchange adds these up and returns alpha.  Every token is then evaluated in its block.
 
 Parts hold about ``part_rows`` entries whatever the input's size; only counts of counts reach the driver.
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._base import crc_mod, partitions, stored
-from kinfold.llm._words import SPACE, chunks, mix, record_batch, seeds, words
+from kinfold.llm._words import SPACE, chunks, mix, record_batch, seeds, trim, words
 
 _END, _BEGIN, _L, _R = seeds(4, 31337)
 WORD, PAIR, BACK = 0, 1, 2
@@ -57,7 +59,7 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = "block long, docs binary, train binary, sizes binary, vocabulary binary, tokens binary, n_words long"
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = 28 << 20) -> Iterator[list[pa.RecordBatch]]:
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = 10 << 20) -> Iterator[list[pa.RecordBatch]]:
     """Batches together, to about ``most`` bytes: fewer blocks ask for less twice."""
     group, size = [], 0
     for b in batches:
@@ -74,7 +76,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], most: int = 28 << 20) -> Iterato
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens are indexes into the block's words, an end token after each text's."""
     schema = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("docs", "train", "sizes", "vocabulary", "tokens")), ("n_words", pa.int64())])
-    for group in _grouped(batches):
+    task = TaskContext.get().partitionId()
+    for number, group in enumerate(_grouped(batches)):
+        name = int(mix(np.array([(task << 32) + number], np.uint64))[0].view(np.int64))
         ids, train = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in group]) for i in (0, 2))
         hs, ns = [], []
         for b in group:
@@ -86,11 +90,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.concatenate(ns)
         h = np.concatenate(hs)
         del hs
-        size = len(h)
         vocabulary, tokens = _distinct(h)
         del h
-        with np.errstate(over="ignore"):
-            name = int(mix(np.array([ids[0]]).astype(np.uint64) + mix(np.array([ids.astype(np.uint64).sum() + np.uint64(size)])))[0].view(np.int64))
         row = {"docs": _zip(ids), "train": train.astype(np.uint8).tobytes(), "sizes": _zip(n + 1), "vocabulary": vocabulary.astype("<u8").tobytes(), "tokens": _zip(tokens, "<i4")}
         yield record_batch(schema, block=[name], n_words=[len(vocabulary)], **{k: pa.array([v], pa.binary()) for k, v in row.items()})
 
@@ -104,7 +105,6 @@ class _Block:
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.tokens = _unzip(row["tokens"], "<i4")
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.trains = np.repeat(self.train, self.sizes).astype(bool)
         v = len(self.vocabulary)
         key = np.empty(len(self.tokens), np.int64)  # context and word; memory is what counts here, so nothing is kept twice
         key[1:] = self.tokens[:-1]
@@ -123,53 +123,63 @@ class _Block:
         self.pair_hash = mix(h)
 
     def counts(self, at: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(at[self.trains], minlength=size)
+        return np.bincount(at[np.repeat(self.train, self.sizes).astype(bool)], minlength=size)
+
+
+def _bounds(parts: int) -> np.ndarray:
+    """Least hash of each part; parts are equal ranges."""
+    return np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
 
 
 def _deal(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of requests by part, and where each part begins."""
-    part = (h % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    """The order of requests by hash, and where each part begins."""
+    order = np.argsort(h)
+    return order, np.append(np.searchsorted(h[order], _bounds(parts)), len(h))
 
 
 _ASK = "kind int, part long, block long, keys binary, a binary, b binary"
 _ASK_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+#: Low bits of a hash that requests leave out: bigrams are told apart by 56 bits.
+_LEFT_OUT = {WORD: 0, PAIR: 8, BACK: 0}
 
 
-def _ask(kind: int, block: int, h: np.ndarray, parts: int, keys_of, a: np.ndarray, a_kind: str, b: np.ndarray | None = None) -> pa.RecordBatch:
-    order, cut = _deal(h, parts)
-    h, a = h[order], a[order]
-    used = np.flatnonzero(np.diff(cut))
-    each = [slice(cut[p], cut[p + 1]) for p in used]
-    second = [_zip(b[order][s], a_kind) if b is not None else None for s in each]
-    return record_batch(_ASK_SCHEMA, kind=np.full(len(used), kind, np.int32), part=used, block=np.full(len(used), block), keys=[keys_of(h[s], parts) for s in each], a=[_zip(a[s], a_kind) for s in each], b=second)
+def _write_keys(h: np.ndarray, least: np.uint64, kind: int) -> bytes:
+    """Differences of a part's sorted hashes, in as many bytes as the largest one needs; the first byte says how many."""
+    d = (h - least) >> np.uint64(_LEFT_OUT[kind])
+    d[1:] -= d[:-1].copy()
+    width = max(1, -(-int(d.max()).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _keys8(h: np.ndarray, parts: int) -> bytes:
-    return h.astype("<u8").tobytes()
+def _read_keys(b: bytes) -> np.ndarray:
+    width = b[0]
+    wide = np.zeros(((len(b) - 1) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _keys7(h: np.ndarray, parts: int) -> bytes:
-    """56 bits beside those that name the part."""
-    return np.ascontiguousarray((h // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def _read_keys(b: bytes, kind: int) -> np.ndarray:
-    if kind != PAIR:
-        return np.frombuffer(b, "<u8")
-    wide = np.zeros((len(b) // 7, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return wide.view("<u8").ravel()
+def _ask(kind: int, block: int, h: np.ndarray, parts: int, a: np.ndarray, a_kind: str, b: np.ndarray | None = None) -> pa.RecordBatch:
+    order, cut = _deal(h, parts)
+    h, a = h[order], a[order]
+    b = b[order] if b is not None else None
+    used = np.flatnonzero(np.diff(cut))
+    least = _bounds(parts)
+    each = [slice(cut[p], cut[p + 1]) for p in used]
+    second = [_zip(b[s], a_kind) if b is not None else None for s in each]
+    keys = [_write_keys(h[s], least[p], kind) for p, s in zip(used, each, strict=True)]
+    return record_batch(_ASK_SCHEMA, kind=np.full(len(used), kind, np.int32), part=used, block=np.full(len(used), block), keys=keys, a=[_zip(a[s], a_kind) for s in each], b=second)
 
 
 def _requests(word_parts: int, pair_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 x = _Block(row)
-                yield _ask(WORD, row["block"], x.vocabulary, word_parts, _keys8, x.counts(x.tokens, len(x.vocabulary)), "<i8")
-                yield _ask(PAIR, row["block"], x.pair_hash, pair_parts, _keys7, x.counts(x.pair, len(x.context)), "<i8")
+                yield _ask(WORD, row["block"], x.vocabulary, word_parts, x.counts(x.tokens, len(x.vocabulary)), "<i8")
+                yield _ask(PAIR, row["block"], x.pair_hash, pair_parts, x.counts(x.pair, len(x.context)), "<i8")
+                del x, row
+                trim()
 
     return run
 
@@ -184,7 +194,7 @@ def _count(top: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         kind, part = t["kind"][0].as_py(), t["part"][0].as_py()
-        keys = [_read_keys(k, kind) for k in t["keys"].to_pylist()]
+        keys = [_read_keys(k) for k in t["keys"].to_pylist()]
         own = np.concatenate([_unzip(a) for a in t["a"].to_pylist()])
         sizes = np.array([len(k) for k in keys])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -270,7 +280,9 @@ def _masses(m: Model, word_parts: int, pair_parts: int):
             at = x.context[owns]
             mass = np.bincount(at, m.held(pc[owns], m.pair_d), n)
             seen = np.bincount(at, m.unigram(c)[x.word[owns]], n)
-            out.append(_ask(BACK, row["block"], x.contexts, word_parts, _keys8, mass, "<f8", seen))
+            out.append(_ask(BACK, row["block"], x.contexts, word_parts, mass, "<f8", seen))
+            del x, c, pc, owns, at
+            trim()
         return pa.Table.from_batches(out, _ASK_SCHEMA)
 
     return run
@@ -279,7 +291,7 @@ def _masses(m: Model, word_parts: int, pair_parts: int):
 def _alphas(t: pa.Table) -> pa.Table:
     """Of one part: summed masses by context, returned to every block that asked (b: discounted count, a: unigram mass)."""
     t = t.sort_by("block")
-    keys = [_read_keys(k, BACK) for k in t["keys"].to_pylist()]
+    keys = [_read_keys(k) for k in t["keys"].to_pylist()]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     n = int(at.max()) + 1
     mass, seen = (np.bincount(at, np.concatenate([_unzip(v, "<f8") for v in t[c].to_pylist()]), n)[at] for c in ("a", "b"))
@@ -307,11 +319,18 @@ def _score(m: Model, word_parts: int, pair_parts: int, train_docs: int):
             left, total = np.where(short, 1.0, left), np.where(short, total + 1, total)
             alpha = np.where(np.append(c, train_docs) > 0, left / np.maximum(total, 1e-300) / np.maximum(1 - seen, 1e-15), 1.0)
             low = m.unigram(c)
-            p = np.where(pc > 0, m.held(pc, m.pair_d) / np.maximum(total[x.context], 1e-300), alpha[x.context] * low[x.word])
+            p = np.empty(len(pc))
+            for s in range(0, len(pc), 1 << 17):  # few values at a time
+                part = slice(s, s + (1 << 17))
+                v, n = x.context[part], pc[part]
+                p[part] = np.log10(np.where(n > 0, m.held(n, m.pair_d) / np.maximum(total[v], 1e-300), alpha[v] * low[x.word[part]]))
+            del pc
             base = np.log10((c + 1) / (m.total + m.distinct + 1))
             known = (c > 0).astype(np.int64)
-            sums = [np.add.reduceat(v[at], x.first) for v, at in ((known, x.tokens), (base, x.tokens), (np.log10(p), x.pair))]
+            sums = [np.add.reduceat(v[at], x.first) for v, at in ((known, x.tokens), (base, x.tokens), (p, x.pair))]
             out.append(pa.table({"doc_id": x.docs, "n_tokens": x.sizes, "n_known": sums[0], "train_tokens": np.full(len(x.docs), m.total), "base_score": sums[1], "score": sums[2]}))
+            del x, p, sums
+            trim()
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
