@@ -44,6 +44,20 @@ def _unzip(b: bytes, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _zip_counts(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, one plane of bytes after the other; the first byte says how many."""
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unzip_counts(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : b[0]] = planes.T
+    return wide.view("<i8").ravel()
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and each one's number, as np.unique, but with half the memory."""
     order = np.argsort(key)
@@ -92,7 +106,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del hs
         vocabulary, tokens = _distinct(h)
         del h
-        row = {"docs": _zip(ids), "train": train.astype(np.uint8).tobytes(), "sizes": _zip(n + 1), "vocabulary": vocabulary.astype("<u8").tobytes(), "tokens": _zip(tokens, "<i4")}
+        common = np.argsort(-np.bincount(tokens), kind="stable")  # common words get small numbers, which take less room
+        vocabulary, place = vocabulary[common], np.empty(len(common), np.int32)
+        place[common] = np.arange(len(common), dtype=np.int32)
+        tokens = place[tokens]
+        row = {"docs": _zip(ids), "train": train.astype(np.uint8).tobytes(), "sizes": _zip(n + 1), "vocabulary": vocabulary.astype("<u8").tobytes(), "tokens": _zip_counts(tokens)}
         yield record_batch(schema, block=[name], n_words=[len(vocabulary)], **{k: pa.array([v], pa.binary()) for k, v in row.items()})
 
 
@@ -103,7 +121,7 @@ class _Block:
         self.docs, self.sizes = _unzip(row["docs"]), _unzip(row["sizes"])
         self.train = np.frombuffer(row["train"], np.uint8)
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.tokens = _unzip(row["tokens"], "<i4")
+        self.tokens = _unzip_counts(row["tokens"]).astype(np.int32)
         self.first = np.cumsum(self.sizes) - self.sizes
         v = len(self.vocabulary)
         key = np.empty(len(self.tokens), np.int64)  # context and word; memory is what counts here, so nothing is kept twice
@@ -158,16 +176,17 @@ def _read_keys(b: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _ask(kind: int, block: int, h: np.ndarray, parts: int, a: np.ndarray, a_kind: str, b: np.ndarray | None = None) -> pa.RecordBatch:
+def _ask(kind: int, block: int, h: np.ndarray, parts: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
     order, cut = _deal(h, parts)
     h, a = h[order], a[order]
     b = b[order] if b is not None else None
     used = np.flatnonzero(np.diff(cut))
     least = _bounds(parts)
     each = [slice(cut[p], cut[p + 1]) for p in used]
-    second = [_zip(b[s], a_kind) if b is not None else None for s in each]
+    first = [_zip(a[s], "<f8") if kind == BACK else _zip_counts(a[s]) for s in each]
+    second = [_zip(b[s], "<f8") if b is not None else None for s in each]
     keys = [_write_keys(h[s], least[p], kind) for p, s in zip(used, each, strict=True)]
-    return record_batch(_ASK_SCHEMA, kind=np.full(len(used), kind, np.int32), part=used, block=np.full(len(used), block), keys=keys, a=[_zip(a[s], a_kind) for s in each], b=second)
+    return record_batch(_ASK_SCHEMA, kind=np.full(len(used), kind, np.int32), part=used, block=np.full(len(used), block), keys=keys, a=first, b=second)
 
 
 def _requests(word_parts: int, pair_parts: int):
@@ -176,8 +195,8 @@ def _requests(word_parts: int, pair_parts: int):
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 x = _Block(row)
-                yield _ask(WORD, row["block"], x.vocabulary, word_parts, x.counts(x.tokens, len(x.vocabulary)), "<i8")
-                yield _ask(PAIR, row["block"], x.pair_hash, pair_parts, x.counts(x.pair, len(x.context)), "<i8")
+                yield _ask(WORD, row["block"], x.vocabulary, word_parts, x.counts(x.tokens, len(x.vocabulary)))
+                yield _ask(PAIR, row["block"], x.pair_hash, pair_parts, x.counts(x.pair, len(x.context)))
                 del x, row
                 trim()
 
@@ -195,7 +214,7 @@ def _count(top: int):
         t = t.sort_by("block")
         kind, part = t["kind"][0].as_py(), t["part"][0].as_py()
         keys = [_read_keys(k) for k in t["keys"].to_pylist()]
-        own = np.concatenate([_unzip(a) for a in t["a"].to_pylist()])
+        own = np.concatenate([_unzip_counts(a) for a in t["a"].to_pylist()])
         sizes = np.array([len(k) for k in keys])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(int(at.max()) + 1, np.int64)
@@ -211,7 +230,7 @@ def _count(top: int):
         n = len(keys)
         return pa.table({
             "kind": pa.array([kind] * (n + 1), pa.int32()), "part": pa.array([part] * (n + 1), pa.int64()), "block": pa.array([*t["block"].to_pylist(), None], pa.int64()),
-            "a": pa.array([*(_zip(x) for x in np.split(total[at], cut)), None], pa.binary()), "b": pa.array([*(_zip(x, "u1") for x in np.split(owns, cut)), None], pa.binary()),
+            "a": pa.array([*(_zip_counts(x) for x in np.split(total[at], cut)), None], pa.binary()), "b": pa.array([*(_zip(np.packbits(x), "u1") for x in np.split(owns, cut)), None], pa.binary()),
             "stats": pa.array([*[None] * n, stats], pa.list_(pa.int64())),
         })
 
@@ -253,11 +272,14 @@ class Model:
         return np.where(c > 0, seen, self.unknown)
 
 
-def _answers(x: _Block, replies: dict[tuple[int, int], dict], kind: int, h: np.ndarray, parts: int, column: str, dtype: str) -> np.ndarray:
+def _answers(replies: dict[tuple[int, int], dict], kind: int, h: np.ndarray, parts: int, column: str, dtype: str) -> np.ndarray:
+    """What the parts replied, in the order of ``h``."""
     order, cut = _deal(h, parts)
     out = np.zeros(len(h), dtype)
     for p in np.flatnonzero(np.diff(cut)).tolist():
-        out[order[cut[p] : cut[p + 1]]] = _unzip(replies[kind, p][column].as_buffer(), dtype)
+        raw, n = replies[kind, p][column].as_buffer(), cut[p + 1] - cut[p]
+        got = _unzip(raw, dtype) if dtype != "<i8" and dtype != "?" else _unzip_counts(raw.to_pybytes()) if dtype == "<i8" else np.unpackbits(_unzip(raw, "u1"), count=n)
+        out[order[cut[p] : cut[p + 1]]] = got
     return out
 
 
@@ -273,14 +295,15 @@ def _masses(m: Model, word_parts: int, pair_parts: int):
         out = []
         for row in block.to_pylist():
             x = _Block(row)
-            c = _answers(x, got, WORD, x.vocabulary, word_parts, "a", "<i8")
-            pc = _answers(x, got, PAIR, x.pair_hash, pair_parts, "a", "<i8")
-            owns = _answers(x, got, PAIR, x.pair_hash, pair_parts, "b", "u1") > 0
+            c = _answers(got, WORD, x.vocabulary, word_parts, "a", "<i8")
+            pc = _answers(got, PAIR, x.pair_hash, pair_parts, "a", "<i8")
+            owns = _answers(got, PAIR, x.pair_hash, pair_parts, "b", "?")
             n = len(x.contexts)
             at = x.context[owns]
             mass = np.bincount(at, m.held(pc[owns], m.pair_d), n)
             seen = np.bincount(at, m.unigram(c)[x.word[owns]], n)
-            out.append(_ask(BACK, row["block"], x.contexts, word_parts, mass, "<f8", seen))
+            known = np.append(c > 0, True)  # others have nothing to give up
+            out.append(_ask(BACK, row["block"], x.contexts[known], word_parts, mass[known], seen[known]))
             del x, c, pc, owns, at
             trim()
         return pa.Table.from_batches(out, _ASK_SCHEMA)
@@ -309,10 +332,11 @@ def _score(m: Model, word_parts: int, pair_parts: int, train_docs: int):
         out = []
         for row in block.to_pylist():
             x = _Block(row)
-            c = _answers(x, got, WORD, x.vocabulary, word_parts, "a", "<i8")
-            pc = _answers(x, got, PAIR, x.pair_hash, pair_parts, "a", "<i8")
-            mass = _answers(x, got, BACK, x.contexts, word_parts, "a", "<f8")
-            seen = _answers(x, got, BACK, x.contexts, word_parts, "b", "<f8")
+            c = _answers(got, WORD, x.vocabulary, word_parts, "a", "<i8")
+            pc = _answers(got, PAIR, x.pair_hash, pair_parts, "a", "<i8")
+            known, mass, seen = np.append(c > 0, True), *np.zeros((2, len(x.contexts)))
+            mass[known] = _answers(got, BACK, x.contexts[known], word_parts, "a", "<f8")
+            seen[known] = _answers(got, BACK, x.contexts[known], word_parts, "b", "<f8")
             total = np.append(c, train_docs).astype(float)  # every word is followed by one token
             left = total - mass
             short = left < 1e-9 * np.maximum(total, 1)
@@ -326,8 +350,8 @@ def _score(m: Model, word_parts: int, pair_parts: int, train_docs: int):
                 p[part] = np.log10(np.where(n > 0, m.held(n, m.pair_d) / np.maximum(total[v], 1e-300), alpha[v] * low[x.word[part]]))
             del pc
             base = np.log10((c + 1) / (m.total + m.distinct + 1))
-            known = (c > 0).astype(np.int64)
-            sums = [np.add.reduceat(v[at], x.first) for v, at in ((known, x.tokens), (base, x.tokens), (p, x.pair))]
+            hits = (c > 0).astype(np.int64)
+            sums = [np.add.reduceat(v[at], x.first) for v, at in ((hits, x.tokens), (base, x.tokens), (p, x.pair))]
             out.append(pa.table({"doc_id": x.docs, "n_tokens": x.sizes, "n_known": sums[0], "train_tokens": np.full(len(x.docs), m.total), "base_score": sums[1], "score": sums[2]}))
             del x, p, sums
             trim()
