@@ -1,23 +1,28 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings of no known form.
 
-Method: a candidate is a run of at least ``least`` characters ``[A-Za-z0-9+/_=-]``.  Its encoding (hexadecimal,
-base 32, alphanumeric, base 64) is inferred from the characters it uses, each character becomes its place in that
-alphabet, and three tests ask whether the places look drawn at random: chi-squared uniformity over eight cells of the
-alphabet, the runs test about the alphabet's middle, and lag-1 serial correlation.  A candidate whose least p-value,
-times three, is under ``alpha`` isn't random.  Against the opposite hypothesis, ordinary text, stands the number of
-changes between character classes: the binomial tail with the change rate of text is its p-value.  A first scan counts
-these p-values over all texts by length class (a table of fixed size); in each length class the Benjamini-Hochberg
-threshold at false-discovery rate ``q`` follows from the counts, so a longer string, with more evidence and fewer
-rivals, is judged by its own class.  A second scan applies the thresholds.
-
-So the class changes decide and the battery only rejects: a random string of one class (all lower case, all upper case, all
-digits) has no change and is never found, and base 32 and base 36 only if long (figures in the README).
+Method: a candidate is a run of at least ``least`` characters ``[A-Za-z0-9+/_=-]``.  Its encoding (digits, hexadecimal, base
+32, base 36, letters, alphanumeric, base 64) is inferred from the characters it uses, and three properties are tested:
+uniformity of the alphabet (chi-squared), runs, and serial correlation.  Each test is judged twice:
+
+* against *randomness*: chi-squared over eight cells of the encoding's alphabet, the runs test about the alphabet's middle,
+  lag-1 serial correlation of the places.  A candidate whose least p-value, times three, is under ``alpha`` isn't random.
+* against *text of the same encoding*: chi-squared of its letters is compared with what the letters of the whole corpus would
+  give (a noncentral chi-squared), the runs of character classes with the change rate of text (a binomial tail), and the serial
+  dependence, the mean log-probability of neighbouring letters under the corpus's letter pairs, with its mean and variance in
+  text.  Three times the least of the three is the candidate's p-value.  Pair counts come from a scan of all texts, case
+  folded, and are restricted to the encoding's letters.
+
+A second scan counts the p-values by length class (a table of fixed size); in each length class the Benjamini-Hochberg
+threshold at false-discovery rate ``q`` follows from the counts, so a longer string, with more evidence and fewer rivals, is
+judged by its own class.  The last scan applies the thresholds.  A string of digits alone has neither letters nor changes of
+class, so nothing tells it from a number and it isn't reported (the fixed pattern takes digits from 32 on).
 
 Spans are code points of the text, end exclusive.  Spans of the base patterns always stay; a random string that
 overlaps one isn't reported again.
 
-Defined cases: null texts count as empty and have no spans; rows without a doc_id keep a null doc_id; repeated rows give
-repeated results; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null texts count as empty and have no spans; rows without a doc_id keep a null doc_id and are scanned and
+redacted like others; repeated rows and rows of one id with other texts are each judged by their own text; an empty table
+gives an empty result; extra columns are ignored, and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._words import chunks, record_batch, words
+from kinfold.llm._words import LOWER, chunks, record_batch, words
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -50,6 +55,11 @@ LENGTHS = (20, 28, 40, 64, 128)
 #: p-values are counted in steps of a quarter of a power of ten.
 STEP, BINS = 4, 200
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Of the known encodings, smaller ones first.
+_ALPHABETS = (
+    _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
+    _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_",
+)
 
 
 def base_spans(text: str, maybe_assign: bool = True, maybe_access: bool = True, maybe_hex: bool = True) -> list[tuple[int, int, str]]:
@@ -66,7 +76,7 @@ def base_spans(text: str, maybe_assign: bool = True, maybe_access: bool = True,
 def alphabet(s: str) -> str:
     """The smallest alphabet of the known encodings that holds every character; padding at the end doesn't count."""
     used = set(s)
-    for a in (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _LOWER, _UPPER, _DIGITS + _LOWER, _DIGITS + _UPPER, _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_"):
+    for a in _ALPHABETS:
         if used <= set(a):
             return a
     return _UPPER + _LOWER + _DIGITS + "+/-_="
@@ -106,20 +116,70 @@ def battery(s: str) -> tuple[float, float, float]:
     return uniform, runs_p, serial
 
 
-def changes_tail(s: str, rate: float) -> float:
-    """How likely text with this rate of class changes has as many as ``s``: an upper binomial tail."""
-    kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
-    n, x = len(s) - 1, sum(a != b for a, b in zip(kind[1:], kind[:-1], strict=True))
+def changes_tail(n: int, x: int, rate: float) -> float:
+    """How likely ``n`` places in text with this rate of class changes have ``x`` or more: an upper binomial tail."""
+    if not x:
+        return 1.0
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate) for i in range(x, n + 1)]
     top = max(logs)
     return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in logs))
 
 
-def judge(s: str, alpha: float, rate: float) -> tuple[int, int] | None:
+def _normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+class TextModel:
+    """What text looks like in each encoding, from the corpus's counts of neighbouring letters (case folded, 26 x 26)."""
+
+    def __init__(self, pairs: np.ndarray, rate: float = 0.12, spread: float = 2.0) -> None:
+        self.pairs, self.rate, self.spread = pairs.reshape(26, 26).astype(float) + 0.5, rate, spread
+        self.known: dict[str, tuple] = {}
+
+    def _of(self, letters: str) -> tuple:
+        """For the letters of an encoding: log-probabilities of pairs, their mean and variance, and the chi-squared shift."""
+        if letters not in self.known:
+            at = np.array([ord(c) - 97 for c in letters])
+            sub = self.pairs[np.ix_(at, at)]
+            joint = sub / sub.sum()
+            logs = np.full((26, 26), 0.0)
+            logs[np.ix_(at, at)] = np.log(sub / sub.sum(1, keepdims=True))
+            own = logs[np.ix_(at, at)]
+            mean = float((joint * own).sum())
+            share = joint.sum(0)
+            shift = float(len(at) * (share * share).sum() - 1)
+            self.known[letters] = logs, mean, float((joint * own * own).sum() - mean * mean), shift
+        return self.known[letters]
+
+    def p_value(self, s: str) -> float:
+        """Three times the least of the tests' p-values for text of the inferred encoding; ``spread`` widens the variance of pairs."""
+        s = s.rstrip("=") or s
+        letters = "".join(sorted({c for c in alphabet(s).lower() if "a" <= c <= "z"}))
+        kind = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in s])
+        low = np.array([ord(c) - 97 if k in (1, 2) else -1 for c, k in zip(s.lower(), kind.tolist(), strict=True)])
+        mixed = len({0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in alphabet(s)}) > 1
+        found = [changes_tail(len(s) - 1, int((kind[1:] != kind[:-1]).sum()), self.rate)] if mixed else []
+        if len(letters) > 1:
+            logs, mean, var, shift = self._of(letters)
+            both = (low[1:] >= 0) & (low[:-1] >= 0) & (kind[1:] == kind[:-1])
+            n = int(both.sum())
+            if n:
+                z = (logs[low[:-1][both], low[1:][both]].sum() - n * mean) / math.sqrt(self.spread * n * var)
+                found.append(_normal_tail(float(z)))
+            own = low[low >= 0]
+            if len(own) > 1:
+                share = len(own) / len(letters)
+                count = np.bincount(own, minlength=26)[[ord(c) - 97 for c in letters]]
+                x, df, more = float(((count - share) ** 2 / share).sum()), len(letters) - 1, len(own) * shift
+                found.append(_normal_tail((x - df - more) / math.sqrt(2 * (df + 2 * more))))
+        return min(1.0, 3 * min(found, default=1.0))
+
+
+def judge(s: str, alpha: float, text: TextModel) -> tuple[int, int] | None:
     """Length class and bin of the text p-value; None if the battery rejects randomness."""
     if 3 * min(battery(s)) < alpha:
         return None
-    bin_ = min(BINS - 1, int(-math.log10(max(changes_tail(s, rate), 1e-60)) * STEP))
+    bin_ = min(BINS - 1, int(-math.log10(max(text.p_value(s), 1e-60)) * STEP))
     return max(i for i, n in enumerate(LENGTHS) if len(s) >= n), bin_
 
 
@@ -145,7 +205,24 @@ def _candidates(raw: bytes, buf: np.ndarray, offs: np.ndarray, least: int):
         yield d, s, e, raw[s:e].decode()
 
 
-def _count(least: int, alpha: float, rate: float):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring ASCII letters of all texts, case folded: a table of 676 counts."""
+    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+    total = np.zeros(677, np.int64)
+    for b in batches:
+        for _, _, buf, offs in chunks(b):
+            low = LOWER[buf]
+            code = low - np.uint8(97)
+            code = np.where(code < 26, code, np.uint8(255)).astype(np.int16)
+            pair = np.where((code[:-1] < 26) & (code[1:] < 26), code[:-1] * 26 + code[1:], 676)
+            edge = offs[1:-1]
+            pair[edge[(edge > 0) & (edge < len(buf))] - 1] = 676  # not across two texts
+            total += np.bincount(pair, minlength=677)
+    at = np.flatnonzero(total[:676])
+    yield record_batch(schema, pair=at.astype(np.int32), n=total[at])
+
+
+def _count(least: int, alpha: float, model: TextModel):
     schema = pa.schema([("length_class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,54 +231,71 @@ def _count(least: int, alpha: float, rate: float):
             for _, _, buf, offs in chunks(b):
                 for _, _, _, s in _candidates(buf.tobytes(), buf, offs, least):
                     c = max(i for i, n in enumerate(LENGTHS) if len(s) >= n)
-                    got = judge(s, alpha, rate) or (c, -1)
+                    got = judge(s, alpha, model) or (c, -1)
                     seen[got] = seen.get(got, 0) + 1
         yield record_batch(schema, length_class=[k[0] for k in seen], bin=[k[1] for k in seen], n=list(seen.values()))
 
     return run
 
 
-def _spans(least: int, alpha: float, rate: float, cut: list[int]):
+class Scanner:
+    """Finds the spans of texts; what it holds is of fixed size."""
+
+    def __init__(self, model: TextModel, cut: list[int], least: int, alpha: float) -> None:
+        self.model, self.cut, self.least, self.alpha = model, cut, least, alpha
+
+    def spans(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[list[tuple[int, int, str]]]:
+        """Per text of a chunk: (start, end, kind), by start and then kind."""
+        raw = buf.tobytes()
+        extra: dict[int, list[tuple[int, int]]] = {}
+        for d, s, e, x in _candidates(raw, buf, offs, self.least):
+            if (got := judge(x, self.alpha, self.model)) and got[1] >= self.cut[got[0]]:
+                extra.setdefault(d, []).append((s, e))
+        hexes = words(buf, offs, _NOT_HEX, hashes=False)
+        at = np.flatnonzero(hexes.end - hexes.start >= 32)
+        with_hex = set((np.searchsorted(hexes.first, at, "right") - 1).tolist())
+        for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            own = raw[s:e]
+            low = own.lower()
+            checks = any(k in low for k in _KEYS), b"AKIA" in own, i in with_hex
+            found = base_spans(own.decode(), *checks) if any(checks) else []
+            base = len(found)
+            for x, y in extra.get(i, ()):
+                first = len(raw[s:x].decode())
+                x, y = first, first + y - x  # a run is ASCII
+                if all(y <= f[0] or x >= f[1] for f in found[:base]):
+                    found.append((x, y, "random"))
+            found.sort(key=lambda f: (f[0], KINDS.index(f[2])))
+            yield found
+
+
+def prepare(docs: DataFrame, text: str = "text", least: int = 20, alpha: float = 0.001, rate: float = 0.12, q: float = 1e-3) -> Scanner:
+    """The corpus's text model and thresholds, from two scans of all texts; only tables of fixed size are collected."""
+    own = docs.select(F.col(text).cast("string").alias("text"))
+    pairs = np.zeros(676, np.int64)
+    for r in own.mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    model = TextModel(pairs, rate)
+    rows = own.mapInArrow(_count(least, alpha, model), "length_class int, bin int, n long").groupBy("length_class", "bin").agg(F.sum("n").alias("n")).collect()
+    counts = {(r["length_class"], r["bin"]): r["n"] for r in rows if r["bin"] >= 0}
+    totals = {c: sum(r["n"] for r in rows if r["length_class"] == c) for c in range(len(LENGTHS))}
+    return Scanner(model, thresholds(counts, totals, q), least, alpha)
+
+
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row: doc_id and the spans found (starts, ends, kinds), by start and then kind; options go to ``prepare``."""
+    scanner = prepare(docs, text, **options)
     schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in chunks(b):
-                raw = buf.tobytes()
-                extra: dict[int, list[tuple[int, int]]] = {}
-                for d, s, e, x in _candidates(raw, buf, offs, least):
-                    if (got := judge(x, alpha, rate)) and got[1] >= cut[got[0]]:
-                        extra.setdefault(d, []).append((s, e))
-                hexes = words(buf, offs, _NOT_HEX, hashes=False)
-                at = np.flatnonzero(hexes.end - hexes.start >= 32)
-                with_hex = set((np.searchsorted(hexes.first, at, "right") - 1).tolist())
-                out: list[list] = [[], [], []]
-                for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    own = raw[s:e]
-                    low = own.lower()
-                    checks = any(k in low for k in _KEYS), b"AKIA" in own, i in with_hex
-                    found = base_spans(own.decode(), *checks) if any(checks) else []
-                    base = len(found)
-                    for x, y in extra.get(i, ()):
-                        first = len(raw[s:x].decode())
-                        x, y = first, first + y - x  # a run is ASCII
-                        if all(y <= f[0] or x >= f[1] for f in found[:base]):
-                            found.append((x, y, "random"))
-                    found.sort(key=lambda f: (f[0], KINDS.index(f[2])))
-                    for k in range(3):
-                        out[k].append([f[k] for f in found])
-                yield record_batch(schema, doc_id=b.column(0).slice(lo, hi - lo), starts=out[0], ends=out[1], kinds=out[2])
-
-    return run
-
+                found = list(scanner.spans(buf, offs))
+                starts, ends, kinds = ([[f[k] for f in own] for own in found] for k in range(3))
+                yield record_batch(schema, doc_id=b.column(0).slice(lo, hi - lo), starts=starts, ends=ends, kinds=kinds)
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20, alpha: float = 0.01, rate: float = 0.12, q: float = 1e-4) -> DataFrame:
-    """Per row: doc_id and the spans found (starts, ends, kinds), by start and then kind."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = docs.select("text").mapInArrow(_count(least, alpha, rate), "length_class int, bin int, n long").groupBy("length_class", "bin").agg(F.sum("n").alias("n")).collect()  # at most classes x bins
-    counts = {(r["length_class"], r["bin"]): r["n"] for r in rows if r["bin"] >= 0}
-    totals = {c: sum(r["n"] for r in rows if r["length_class"] == c) for c in range(len(LENGTHS))}
-    return docs.mapInArrow(_spans(least, alpha, rate, thresholds(counts, totals, q)), "doc_id long, starts array<long>, ends array<long>, kinds array<string>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, starts array<long>, ends array<long>, kinds array<string>")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -212,24 +306,32 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(joined, ",").alias("spans"), n("random").alias("n_random"))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; other rows and columns stay as they are."""
-    found = scan_secrets(docs, key, text, **options).where(F.size("starts") > 0).groupBy("doc_id").agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
-
-    @F.arrow_udf("string")
-    def cut(a: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for t, s, e in zip(a.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
-            if not s or t is None:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for x, y in zip(s, e, strict=True):
-                if x >= at:
-                    parts += [t[at:x], mark]
-                at = max(at, y)
-            out.append("".join([*parts, t[at:]]))
-        return pa.array(out, pa.string())
-
-    both = docs.join(found.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
-    return both.withColumn(text, F.when(F.col("_starts").isNotNull(), cut(text, "_starts", "_ends")).otherwise(F.col(text))).drop("_id", "_starts", "_ends")
+def _masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    parts, at = [], 0
+    for x, y, _ in spans:
+        if x >= at:
+            parts += [text[at:x], mark]
+        at = max(at, y)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
+    """``docs`` with every span replaced by ``mark``, in the pass that scans; nothing is joined or shuffled, other columns stay."""
+    scanner = prepare(docs, text, **options)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(place)
+            out: list[pa.Array] = []
+            for lo, hi, buf, offs in chunks(pa.RecordBatch.from_arrays([own], ["text"])):
+                part = own.slice(lo, hi - lo)
+                found = {i: f for i, f in enumerate(scanner.spans(buf, offs)) if f}
+                if found:
+                    part = pa.array([_masked(t.as_py(), found[i], mark) if i in found else t.as_py() for i, t in enumerate(part)], own.type)
+                out.append(part)
+            columns = list(b.columns)
+            columns[place] = pa.concat_arrays(out) if out else own
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
