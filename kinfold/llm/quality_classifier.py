@@ -189,8 +189,15 @@ def score_column(model: Trees, text: str = "text"):
     return score(F.col(text).cast("string"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, as they are; options go to ``train``."""
+    return docs.where(score_column(train(docs, labels, key, text, **options), text) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, folds: int = 5, held_out: int = 0, **options) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted``; options go to ``train``."""
+    """Per row of ``docs``: doc_id, held_out, score, predicted; options go to ``train``.  Columns of ``docs`` are not returned,
+    so none can be taken for a result, whatever its name."""
     model = train(docs, labels, key, text, folds=folds, held_out=held_out, **options)
-    out = docs.withColumn("score", score_column(model, text)).withColumn("held_out", crc_mod(key, folds) == held_out)
+    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = out.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
