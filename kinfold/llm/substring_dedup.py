@@ -19,7 +19,7 @@ suffixes share their least k-gram and travel as one record with their joint word
 No step holds more than a batch of records in a task; no group of copies is expanded into pairs.
 
 Defined cases: null or empty texts have no words; rows without a doc_id take no part and are not returned; repeated
-rows of one document give repeated rows; windows repeated inside one document only are kept; extra columns are ignored.
+rows of one document give repeated rows; rows of one id with other texts are each judged by their own, and never by each other; windows repeated inside one document only are kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def _runs(w, window: int, k: int):
 
 
 def _scan(window: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("kept_sha256", pa.string()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("kept_sha256", pa.string()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,19 +74,19 @@ def _scan(window: int, k: int):
                 raw = buf.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[s:e].split())).digest() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 keys = lists(pair.f1, np.bincount(pair.f0, minlength=hi - lo), pa.int64())
-                yield record_batch(schema, doc_id=ids.slice(lo, hi - lo), n_words=np.diff(w.first), sha=sha, kept_sha256=[x.hex() for x in sha], keys=keys)
+                yield record_batch(schema, doc_id=ids.slice(lo, hi - lo), row=b.column(2).slice(lo, hi - lo), n_words=np.diff(w.first), sha=sha, kept_sha256=[x.hex() for x in sha], keys=keys)
 
-    return run, "doc_id long, n_words long, sha binary, kept_sha256 string, keys array<long>"
+    return run, "doc_id long, row long, n_words long, sha binary, kept_sha256 string, keys array<long>"
 
 
 def _records(window: int, k: int):
     """The wanted runs of a document: their joint words where the group is small, fingerprints of each suffix where it is large."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("lead", pa.int32()), ("n", pa.int32()), ("ctx", pa.binary()), ("one", pa.int64()), ("two", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("lead", pa.int32()), ("n", pa.int32()), ("ctx", pa.binary()), ("one", pa.int64()), ("two", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0)
-            small, large = b.column(2), b.column(3)
+            small, large, rows = b.column(2), b.column(3), b.column(4)
             for lo, hi, buf, offs in chunks(b):
                 w = words(buf, offs, SPACE)
                 doc, first, last, at, key = _runs(w, window, k)
@@ -94,17 +94,18 @@ def _records(window: int, k: int):
                 key = key.view(np.int64)
                 out: dict[str, list] = {f.name: [] for f in schema}
                 at_doc = np.searchsorted(doc, np.arange(hi - lo + 1))
-                hot_key, hot_doc, hot_at = [], [], []
+                hot_key, hot_doc, hot_row, hot_at = [], [], [], []
                 for i in range(hi - lo):
                     x = slice(at_doc[i], at_doc[i + 1])
                     if x.start == x.stop:
                         continue
-                    d, base = ids[lo + i].as_py(), int(w.first[i])
+                    d, row, base = ids[lo + i].as_py(), rows[lo + i].as_py(), int(w.first[i])
                     wanted = small[lo + i].values.to_numpy(zero_copy_only=False) if small[lo + i].is_valid else ()
                     if len(wanted):
                         for j in (np.flatnonzero(np.isin(key[x], wanted)) + x.start).tolist():
                             f, t = int(first[j]), int(last[j])
                             out["doc_id"].append(d)
+                            out["row"].append(row)
                             out["key"].append(int(key[j]))
                             out["start"].append(f - base)
                             out["lead"].append(int(at[j]) - f)
@@ -118,6 +119,7 @@ def _records(window: int, k: int):
                             places = np.arange(first[j], last[j] + 1)
                             hot_at.append(places)
                             hot_doc.append(np.full(len(places), d))
+                            hot_row.append(np.full(len(places), row))
                             hot_key.append(places - base)
                 if out["doc_id"]:
                     yield record_batch(schema, **{c: pa.array(v, schema.field(c).type) for c, v in out.items()})
@@ -125,9 +127,9 @@ def _records(window: int, k: int):
                     places = np.concatenate(hot_at)
                     one, two = (grams(w.hash, window, salt)[places].view(np.int64) for salt in (101, 202))
                     m = len(places)
-                    yield record_batch(schema, doc_id=np.concatenate(hot_doc), key=pa.nulls(m, pa.int64()), start=np.concatenate(hot_key).astype(np.int32), lead=np.zeros(m, np.int32), n=np.ones(m, np.int32), ctx=pa.nulls(m, pa.binary()), one=one, two=two)
+                    yield record_batch(schema, doc_id=np.concatenate(hot_doc), row=np.concatenate(hot_row), key=pa.nulls(m, pa.int64()), start=np.concatenate(hot_key).astype(np.int32), lead=np.zeros(m, np.int32), n=np.ones(m, np.int32), ctx=pa.nulls(m, pa.binary()), one=one, two=two)
 
-    return run, "doc_id long, key long, start int, lead int, n int, ctx binary, one long, two long"
+    return run, "doc_id long, row long, key long, start int, lead int, n int, ctx binary, one long, two long"
 
 
 def _nodes_at(ctx: list[bytes], n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,26 +211,40 @@ def _finish(window: int):
     return run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
+#: Groups of exact copies that are broadcast up to this number (some 20 MB); more are joined by salted shuffle.
+FEW_GROUPS, SALTS = 200_000, 16
+
+
+def _with_first(base: DataFrame) -> DataFrame:
+    """``rep``: the least doc_id of the documents with the same words, for rows that have such copies."""
+    dup = base.where("has_window").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("sha", "rep")
+    dup = stored(dup, "copies")
+    if dup.count() <= FEW_GROUPS:
+        return base.join(F.broadcast(dup), "sha", "left")
+    salted = dup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int")
+    return base.withColumn("salt", salt).join(salted, ["sha", "salt"], "left").drop("salt")
+
+
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 4096, with_text: bool = False) -> DataFrame:
     """Words covered by a window that also starts in a document of smaller id are removed.
 
     Returns doc_id, n_words, n_removed, kept_sha256; ``with_text`` adds ``kept_text``, the words left joined by one space.
     """
-    docs = texts(docs, key, text)
+    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))  # rows of one id are told apart by their texts
     spark = docs.sparkSession
     fn, ddl = _scan(window, k)
-    base = stored(docs.mapInArrow(fn, ddl), "suffixes")
-    first = base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    named = base.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)))
-    named = stored(named.select("doc_id", "n_words", "kept_sha256", "copy", F.when(~F.col("copy"), F.col("keys")).alias("keys")), "first-copies")
+    base = stored(docs.mapInArrow(fn, ddl).withColumn("has_window", F.col("n_words") >= window), "suffixes")
+    named = _with_first(base).withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)))
+    named = stored(named.select("doc_id", "row", "n_words", "kept_sha256", "copy", F.when(~F.col("copy"), F.col("keys")).alias("keys")), "first-copies")
 
-    at = named.where(~F.col("copy")).select("doc_id", F.explode("keys").alias("key"))
+    at = named.where(~F.col("copy")).select("doc_id", "row", F.explode("keys").alias("key"))
     shared = at.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("m")).where("a < b")
     shared = shared.select("key", (F.col("m") > group_limit).alias("large"))
-    wanted = at.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("large"), F.col("key"))).alias("small"), F.collect_list(F.when(F.col("large"), F.col("key"))).alias("large"))
+    wanted = at.join(shared, "key").groupBy("doc_id", "row").agg(F.collect_list(F.when(~F.col("large"), F.col("key"))).alias("small"), F.collect_list(F.when(F.col("large"), F.col("key"))).alias("large"))
 
     fn, ddl = _records(window, k)
-    found = docs.join(wanted, "doc_id").select("doc_id", "text", "small", "large").mapInArrow(fn, ddl)
+    found = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "small", "large", "row").mapInArrow(fn, ddl)
     found = found.withColumn("cid", F.xxhash64("key", "lead", "n", "ctx")).withColumn("cid2", F.hash("ctx", "key", "n"))
     found = stored(found, "records")
 
@@ -238,22 +254,22 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     answers = merged.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(fn, ddl)
     answers = answers.withColumnRenamed("key", "k2")
     same = ["cid", "cid2", "lead", "n"]
-    hits = plain.select("doc_id", "start", "key", *same).join(answers, same).where("key = k2")
+    hits = plain.select("doc_id", "row", "start", "key", *same).join(answers, same).where("key = k2")
     starts = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda s: s.isNotNull())
-    hits = hits.select("doc_id", starts.alias("at"))
+    hits = hits.select("doc_id", "row", starts.alias("at"))
 
-    hot = found.where("key is null").select("doc_id", "start", "one", "two")
+    hot = found.where("key is null").select("doc_id", "row", "start", "one", "two")
     least = hot.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    hot_hits = hot.join(least, ["one", "two"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("at"))
-    marks = hits.where(F.size("at") > 0).unionByName(hot_hits).groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+    hot_hits = hot.join(least, ["one", "two"]).where("least < doc_id").groupBy("doc_id", "row").agg(F.collect_list("start").alias("at"))
+    marks = hits.where(F.size("at") > 0).unionByName(hot_hits).groupBy("doc_id", "row").agg(F.collect_list("at").alias("marks"))
     marks = stored(marks, "marks")
 
     fn, ddl = _finish(window)
-    cut = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(fn, ddl)
-    whole = named.join(marks.select("doc_id"), "doc_id", "left_anti")
+    cut = docs.join(marks, ["doc_id", "row"]).select("doc_id", "text", "marks").mapInArrow(fn, ddl)
+    whole = named.join(marks.select("doc_id", "row"), ["doc_id", "row"], "left_anti")
     empty = hashlib.sha256(b"").hexdigest()
-    whole = whole.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("copy"), F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    whole = whole.select("doc_id", "row", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("copy"), F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
     if not with_text:
-        return whole.unionByName(cut.drop("kept_text"))
-    kept = docs.join(whole, "doc_id").withColumn("kept_text", F.when(F.col("n_removed") > 0, F.lit("")).otherwise(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")))).drop("text")
+        return whole.drop("row").unionByName(cut.drop("kept_text"))
+    kept = docs.dropDuplicates(["doc_id", "row"]).join(whole, ["doc_id", "row"]).withColumn("kept_text", F.when(F.col("n_removed") > 0, F.lit("")).otherwise(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")))).drop("text", "row")
     return kept.unionByName(cut)
