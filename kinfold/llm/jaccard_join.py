@@ -14,8 +14,8 @@ the whole texts, and components follow.  Then only buckets that still hold sever
 pairs across components, pruned by the same bound, are verified too, which completes the components exactly.
 
 Defined cases: null and empty texts have no shingles and form components of their own; texts of fewer than five words have
-one shingle, the whole sequence; rows without a doc_id take no part; repeated rows of one document count once; ties need no
-rule, since a component's id is its least doc_id; an empty table gives an empty result; extra columns are ignored.
+one shingle, the whole sequence; rows without a doc_id take no part; repeated rows of one document count once, and of rows
+of one id with other texts the one whose text has the least hash (xxhash64) speaks for the document; ties need no rule, since a component's id is its least doc_id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
 
 
 def _describe(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,9 +127,9 @@ def _describe(size: int):
                     k = min(256, m - at)
                     odd = np.bincount((owner[x:y] - at) * (64 * LONGS) + bit[x:y], minlength=k * 64 * LONGS).reshape(k, -1) & 1
                     sketch[at : at + k] = np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
-                yield record_batch(schema, doc_id=b.column(0).slice(lo, m), n=n, one=sums[0], two=sums[1], sketch=lists(sketch.ravel(), np.full(m, LONGS), pa.int64()))
+                yield record_batch(schema, doc_id=b.column(0).slice(lo, m), row=b.column(2).slice(lo, m), n=n, one=sums[0], two=sums[1], sketch=lists(sketch.ravel(), np.full(m, LONGS), pa.int64()))
 
-    return run, "doc_id long, n long, one long, two long, sketch array<long>"
+    return run, "doc_id long, row long, n long, one long, two long, sketch array<long>"
 
 
 def _emit(size: int, percent: int, parts: int):
@@ -230,20 +230,34 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, few: int
     return both.mapInArrow(fn, ddl).where("linked").select("a", "b")
 
 
+def _some(df: DataFrame) -> DataFrame:
+    """A table of ids for a join: broadcast up to FEW_IDS rows, counted, else joined by sorting."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df.hint("merge")
+
+
+def _speaking(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """``docs`` without the texts that don't speak for their id; ``several`` holds the ids with more than one text."""
+    several = stored(several, "several")
+    if several.isEmpty():
+        return docs
+    return docs.join(_some(several), "doc_id", "left").where("own is null or own = row").drop("own")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, part_rows: int = 400_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    docs = texts(docs, key, text)
+    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))
     fn, ddl = _describe(size)
-    base = stored(docs.mapInArrow(fn, ddl).dropDuplicates(["doc_id"]), "sets")
+    sets = docs.mapInArrow(fn, ddl).groupBy("doc_id").agg(F.min_by(F.struct("n", "one", "two", "sketch"), "row").alias("s"), F.min("row").alias("row"), F.max("row").alias("most"))
+    base = stored(sets.select("doc_id", "row", "most", "s.*"), "sets")
+    docs = _speaking(docs, base.where("row < most").select("doc_id", F.col("row").alias("own"))).select("doc_id", "text")
     first = base.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    named = base.drop("sketch").join(first, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    named = base.select("doc_id", "n", "one", "two").join(first, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = stored(named, "first-copies")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) * 6 // 10 // part_rows))
     fn, ddl = _emit(size, percent, parts)
     copies = stored(named.where("rep != doc_id").select("doc_id"), "copies")  # they have nothing more to find
-    few = copies.count() <= FEW_IDS
-    ours = docs.join(F.broadcast(copies) if few else copies.hint("merge"), "doc_id", "left_anti")
+    ours = docs.join(_some(copies), "doc_id", "left_anti")
     stars = stored(ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct(), "stars")
 
     known = base.select(F.col("doc_id"), "n", "sketch")
@@ -256,8 +270,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # Documents that share a bucket share its center, so the pairs left to look at meet under a center.
     of = stars.unionByName(stars.select("center", F.col("center").alias("doc")).distinct())
     of = of.join(roots, F.col("doc") == F.col("node"), "left").select("center", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = of.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("center")
-    open_ = of.join(mixed, "center", "left_semi").join(known, F.col("doc") == F.col("doc_id")).select("center", "doc", "root", "n", "sketch")
+    mixed = stored(of.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("center"), "mixed")
+    open_ = of.join(_some(mixed), "center", "left_semi").join(known, F.col("doc") == F.col("doc_id")).select("center", "doc", "root", "n", "sketch")
     open_ = stored(open_, "open")
     pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.center") == F.col("y.center")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
     pairs = stored(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
