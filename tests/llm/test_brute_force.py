@@ -132,19 +132,57 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.95
 
 
-def test_secret_battery():
-    from kinfold.llm.secret_scan import battery, judge
+def _drawn(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_secret_battery_finds_drawn_strings_of_every_encoding(spark, texts):
+    """Strings drawn at random, put into real texts: recall by encoding, through the operator; words of text are left alone."""
+    from kinfold.llm.secret_scan import _ALPHABETS, _DIGITS, battery, scan_secrets
 
     rng = random.Random(1)
-    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    found = sum((judge("".join(rng.choice(base64) for _ in range(40)), 0.01, 0.12) or (0, 0))[1] >= 24 for _ in range(200))
-    assert found > 180
+    names = [a for a in _ALPHABETS if a != _DIGITS]
+    rows, planted = [], {}
+    for i, a in enumerate(names):
+        for j in range(40):
+            secret = _drawn(rng, a, 40)
+            planted[1000 * i + j] = (i, secret)
+            rows.append((1000 * i + j, f"{texts[(7 * i + j) % len(texts)] or ''} {secret} end"))
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [0] * len(names)
+    for d, (i, secret) in planted.items():
+        at = dict(rows)[d].rindex(secret)
+        found[i] += any(s <= at and e >= at + 40 for s, e in zip(got[d]["starts"], got[d]["ends"], strict=True))
+    assert min(found) >= 36, dict(zip(names, found, strict=True))
     words = ["information", "internationalization", "configuration", "thelongestwordinthissentence"]
-    assert all((judge("".join(rng.choice(words) for _ in range(3)), 0.01, 0.12) or (0, 0))[1] < 24 for _ in range(100))
-    uniform = [min(battery("".join(rng.choice("0123456789abcdef") for _ in range(64)))) for _ in range(300)]
+    clean = [(i, " ".join("".join(rng.choice(words) for _ in range(3)) for _ in range(5))) for i in range(100)]
+    mixed = spark.createDataFrame([*clean, *((10_000 + d, t) for d, t in rows)], "doc_id long, text string")
+    assert not [r for r in scan_secrets(mixed).where("doc_id < 1000").collect() if r["doc_id"] < 100 and "random" in r["kinds"] and planted.get(r["doc_id"]) is None]
+    uniform = [min(battery(_drawn(rng, "0123456789abcdef", 64))) for _ in range(300)]
     assert sum(p < 0.01 for p in uniform) < 20
 
 
+def test_base_patterns_against_a_plain_scan(spark, texts):
+    """Every text of the table, character by character, without the prefilters."""
+    import hashlib
+    import re
+
+    from kinfold.llm.queries import queries
+
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    got = {r["doc_id"]: r for r in queries()["op4_secret_scan"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    for d, text in docs:
+        text = text or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert got[d]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), d
+        assert [got[d][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+    assert len(got) == len(docs)
+
+
 def test_pipeline(spark):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline

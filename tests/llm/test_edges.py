@@ -47,12 +47,12 @@ def test_quality(spark, docs, none):
     from kinfold.llm.quality_classifier import classify
 
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (None, 1, 1), (8, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
-    got = rows(classify(docs.drop("score"), labels))
+    got = rows(classify(docs, labels))
     assert len(got) == 14 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
     same = [r["score"] for r in got if r["doc_id"] in (3, 4)]
     assert same[0] == same[1]
-    assert all(r["score"] == 0.5 for r in rows(classify(docs.drop("score"), labels.limit(0))))
-    assert rows(classify(none.drop("score"), labels)) == []
+    assert all(r["score"] == 0.5 for r in rows(classify(docs, labels.limit(0))))
+    assert rows(classify(none, labels)) == []
 
 
 def test_near_duplicates(docs, none):
@@ -83,7 +83,7 @@ def test_decontamination(spark, docs, none):
     got = {r["doc_id"]: r for r in rows(find_benchmark(docs, items))}
     assert got[1]["n_hit"] == got[2]["n_hit"] == 12 and got[8]["n_hit"] == 2 and got[9]["n_items"] == 1 and got[3]["n_words"] == 0
     assert got[1]["items_sha256"] == hashlib.sha256(b"10").hexdigest()
-    parts = {r["doc_id"]: r for r in rows(find_benchmark(docs, items, block_bytes=20))}
+    parts = {r["doc_id"]: r for r in rows(find_benchmark(docs, items, block_nodes=5, hold=100))}
     assert {k: (v["n_hit"], v["items_sha256"]) for k, v in parts.items()} == {k: (v["n_hit"], v["items_sha256"]) for k, v in got.items()}
     assert original_offsets("Ä, b c", [(1, 3)]) == [(3, 6)]
     assert rows(find_benchmark(none, items)) == [] and not any(r["contaminated"] for r in rows(find_benchmark(docs, items.limit(0))))
@@ -210,3 +210,83 @@ def test_template_inside_articles(spark):
     assert _template_texts(spark, [page(i) for i in range(8)]) == [f"title {i}\nstory {i}\nmore {i}" for i in range(8)]
     only = _template_texts(spark, [*map(page, range(8)), "<body><article><div class=box>Sign up for our letters</div></article>"])
     assert only[8] == "Sign up for our letters"  # what a page marks is kept where nothing else is marked
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Rows without an id, rows of one id with other texts, and every name the operators use or return as a column."""
+    names = [
+        "row", "sha", "keys", "rep", "copy", "at", "marks", "score", "held_out", "predicted", "x", "quality", "n", "one", "two", "sketch", "center", "root",
+        "node", "starts", "ends", "kinds", "_id", "_starts", "n_hit", "contaminated", "los", "piece", "shard", "fill", "hash", "block", "host", "page", "n_words",
+    ]
+    secret = "password: hunter2hunter2"
+    texts = [(1, "one " + PASSAGE), (1, PASSAGE + " " + secret), (2, PASSAGE), (None, secret), (None, PASSAGE), (3, None), (3, "under the mit license here"), (4, secret + " and more"), (4, "short"), (5, LONG)]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} double" for n in names)
+    return spark.createDataFrame([(d, t, *[7.5] * len(names)) for d, t in texts], schema)
+
+
+def test_rows_of_one_id_and_clashing_names(spark, alike):
+    from kinfold.llm.best_fit_packing import pack
+    from kinfold.llm.decontamination import clean, find_benchmark
+    from kinfold.llm.jaccard_join import near_duplicates
+    from kinfold.llm.katz_lm import score
+    from kinfold.llm.license_scan import scan_licenses
+    from kinfold.llm.quality_classifier import accepted, classify
+    from kinfold.llm.secret_scan import redact, scan_secrets
+    from kinfold.llm.substring_dedup import dedup_substrings
+
+    cut = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in dedup_substrings(alike).collect())
+    assert cut == [(1, 81, 0), (1, 82, 0), (2, 80, 80), (3, 0, 0), (3, 5, 0), (4, 1, 0), (4, 4, 0), (5, 60_000, 0)]
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    got = classify(alike, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 10 and not got.where("score = 7.5").count()
+    kept = accepted(alike, labels, threshold=0.0)
+    assert kept.columns == alike.columns and kept.where("score = 7.5 and predicted = 7.5").count() == 10
+    near = rows(near_duplicates(alike))
+    assert [r["doc_id"] for r in near] == [1, 2, 3, 4, 5] and [r["component_id"] for r in near][:2] == [1, 1]
+    assert near == rows(near_duplicates(alike.repartition(5)))
+    texts = [r["text"] for r in redact(alike).collect()]
+    assert len(texts) == 10 and not any(t and "hunter2" in t for t in texts) and None in texts
+    assert redact(alike).columns == alike.columns and scan_secrets(alike).where("size(starts) > 0").count() == 3
+    items = spark.createDataFrame([(10, " ".join(PASSAGE.split()[5:17])), (11, "under the MIT")], "item_id long, text string")
+    for options in ({}, {"block_nodes": 4, "hold": 1000}):
+        hits = sorted((r["doc_id"], r["n_hit"]) for r in find_benchmark(alike, items, **options).collect())
+        assert hits == [(1, 12), (1, 12), (2, 12), (3, 0), (3, 3), (4, 0), (4, 0), (5, 0)]
+        left = clean(alike, items, **options)
+        assert left.columns == alike.columns and left.count() == 5
+    pieces = pack(alike, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {r["doc_id"] for r in pieces} == {1, 2, 3, 4, 5} and sum(r["piece"] == 0 for r in pieces) == 8
+    assert sorted((r["doc_id"], r["base_labels"]) for r in scan_licenses(alike).collect() if r["base_labels"]) == [(3, "mit")]
+    assert scan_licenses(alike).count() == 8 and score(alike).count() == 8
+
+
+def test_pages_of_one_id_and_clashing_names(spark):
+    from kinfold.llm.html_extraction import extract
+
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x y</p>", 5, "k"), (1, "http://a/2", "<p>z</p>", 5, "k"), (None, None, None, 5, "k")], "page_id long, url string, html string, n_chars long, text string")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract(pages).collect()) == [(0, "", 0), (1, "x y", 3), (1, "z", 1)]
+
+
+def test_vectors_of_many_dimensions(spark):
+    import numpy as np
+
+    from kinfold.llm.nearest_neighbours import nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 3072)) * 100 + 300  # products near the largest that eight bits give
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in nearest(df, k=5, every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 60, 10):
+        scores = np.cumsum(x[q] * x, axis=1)[:, -1]
+        assert got[q] == [i for i in np.argsort(-scores, kind="stable").tolist() if i != q][:5]
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    from kinfold.llm.katz_lm import score
+
+    twice = docs.select("doc_id", "text").coalesce(1)
+    twice = twice.unionByName(twice)
+    a, b = (sorted((r["doc_id"], round(r["score"], 8)) for r in score(x).collect()) for x in (twice, twice.coalesce(1)))
+    assert a == b
