@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages; each applies one operator of ``kinfold.llm`` to all that came before.
 
 1. quality: documents the classifier rejects go;
-2. near_duplicates: of each group of linked documents the one with the least doc_id stays;
+2. near_duplicates: of each group of linked documents the one with the least doc_id stays, and of rows of one doc_id the one
+   whose text has the least hash, which is the one that speaks for the document in the join;
 3. decontamination: documents that hold a benchmark window go;
 4. secrets: secrets are replaced by a mark, the documents stay;
 5. packing: the rest is packed into sequences of at most 4,096 tokens.
@@ -18,16 +19,16 @@ from pyspark.sql import functions as F
 
 from kinfold.llm._base import read, stored
 from kinfold.llm.best_fit_packing import pack
-from kinfold.llm.decontamination import find_benchmark
+from kinfold.llm.decontamination import clean
 from kinfold.llm.jaccard_join import near_duplicates
-from kinfold.llm.quality_classifier import classify
+from kinfold.llm.quality_classifier import accepted
 from kinfold.llm.secret_scan import redact
 from kinfold.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return classify(docs, read(spark, sf_dir, "labels"), threshold=0.3).where("predicted = 1").select(docs.columns)
+    return accepted(docs, read(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +36,20 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = stored(near_duplicates(docs, size=5, percent=80), "classes")
     later = classes.where("component_id != doc_id").select("doc_id")
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").count() > classes.count():  # repeated rows of a document
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_m")).where("_m > 1").select("doc_id")
+    several = stored(several, "several")
+    if several.isEmpty():
+        return kept
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(*docs.columns).alias("b"))
+    one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, own).alias("_row"))
+    one = one.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    hit = find_benchmark(docs, read(spark, sf_dir, "benchmark"), window=10).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return clean(docs, read(spark, sf_dir, "benchmark"), window=10)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
