@@ -44,25 +44,35 @@ def ecg(ped: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def inbreeding(ped: DataFrame, shares: DataFrame, depth: DataFrame) -> DataFrame:
-    """id, F and D (the Mendelian variance): F = sum of L^2 D over the ancestry - 1, depth by depth, since D needs the parents' F."""
+    """id, F and D (the Mendelian variance): F = sum of L^2 D over the ancestry - 1, depth by depth, since D needs the parents' F.
+
+    As soon as a depth is done, its ancestors' terms L^2 D are added up for all their descendants, so each share is read
+    and joined once.
+    """
     rows = stored(ped.select("id", "mother", "father").join(depth, "id"), "by-depth")
     last = rows.agg(F.max("depth")).first()[0]
-    shares = stored(shares.join(depth, "id"), "shares")
+    if last is None:
+        return rows.select("id", F.lit(0.0).alias("F"), F.lit(1.0).alias("D"))
+    at = depth.select(F.col("id").alias("anc"), F.col("depth").alias("level"))
+    terms = stored(shares.where("id != anc").join(at, "anc").select("id", "anc", "level", (F.col("l") * F.col("l")).alias("l2")), "shares")
     done: list[DataFrame] = []
-    for level in range((last if last is not None else -1) + 1):
-        here = rows.where(F.col("depth") == level)
+    sums: list[DataFrame] = []
+    for level in range(last + 1):
+        here = rows.where(F.col("depth") == level).drop("depth")
+        d, own = F.lit(1.0), F.lit(0.0)
         if done:
             f = reduce(DataFrame.unionByName, done).select("id", "F")
             for p in ("mother", "father"):
                 here = here.join(f.select(F.col("id").alias(p), F.col("F").alias(f"F_{p}")), p, "left")
-            d = 1 - sum((F.when(F.col(f"F_{p}").isNotNull(), 0.25 * (1 + F.col(f"F_{p}"))).otherwise(0.0) for p in ("mother", "father")), F.lit(0.0))
-        else:
-            d = F.lit(1.0)
-        here = here.select("id", d.alias("D"))
-        known = here if not done else reduce(DataFrame.unionByName, done).select("id", "D").unionByName(here)
-        f = shares.where(F.col("depth") == level).join(known.select(F.col("id").alias("anc"), "D"), "anc").groupBy("id").agg((F.sum(F.col("l") * F.col("l") * F.col("D")) - 1).alias("F"))
-        done.append(stored(here.join(f, "id").select("id", F.when(F.abs("F") < 1e-12, 0.0).otherwise(F.col("F")).alias("F"), "D"), "inbreeding"))
-    return reduce(DataFrame.unionByName, done) if done else rows.select("id", F.lit(0.0).alias("F"), F.lit(1.0).alias("D"))
+                d = d - F.when(F.col(f"F_{p}").isNotNull(), 0.25 * (1 + F.col(f"F_{p}"))).otherwise(0.0)
+            above = reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("s").alias("s"))
+            here, own = here.join(above, "id", "left"), F.coalesce("s", F.lit(0.0))
+        here = here.select("id", d.alias("D"), own.alias("s")).withColumn("F", F.col("s") + F.col("D") - 1)
+        done.append(stored(here.select("id", F.when(F.abs("F") < 1e-12, 0.0).otherwise(F.col("F")).alias("F"), "D"), "inbreeding"))
+        if level < last:
+            mine = done[-1].select(F.col("id").alias("anc"), "D")
+            sums.append(stored(terms.where(F.col("level") == level).join(mine, "anc").groupBy("id").agg(F.sum(F.col("l2") * F.col("D")).alias("s")), "sums"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def pair_kinship(pairs: DataFrame, shares: DataFrame, inbred: DataFrame) -> DataFrame:

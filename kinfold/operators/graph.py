@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.session import stored
+from kinfold.session import counted, forget, stored
 
 
 def edges(ped: DataFrame) -> DataFrame:
@@ -25,22 +25,25 @@ def inner_edges(ped: DataFrame) -> DataFrame:
 
 
 def structural_depth(ped: DataFrame, most: int | None = None) -> DataFrame:
-    """id and depth: 0 without parents in the table, else one more than the deepest parent; null in and below cycles."""
+    """id and depth: 0 without parents in the table, else one more than the deepest parent; null in and below cycles.
+
+    A round is one job: the children of the last level count down their open links, and those without any are the next.
+    """
     links = stored(inner_edges(ped).select("child", "parent"), "edges")
-    waits = links.groupBy("child").agg(F.count("*").alias("open"))
-    done = [stored(ped.select("id").join(waits, F.col("id") == F.col("child"), "left_anti").select("id", F.lit(0).alias("depth")), "depth")]
-    waits = stored(waits, "waits")
+    waits = links.groupBy("child").agg(F.count("*").alias("open")).select(F.col("child").alias("id"), "open")
+    now, seen = counted(ped.select("id").distinct().join(waits, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")), "depth", fresh=F.count_if(F.col("open") == 0))
+    done = []
     level = 0
-    while most is None or level < most:
-        level += 1
-        came = links.join(done[-1].select(F.col("id").alias("parent")), "parent").groupBy("child").agg(F.count("*").alias("came"))
-        now = stored(waits.join(came, "child", "left").withColumn("open", F.col("open") - F.coalesce("came", F.lit(0))).drop("came"), "waits")
-        fresh = stored(now.where("open = 0").select(F.col("child").alias("id"), F.lit(level).alias("depth")), "depth")
-        if fresh.isEmpty():
+    while seen["fresh"]:
+        fresh = now.where("open = 0")
+        done.append(fresh.select("id", F.lit(level).alias("depth")))
+        if level == most or seen["fresh"] == seen["n"]:
             break
-        done.append(fresh)
-        waits = now.where("open > 0")
-    found = reduce(DataFrame.unionByName, done)
+        level += 1
+        came = links.join(fresh.select(F.col("id").alias("parent")), "parent").groupBy("child").agg(F.count("*").alias("came"))
+        rest = now.where("open > 0").join(came, F.col("id") == F.col("child"), "left").select("id", (F.col("open") - F.coalesce("came", F.lit(0))).alias("open"))
+        now, seen = counted(rest, "depth", fresh=F.count_if(F.col("open") == 0))
+    found = reduce(DataFrame.unionByName, done) if done else now.select("id", F.lit(0).alias("depth")).limit(0)
     return ped.select("id").distinct().join(found, "id", "left")
 
 
@@ -56,35 +59,41 @@ def closure(ped: DataFrame, most: int | None = None, keep_self: bool = True) ->
     while most is None or gen < most:
         gen += 1
         level = level.join(up, F.col("anc") == F.col("child")).groupBy("id", F.col("parent").alias("a")).agg(F.sum("n").alias("n")).select("id", F.col("a").alias("anc"), F.lit(gen).alias("gen"), "n")
-        level = stored(level, "paths")
-        if level.isEmpty():
+        level, seen = counted(level, "paths")
+        if not seen["n"]:
             break
         parts.append(level)
     return reduce(DataFrame.unionByName, parts) if parts else level
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
-    """id and component (its least id) of each node; ``links`` is (a, b).
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id and component (its least id) of each node; ``links`` is (a, b)."""
+    roots = star_roots(links)
+    return nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def star_roots(links: DataFrame) -> DataFrame:
+    """node and root (the least node it reaches) for every node of ``links`` (a, b) but for the roots themselves.
 
-    Alternating large-star and small-star steps: aggregates and joins on a node, so a hub is never gathered.
+    Alternating large-star and small-star steps: aggregates and joins on a node, so a hub is never gathered.  Rounds go on
+    until nothing changes; of the tables only the last two are kept.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    now = stored(links.where("a != b").select(hi.alias("a"), lo.alias("b")).distinct(), "links")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(rounds if before[0] else 0):
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    now, before = counted(links.where("a != b").select(hi.alias("a"), lo.alias("b")).distinct(), "links", mark=mark)
+    while before["n"]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stored(small.where("a != b").distinct(), "links")
-        after = mark(now)
+        then, after = counted(small.where("a != b").distinct(), "links", mark=mark)
+        forget(now)
+        now = then
         if after == before:
             break
         before = after
-    roots = now.groupBy("a").agg(F.min("b").alias("root"))
-    return nodes.join(roots, F.col("id") == F.col("a"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
 def pedigree_components(ped: DataFrame) -> DataFrame:

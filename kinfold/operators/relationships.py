@@ -6,7 +6,10 @@ ways, a *half* one or a lineal needs one; each unordered pair takes the closest
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.session import stored
@@ -41,51 +44,164 @@ DEGREE = {c[0]: c[1] for c in CODES}
 ORDER = {c[0]: i for i, c in enumerate(CODES)}
 
 
-def relationship_pairs(ped: DataFrame, paths: DataFrame, max_degree: int = 5, twins: DataFrame | None = None) -> DataFrame:
-    """id1, id2, code of every related pair: the junior (more steps up) first, or the smaller id where both go as far.
+_LINEAL_OR_SIB = ("MZ", "MO", "FO", "MHS", "PHS")
 
-    ``twins`` holds linked pairs (id1, id2).  One join of the paths with themselves on the common ancestor serves all codes.
-    """
-    wanted = [c for c in CODES if c[1] <= max_degree]
-    sides = sorted({(u, d) for _, _, u, d, _ in wanted if d})
-    most = max((u for _, _, u, _, _ in wanted), default=0)
-    near = paths.where((F.col("gen") >= 1) & (F.col("gen") <= most))
-    line = near.groupBy("id", "anc", "gen").agg(F.sum("n").alias("ways")).select(F.col("id").alias("i"), F.col("anc").alias("j"), F.col("gen").alias("u"), F.lit(0).alias("d"), "ways")
-    if sides:
-        x = near.select("anc", F.col("id").alias("i"), F.col("gen").alias("u"), F.col("n").alias("nx"))
-        y = near.select("anc", F.col("id").alias("j"), F.col("gen").alias("d"), F.col("n").alias("ny"))
-        fits = F.lit(False)
-        for u, d in sides:
-            fits = fits | ((F.col("u") == u) & (F.col("d") == d))
-        both = x.join(y.where(F.col("d") <= max(d for _, d in sides)), "anc").where(fits & (F.col("i") != F.col("j")) & ((F.col("u") > F.col("d")) | (F.col("i") < F.col("j"))))
-        line = line.unionByName(both.groupBy("i", "j", "u", "d").agg(F.sum(F.col("nx") * F.col("ny")).alias("ways")))
-    by_steps: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
-    for code, _, u, d, ways in wanted:
-        if code not in ("MZ", "MO", "FO", "MHS", "PHS"):
-            by_steps.setdefault((u, d), []).append((ORDER[code], ways, code))
+
+def _rank(codes: list[tuple], collateral: bool) -> Column:
+    """The place of the closest code that (u, d, ways) matches, of those with or without steps down."""
+    by_steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for code, _, u, d, ways in codes:
+        if code not in _LINEAL_OR_SIB and bool(d) == collateral:
+            by_steps.setdefault((u, d), []).append((ORDER[code], ways))
     rank = F.lit(None).cast("int")
     for (u, d), options in by_steps.items():
         here = F.lit(None).cast("int")
-        for place, ways, _ in sorted(options, reverse=True):
+        for place, ways in sorted(options, reverse=True):
             here = F.when(F.col("ways") >= ways, place).otherwise(here)
         rank = F.when((F.col("u") == u) & (F.col("d") == d), here).otherwise(rank)
-    got = line.select("i", "j", rank.alias("rank"))
-    parts = [got]
-    for role, code in (("mother", "MO"), ("father", "FO")):
-        parts.append(ped.where(f"{role} is not null").select(F.col("id").alias("i"), F.col(role).alias("j"), F.lit(ORDER[code]).alias("rank")).join(ped.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j", "rank"))
-    if max_degree >= 2:
+    return rank
+
+
+class Kin:
+    """Related pairs by families.
+
+    Full siblings, and others with the same recorded parents, have the same ways up, so u steps up and d steps down with both
+    at least 1 are counted between *families* (named by the least id), one ancestor, number of steps up and family at a time.
+    Only what differs within a family, that is lines of descent, parents and linked twins, is kept by person (``closer``).
+    Counts, burdens and densities follow from family sizes; pairs of persons are made only if asked for.
+
+    members: id, fam, size; families: fam_a <= fam_b, rank_a (least rank with a member of fam_a as the junior), rank_b;
+    closer: lo < hi, best (rank, i, j).
+    """
+
+    def __init__(self, ped: DataFrame, paths: DataFrame, max_degree: int = 5, twins: DataFrame | None = None) -> None:
+        self.ped, self.max_degree = ped, max_degree
+        codes = [c for c in CODES if c[1] <= max_degree]
+        has_row = ped.select(F.col("id").alias("parent"))
+        whole = W.partitionBy("mother", "father")
+        of = ped.where("mother is not null or father is not null")
+        self.members = stored(of.select("id", F.min("id").over(whole).alias("fam"), F.count("*").over(whole).alias("size"), "mother", "father"), "members")
+        near = paths.where((F.col("gen") >= 1) & (F.col("gen") <= max((u for _, _, u, _, _ in codes), default=0)))
+        self.families = stored(self._families(codes, near, has_row), "kin")
+        self.closer = stored(self._closer(codes, near, has_row, twins), "closer")
+
+    def _families(self, codes: list[tuple], near: DataFrame, has_row: DataFrame) -> DataFrame:
+        heads = self.members.where("id = fam").select("fam", "size", "mother", "father")
+        up = near.join(heads.select(F.col("fam").alias("id")), "id", "left_semi")
+        ups: dict[int, list[int]] = {}
+        for _, _, u, d, _ in codes:
+            if d and u not in ups.setdefault(d, []):
+                ups[d].append(u)
+        parts = []
+        if ups:
+            wanted = F.create_map(*(x for d, us in ups.items() for x in (F.lit(d), F.array(*map(F.lit, sorted(us))))))
+            x = up.select("anc", F.col("gen").alias("u"), F.col("id").alias("x"), F.col("n").alias("nx"))
+            y = up.where(F.col("gen") <= max(ups)).select("anc", F.explode(F.try_element_at(wanted, F.col("gen"))).alias("u"), F.col("gen").alias("d"), F.col("id").alias("y"), F.col("n").alias("ny"))
+            both = x.join(y, ["anc", "u"]).where("u > d or x <= y").groupBy("x", "y", "u", "d").agg(F.sum(F.col("nx") * F.col("ny")).alias("ways"))
+            parts.append(both.select("x", "y", (F.col("u") == F.col("d")).alias("even"), _rank(codes, True).alias("rank")).where("rank is not null"))
         for role, code in (("mother", "MHS"), ("father", "PHS")):
-            own = ped.where(f"{role} is not null").join(ped.select(F.col("id").alias(role)), role, "left_semi").select("id", role)
-            parts.append(own.alias("x").join(own.alias("y"), F.col(f"x.{role}") == F.col(f"y.{role}")).where("x.id < y.id").select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.lit(ORDER[code]).alias("rank")))
-    if twins is not None:
-        parts.append(twins.select(F.least("id1", "id2").alias("i"), F.greatest("id1", "id2").alias("j"), F.lit(0).alias("rank")))
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
-    # One row per unordered pair: the least rank decides, and of two directions the one whose id is smaller.
-    found = everything.where("rank is not null").groupBy(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.min(F.struct("rank", "i", "j")).alias("best"))
-    names = F.element_at(F.array(*(F.lit(c[0]) for c in CODES)), F.col("best.rank") + 1)
-    return found.select(F.col("best.i").alias("id1"), F.col("best.j").alias("id2"), names.alias("code"))
+            if DEGREE[code] <= self.max_degree:
+                own = heads.join(has_row, F.col(role) == F.col("parent"), "left_semi").select("fam", role)
+                halves = own.alias("p").join(own.alias("q"), role).where("p.fam <= q.fam")
+                parts.append(halves.select(F.col("p.fam").alias("x"), F.col("q.fam").alias("y"), F.lit(True).alias("even"), F.lit(ORDER[code]).alias("rank")))
+        if not parts:
+            return heads.select(F.col("fam").alias("fam_a"), F.col("fam").alias("fam_b"), F.lit(0).alias("rank_a"), F.lit(0).alias("rank_b")).limit(0)
+        found = reduce(DataFrame.unionByName, parts)
+        a_junior, b_junior = F.col("even") | (F.col("x") <= F.col("y")), F.col("even") | (F.col("x") >= F.col("y"))
+        best = found.groupBy(F.least("x", "y").alias("fam_a"), F.greatest("x", "y").alias("fam_b")).agg(F.min(F.when(a_junior, F.col("rank"))).alias("rank_a"), F.min(F.when(b_junior, F.col("rank"))).alias("rank_b"))
+        alone = heads.where("size = 1").select(F.col("fam").alias("fam_a"), F.col("fam").alias("fam_b"))
+        return best.join(alone, ["fam_a", "fam_b"], "left_anti")
+
+    def _closer(self, codes: list[tuple], near: DataFrame, has_row: DataFrame, twins: DataFrame | None) -> DataFrame:
+        line = near.groupBy("id", "anc", "gen").agg(F.sum("n").alias("ways")).select(F.col("id").alias("i"), F.col("anc").alias("j"), F.col("gen").alias("u"), F.lit(0).alias("d"), "ways")
+        parts = [line.select("i", "j", _rank(codes, False).alias("rank")).where("rank is not null")]
+        for role, code in (("mother", "MO"), ("father", "FO")):
+            if DEGREE[code] <= self.max_degree:
+                named = self.members.select(F.col("id").alias("i"), F.col(role).alias("parent")).join(has_row, "parent", "left_semi")
+                parts.append(named.select("i", F.col("parent").alias("j"), F.lit(ORDER[code]).alias("rank")))
+        if twins is not None:
+            parts.append(twins.select(F.least("id1", "id2").alias("i"), F.greatest("id1", "id2").alias("j"), F.lit(0).alias("rank")))
+        return reduce(DataFrame.unionByName, parts).where("i != j").groupBy(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.min(F.struct("rank", "i", "j")).alias("best"))
+
+    def _overlap(self) -> DataFrame:
+        """closer with the rank that the pair's families have, and their names."""
+        own = self.members.select("id", "fam")
+        c = self.closer.join(own.select(F.col("id").alias("lo"), F.col("fam").alias("f")), "lo", "left").join(own.select(F.col("id").alias("hi"), F.col("fam").alias("g")), "hi", "left")
+        kin = self.families.select("fam_a", "fam_b", F.least("rank_a", "rank_b").alias("far"))
+        c = c.withColumn("fam_a", F.least("f", "g")).withColumn("fam_b", F.greatest("f", "g")).withColumn("both", F.col("f").isNotNull() & F.col("g").isNotNull())
+        return c.join(kin, (c["fam_a"] == kin["fam_a"]) & (c["fam_b"] == kin["fam_b"]) & c["both"], "left").select("lo", "hi", F.col("best.rank").alias("rank"), "far")
+
+    def _sized(self) -> DataFrame:
+        """Family pairs with both sizes, the number of pairs of persons and the rank."""
+        size = self.members.where("id = fam").select("fam", "size")
+        got = self.families.join(size.select(F.col("fam").alias("fam_a"), F.col("size").alias("size_a")), "fam_a").join(size.select(F.col("fam").alias("fam_b"), F.col("size").alias("size_b")), "fam_b")
+        n = F.when(F.col("fam_a") == F.col("fam_b"), F.col("size_a") * (F.col("size_a") - 1) / 2).otherwise(F.col("size_a") * F.col("size_b")).cast("long")
+        return got.select("fam_a", "fam_b", "size_a", "size_b", n.alias("n"), F.least("rank_a", "rank_b").alias("rank"))
+
+    def pairs(self) -> DataFrame:
+        """id1, id2, code: the junior first, or the smaller id where both are."""
+        side = self.members.select("id", "fam")
+        got = self.families.join(side.select(F.col("id").alias("a"), F.col("fam").alias("fam_a")), "fam_a").join(side.select(F.col("id").alias("b"), F.col("fam").alias("fam_b")), "fam_b")
+        got = got.where("fam_a != fam_b or a < b")
+        ra, rb = F.coalesce("rank_a", F.lit(len(CODES))), F.coalesce("rank_b", F.lit(len(CODES)))
+        i = F.when(ra < rb, F.col("a")).when(rb < ra, F.col("b")).otherwise(F.least("a", "b"))
+        j = F.when(ra < rb, F.col("b")).when(rb < ra, F.col("a")).otherwise(F.greatest("a", "b"))
+        far = got.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.struct(F.least(ra, rb).alias("rank"), i.alias("i"), j.alias("j")).alias("best"))
+        best = far.unionByName(self.closer).groupBy("lo", "hi").agg(F.min("best").alias("best"))
+        return best.select(F.col("best.i").alias("id1"), F.col("best.j").alias("id2"), _code(F.col("best.rank")).alias("code"))
+
+    def counts(self) -> DataFrame:
+        """code and number of pairs, without a list of pairs."""
+        near = self._overlap().where("far is null or rank < far")
+        n = self._sized().groupBy("rank").agg(F.sum("n").alias("n"))
+        n = n.unionByName(near.groupBy("rank").agg(F.count("*").alias("n"))).unionByName(near.where("far is not null").groupBy(F.col("far").alias("rank")).agg((-F.count("*")).alias("n")))
+        return n.groupBy("rank").agg(F.sum("n").alias("n")).where("n > 0").select(_code(F.col("rank")).alias("code"), "n")
+
+    def burden(self) -> DataFrame:
+        """Per person: relatives by degree 1 to 5 and the closest degree."""
+        s = self._sized().withColumn("degree", _degree(F.col("rank")))
+        sides = s.select("fam_a", "fam_b", "degree", "size_a", "size_b")
+        one = sides.select(F.col("fam_a").alias("fam"), "degree", F.when(F.col("fam_a") == F.col("fam_b"), F.col("size_b") - 1).otherwise(F.col("size_b")).alias("n"))
+        two = sides.where("fam_a != fam_b").select(F.col("fam_b").alias("fam"), "degree", F.col("size_a").alias("n"))
+        by = one.unionByName(two).groupBy("fam").agg(*(F.sum(F.when(F.col("degree") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in range(6)))
+        near = self._overlap().where("far is null or rank < far").select(F.explode(F.array("lo", "hi")).alias("id"), _degree(F.col("rank")).alias("new"), _degree(F.col("far")).alias("old"))
+        own = near.groupBy("id").agg(*((F.count_if(F.col("new") == k) - F.count_if(F.col("old") == k)).alias(f"e{k}") for k in range(6)))
+        rows = self.ped.select("id").join(self.members.select("id", "fam"), "id", "left").join(by, "fam", "left").join(own, "id", "left")
+        n = [F.coalesce(f"d{k}", F.lit(0)) + F.coalesce(f"e{k}", F.lit(0)) for k in range(6)]
+        some = F.lit(False)
+        for k in range(6):
+            some = some | (n[k] > 0)
+        closest = F.coalesce(*(F.when(n[k] > 0, k) for k in range(6)))
+        return rows.select("id", *(F.when(F.lit(k <= self.max_degree) & some, n[k]).otherwise(F.lit(0) if k <= self.max_degree else F.lit(None)).cast("long").alias(f"degree_{k}") for k in range(1, 6)), closest.alias("closest_degree"))
+
+    def density(self, depth: DataFrame) -> DataFrame:
+        """Per depth: persons, related pairs within it, and their share of all pairs; members of a family share their depth."""
+        at = lambda k, d: depth.select(F.col("id").alias(k), F.col("depth").alias(d))
+        far = self._sized().join(at("fam_a", "d1"), "fam_a").join(at("fam_b", "d2"), "fam_b").where("d1 = d2").groupBy("d1").agg(F.sum("n").alias("n"))
+        near = self._overlap().where("far is null").join(at("lo", "d1"), "lo").join(at("hi", "d2"), "hi").where("d1 = d2").groupBy("d1").agg(F.count("*").alias("n"))
+        return _density(depth, far.unionByName(near).groupBy(F.col("d1").alias("depth")).agg(F.sum("n").alias("n_pairs")))
+
+
+def _code(rank: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(c[0]) for c in CODES)), rank + 1)
+
+
+def _degree(rank: Column) -> Column:
+    return F.get(F.array(*(F.lit(c[1]) for c in CODES)), rank)
+
+
+def _density(depth: DataFrame, inside: DataFrame) -> DataFrame:
+    size = depth.groupBy("depth").agg(F.count("*").alias("n"))
+    n = F.coalesce("n_pairs", F.lit(0))
+    return size.join(inside, "depth", "left").select("depth", "n", n.alias("n_pairs"), F.when(F.col("n") > 1, n / (F.col("n") * (F.col("n") - 1) / 2)).alias("density"))
+
+
+def relationship_pairs(ped: DataFrame, paths: DataFrame, max_degree: int = 5, twins: DataFrame | None = None) -> DataFrame:
+    """id1, id2, code of every related pair: the junior (more steps up) first, or the smaller id where both go as far.
+
+    ``twins`` holds linked pairs (id1, id2).
+    """
+    return Kin(ped, paths, max_degree, twins).pairs()
 
 
 def relationship_counts(pairs: DataFrame, max_degree: int = 5) -> dict[str, int | None]:
@@ -110,10 +226,4 @@ def related_density(pairs: DataFrame, depth: DataFrame) -> DataFrame:
     """Per depth: persons, related pairs within it, and their share of all pairs."""
     one, two = (depth.select(F.col("id").alias(k), F.col("depth").alias(f"d{k[-1]}")) for k in ("id1", "id2"))
     inside = pairs.join(one, "id1").join(two, "id2").where("d1 = d2").groupBy(F.col("d1").alias("depth")).agg(F.count("*").alias("n_pairs"))
-    size = depth.groupBy("depth").agg(F.count("*").alias("n"))
-    n = F.coalesce("n_pairs", F.lit(0))
-    return size.join(inside, "depth", "left").select("depth", "n", n.alias("n_pairs"), F.when(F.col("n") > 1, n / (F.col("n") * (F.col("n") - 1) / 2)).alias("density"))
-
-
-def pairs_of(ped: DataFrame, paths: DataFrame, max_degree: int = 5, twins: DataFrame | None = None) -> DataFrame:
-    return stored(relationship_pairs(ped, paths, max_degree, twins), "pairs")
+    return _density(depth, inside)

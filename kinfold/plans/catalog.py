@@ -214,8 +214,12 @@ def contingency_table(spark, sf):
     return sections.contingency(Derived(spark, sf).ped, "sex", "segment")
 
 
+def _kin(d: Derived, most: int = 5) -> relationships.Kin:
+    return relationships.Kin(d.ped, d.near, most, d.twins)
+
+
 def _pairs(d: Derived, most: int = 5) -> DataFrame:
-    return d._once(f"pairs{most}", lambda: relationships.relationship_pairs(d.ped, d.near, most))
+    return d._once(f"pairs{most}", lambda: _kin(d, most).pairs())
 
 
 @_query
@@ -226,19 +230,18 @@ def relationship_pairs(spark, sf):
 
 @_query
 def relationship_counts(spark, sf):
-    return _pairs(Derived(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))
+    return _kin(Derived(spark, sf)).counts()
 
 
 @_query
 def relationship_burden(spark, sf):
-    d = Derived(spark, sf)
-    return relationships.relationship_burden(d.ped, _pairs(d))
+    return _kin(Derived(spark, sf)).burden()
 
 
 @_query
 def related_density_by_depth(spark, sf):
     d = Derived(spark, sf)
-    return _round(relationships.related_density(_pairs(d), d.depth))
+    return _round(_kin(d).density(d.depth))
 
 
 @_query

@@ -24,13 +24,29 @@ def pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def partial(ped: DataFrame) -> DataFrame:
+    """With half-founders, and with unknown sexes of persons who are nobody's parent or are."""
+    i = F.col("id")
+    return ped.withColumn("mother", F.when(i % 17 != 3, F.col("mother"))).withColumn("father", F.when(i % 19 != 5, F.col("father"))).withColumn("sex", F.when(i % 23 != 7, F.col("sex")))
+
+
 class Derived:
-    """The pedigree with what several queries need, each made once."""
+    """The pedigree with what several queries need, each made once; ``whole`` is False for the one with gaps and twins."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.ped = stored(pedigree(spark, sf_dir), "pedigree")
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True) -> None:
+        ped = pedigree(spark, sf_dir)
+        self.ped = stored(ped if whole else partial(ped), "pedigree")
+        self.whole = whole
         self._made: dict[str, DataFrame] = {}
 
+    @property
+    def twins(self) -> DataFrame | None:
+        """Linked pairs: every tenth family's first and third child."""
+        if self.whole:
+            return None
+        first = self.ped.where("id >= 48 and id % 40 = 0").select(F.col("id").alias("id1"), (F.col("id") + 2).alias("id2"))
+        return first.join(self.ped.select(F.col("id").alias("id2")), "id2", "left_semi").select("id1", "id2")
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = stored(make(), name)

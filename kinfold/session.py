@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -65,11 +66,30 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step of a loop as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or with ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
+
+
+def counted(df: DataFrame, name: str = "step", **totals: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregates of the rows that were written, from the same job; ``n`` is their number."""
+    seen = Observation()
+    totals = {"n": F.count(F.lit(1)), **totals}
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in totals.items())), name)
+    return out, seen.get
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_kinfold_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
