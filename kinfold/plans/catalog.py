@@ -13,9 +13,9 @@ from kinfold.operators import effective_size as ne
 from kinfold.operators import mates as mt
 from kinfold.operators.graph import edges, pedigree_components
 from kinfold.operators.individual import individual_table, mating_pairs, one_hop, offspring_counts
-from kinfold.plans import fixing, validation
+from kinfold.plans import fixing, scenarios, validation
 from kinfold.plans.derived import Derived, dirty
-from kinfold.plans.oracles import ORACLES
+from kinfold.plans.oracles import ORACLES, PEDIGREE
 from kinfold.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,8 +376,8 @@ def _report(spark: SparkSession, sf: str) -> validation.Report:
 
 @_query
 def validation_findings(spark, sf):
-    """Findings by check."""
-    return _report(spark, sf).findings.groupBy("check").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_refs"), F.lit(0)).alias("n_refs"))
+    """Status and findings of each of the 33 checks."""
+    return scenarios.by_check(_report(spark, sf))
 
 
 @_query
@@ -475,11 +475,11 @@ def protected_depth_table(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(_QUERIES) | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES} | scenarios.oracle_sql(PEDIGREE)
 
 
 __all__ = ["FIELDS", "oracle_sql", "queries"]

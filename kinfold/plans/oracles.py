@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinfold.operators.relationships import CODES
+from kinfold.plans.validation import CHECKS
 
 _PED = """
 ped AS (SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex,
@@ -10,6 +11,9 @@ ped AS (SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELS
   CASE WHEN c_custkey >= 48 THEN (2 * ((53 * (c_custkey // 4) + 5) % ((c_custkey // 4) // 2 + 1)) + 1)::BIGINT END AS father,
   c_acctbal AS acctbal, c_mktsegment AS segment FROM customer),
 edges AS (SELECT id AS child, mother AS parent, 'mother' AS role FROM ped WHERE mother IS NOT NULL UNION ALL SELECT id, father, 'father' FROM ped WHERE father IS NOT NULL)"""
+PEDIGREE = _PED
+#: Checks that the dirty variant's options leave out.
+_OFF = ("cycle_breaks", "role_conflict_breaks", "birth_date_dtype", "birth_date_range", "birth_date_year_consistency", "birth_date_topology")
 _WALKS = """,
 walks AS (SELECT id, id AS anc, 0 AS gen FROM ped UNION ALL SELECT w.id, e.parent, w.gen + 1 FROM walks w JOIN edges e ON e.child = w.anc),
 paths AS (SELECT id, anc, gen, count(*) AS n FROM walks GROUP BY ALL),
@@ -203,7 +207,7 @@ count(*) FILTER (mother IS NOT NULL AND father IS NOT NULL) AS n_both_parents, c
     "ne_group_coancestry": _sql(_regressed("group_kinship"), _WALKS, _SHARES, _INBRED, _COHORT),
     "ne_sex_ratio": _sql("SELECT round(count(ne) / sum(1 / ne), 6) AS ne, count(ne) AS n_cohorts FROM (SELECT 4.0::DOUBLE * count(*) FILTER (sex = 'M') * count(*) FILTER (sex = 'F') / count(*) AS ne FROM ped JOIN depth USING (id) GROUP BY depth)", _WALKS),
     "ne_variance_family_size": _sql(f"SELECT depth, n_m AS males, n_f AS females, round(vm, 6) AS vm, round(vf, 6) AS vf, round(CASE WHEN s_m > 0 AND t_m > 0 THEN 1 / (1 / (8 * s_m) + 1 / (8 * t_m) + vm / (16 * n_m) + vf / (16 * n_f)) END, 6) AS ne FROM {_family('depth', 'par JOIN depth USING (id)')}", _WALKS, _KIDS),
-    "ne_individual_delta_f": _sql("SELECT round(1 / (2 * m), 6) AS ne, round(2 * (1 / (2 * m)) * (1 / (2 * m)) * sd / sqrt(n), 6) AS se, CASE WHEN u > 0 THEN round(1 / (2 * u), 6) END AS ne_unrelated_founders, n AS n_reference, CASE WHEN n = 0 THEN 'empty_reference' WHEN m > 0 THEN NULL ELSE 'no_increase' END AS reason FROM (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(d) AS n, avg(v) AS u FROM (SELECT CASE WHEN ecg > 0 THEN 1 - pow(1 - F, 1 / ecg) END AS d, CASE WHEN ecg > 1 THEN 1 - pow(1 - F, 1 / (ecg - 1)) END AS v FROM inbred JOIN eg USING (id) JOIN depth USING (id) WHERE depth = (SELECT max(depth) FROM depth)))", _WALKS, _SHARES, _INBRED, _COUNTS),
+    "ne_individual_delta_f": _sql("SELECT CASE WHEN m > 0 THEN round(1 / (2 * m), 6) END AS ne, CASE WHEN m > 0 THEN round(2 * (1 / (2 * m)) * (1 / (2 * m)) * sd / sqrt(n), 6) END AS se, CASE WHEN u > 0 THEN round(1 / (2 * u), 6) END AS ne_unrelated_founders, n AS n_reference, CASE WHEN n = 0 THEN 'empty_reference' WHEN m > 0 THEN NULL ELSE 'no_increase' END AS reason FROM (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(d) AS n, avg(v) AS u FROM (SELECT CASE WHEN ecg > 0 THEN 1 - pow(1 - F, 1 / ecg) END AS d, CASE WHEN ecg > 1 THEN 1 - pow(1 - F, 1 / (ecg - 1)) END AS v FROM inbred JOIN eg USING (id) JOIN depth USING (id) WHERE depth = (SELECT max(depth) FROM depth)))", _WALKS, _SHARES, _INBRED, _COUNTS),
     "ne_long_term_contributions": _sql(", con AS (SELECT d.depth, s.anc, sum(s.l) / (SELECT count(*) FROM depth e WHERE e.depth = d.depth) AS c FROM shares s JOIN depth d USING (id) JOIN ped f ON f.id = s.anc AND f.mother IS NULL GROUP BY d.depth, s.anc), lst AS (SELECT max(depth) AS last FROM depth), wide AS (SELECT anc, sum(CASE WHEN depth = last THEN c ELSE 0 END) AS now, sum(CASE WHEN depth = last - 1 THEN c ELSE 0 END) AS before FROM con, lst WHERE depth >= last - 1 GROUP BY anc) SELECT round(2 / sum(now * now), 8) AS ne, round(sum(now * now), 8) AS sum_c2, round(max(abs(now - before)), 8) AS max_delta_final, NULL::VARCHAR AS reason FROM wide", _WALKS, _SHARES),
     "ne_hill_overlapping": _sql(f", ages AS (SELECT role, c.birth_year - p.birth_year AS age FROM edges e JOIN dated c ON c.id = e.child JOIN dated p ON p.id = e.parent), life AS (SELECT (avg(age) FILTER (role = 'father') + avg(age) FILTER (role = 'mother')) / 2 AS L, quantile_cont(age::DOUBLE, 0.95) AS late FROM ages), fam AS {_family('birth_year', 'par JOIN dated USING (id)').replace('sex', 'par.sex')}, part AS (SELECT birth_year, L, CASE WHEN s_m > 0 AND t_m > 0 THEN (1 / s_m + 1 / t_m) / 16 + vm / (16 * n_m) END AS pm, CASE WHEN s_f > 0 AND t_f > 0 THEN (1 / s_f + 1 / t_f) / 16 + vf / (16 * n_f) END AS pf FROM fam, life WHERE birth_year <= (SELECT max(birth_year) FROM dated) - late) SELECT birth_year, round(CASE WHEN pm + pf > 0 THEN L / (pm + pf) END, 6) AS ne, round(CASE WHEN pm > 0 THEN L / (4 * pm) END, 6) AS ne_m, round(CASE WHEN pf > 0 THEN L / (4 * pf) END, 6) AS ne_f, round(L, 6) AS L FROM part", _WALKS, _KIDS, _DATED),
     "sex_concordance_groups": _sql(_GROUP(("mother", "father"))),
@@ -236,7 +240,8 @@ UNION ALL SELECT 'birth_year_range', 0 FROM src WHERE birth_year NOT BETWEEN 180
 UNION ALL SELECT 'birth_year_topology', 0 FROM yr WHERE age < 12 OR age > 81
 UNION ALL SELECT 'multiple_birth_sets', 0 FROM tw WHERE s IN (SELECT s FROM bad)
 UNION ALL SELECT 'mz_links', 0 FROM mz WHERE out OR k <> 2 OR sexes > 1)
-SELECT "check", count(*) AS n, sum(n_refs)::BIGINT AS n_refs FROM f GROUP BY 1""",
+SELECT c.name AS "check", CASE WHEN c.skip THEN 'SKIP' WHEN f.n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, coalesce(f.n, 0)::BIGINT AS n, coalesce(f.n_refs, 0)::BIGINT AS n_refs
+FROM (VALUES """ + ", ".join(f"('{c.name}', {str(c.name in _OFF).lower()})" for c in CHECKS) + """) c(name, skip) LEFT JOIN (SELECT "check", count(*) AS n, sum(n_refs) AS n_refs FROM f GROUP BY 1) f ON f."check" = c.name""",
     "mate_values": _sql("SELECT * FROM mv", _MATES),
     "mate_pearson": _sql("SELECT count(*) AS n, round(corr(m_x, f_x), 8) AS r FROM mv", _MATES),
     "mate_spearman": _sql(", rk AS (SELECT rank() OVER (ORDER BY m_x) + (count(*) OVER (PARTITION BY m_x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY f_o) + (count(*) OVER (PARTITION BY f_o) - 1) / 2.0::DOUBLE AS ry FROM mv) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM rk", _MATES),
