@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.session import numbered
+
 
 def birth_sets(rows: DataFrame, most_days: int) -> DataFrame:
     """id and set: full sibs born within ``most_days`` of the one before, where at least two are.
 
-    Sets are numbered by mother, father and first date.  The numbering ranks sets, one row each, not persons.
+    Sets are numbered by mother, father and first date.
     """
     known = rows.where("mother is not null and father is not null and birth_date is not null")
     order = W.partitionBy("mother", "father").orderBy("birth_date", "id")
     gap = F.datediff("birth_date", F.lag("birth_date").over(order))
     marked = known.withColumn("new", F.when(gap <= most_days, 0).otherwise(1)).withColumn("session", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     sets = marked.groupBy("mother", "father", "session").agg(F.count("*").alias("size"), F.min("birth_date").alias("first")).where("size >= 2")
-    sets = sets.withColumn("set", F.row_number().over(W.orderBy("mother", "father", "first")))
+    sets = numbered(sets, "mother", "father", "first", name="set").withColumn("set", F.col("set").cast("int"))
     return marked.join(sets.select("mother", "father", "session", "set"), ["mother", "father", "session"]).select("id", "set")
 
 
 def number_by_first_row(rows: DataFrame, key: str = "set", row: str = "row") -> DataFrame:
     """key and number: sets in the order of their first row."""
     first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("first"))
-    return first.select(key, F.row_number().over(W.orderBy("first")).alias("number"))
+    return numbered(first, "first", name="number").select(key, F.col("number").cast("int").alias("number"))
 
 
 def decade(ped: DataFrame) -> DataFrame:

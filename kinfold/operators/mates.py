@@ -15,7 +15,11 @@ from kinfold.functions import normal
 from kinfold.functions.tokens import stratum
 from kinfold.operators.graph import components
 from kinfold.operators.individual import mating_pairs
-from kinfold.session import stored
+from kinfold.session import numbered, stored
+
+
+#: A table of levels by levels goes to the driver; a trait with more is refused, not cut.
+MOST_LEVELS = 1000
 
 
 class TraitError(ValueError):
@@ -30,7 +34,8 @@ def trait_levels(tokens: DataFrame) -> DataFrame:
     """level and code (0, 1, ... by value) of each distinct token; codes rank levels, not rows."""
     t = F.lower(F.trim("token"))
     number = t.try_cast("double")
-    return tokens.where("token is not null").select(t.alias("level"), number.alias("x")).groupBy("level", "x").agg(F.count("*").alias("n")).select("level", "n", (F.row_number().over(W.orderBy(F.col("x").asc_nulls_last(), "level")) - 1).alias("code"))
+    levels = tokens.where("token is not null").select(t.alias("level"), number.isNull().alias("word"), number.alias("x")).groupBy("level", "word", "x").agg(F.count("*").alias("n"))
+    return numbered(levels, "word", "x", "level", name="code").select("level", "n", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def classify_trait(tokens: DataFrame, stated: str | None = None, most_levels: int = 20) -> tuple[str, dict[str, int] | None]:
@@ -53,7 +58,9 @@ def classify_trait(tokens: DataFrame, stated: str | None = None, most_levels: in
         return kind, None
     if kind == "binary" and a["levels"] != 2:
         raise TraitError("a binary trait has two levels")
-    levels = [r["level"] for r in trait_levels(tokens).orderBy("code").limit(1000).collect()]
+    if a["levels"] > MOST_LEVELS:
+        raise TraitError(f"{a['levels']} levels: an ordinal trait has {MOST_LEVELS} at most")
+    levels = [r["level"] for r in trait_levels(tokens).orderBy("code").collect()]
     if a["words"] and not (kind == "binary" and tuple(sorted(levels)) in WORDS):
         raise TraitError("levels that aren't numbers must be false and true, or no and yes")
     return kind, {v: i for i, v in enumerate(levels)}

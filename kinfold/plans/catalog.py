@@ -13,9 +13,9 @@ from kinfold.operators import effective_size as ne
 from kinfold.operators import mates as mt
 from kinfold.operators.graph import edges, pedigree_components
 from kinfold.operators.individual import individual_table, mating_pairs, one_hop, offspring_counts
-from kinfold.plans import fixing, scenarios, validation
+from kinfold.plans import files, fixing, scenarios, validation
 from kinfold.plans.derived import Derived, dirty
-from kinfold.plans.oracles import ORACLES, PEDIGREE
+from kinfold.plans.oracles import DIRTY, ORACLES, PARTIAL, PEDIGREE
 from kinfold.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,7 +367,7 @@ def lineage_avuncular(spark, sf):
 
 # Checks over the dirty variant ---------------------------------------------------------------------------------------
 
-_OPTIONS = validation.Options(birth_year="birth_year", multiple_birth="twin_set", zygosity="zygosity", birth_year_max=2026, min_parent_age=12, max_parent_age=80, max_children_mother=10, max_children_father=10)
+_OPTIONS = files.DIRTY
 
 
 def _report(spark: SparkSession, sf: str) -> validation.Report:
@@ -474,12 +474,44 @@ def protected_depth_table(spark, sf):
     return spark.createDataFrame([(c.label, c.count, c.status) for c in protect_ordered(rows, min_cell=100)], "label string, n long, status string")
 
 
+# Half-founders, unknown sexes, linked twins --------------------------------------------------------------------------
+
+
+def _partial(name: str) -> Query:
+    """A query over the pedigree with gaps and twins."""
+
+    def run(spark, sf):
+        if name == "relationship_pairs":
+            return _kin(Derived(spark, sf, whole=False)).pairs()
+        return _BY_PEDIGREE[name](Derived(spark, sf, whole=False))
+
+    return run
+
+
+_BY_PEDIGREE: dict[str, Callable[[Derived], DataFrame]] = {
+    "individual_table": lambda d: _round(_individual(d)),
+    "one_hop_relative_counts": lambda d: one_hop(d.ped),
+    "size_structure": lambda d: _round(sections.size_structure(d.ped, d.depth, pedigree_components(d.ped))),
+    "equivalent_complete_generations": lambda d: _round(ancestry.ecg(d.ped, d.paths)),
+    "inbreeding_coefficients": lambda d: _round(d.inbred),
+    "mating_pair_kinship": lambda d: _round(ancestry.pair_kinship(mating_pairs(d.ped).select(F.col("mother").alias("id1"), F.col("father").alias("id2")), d.shares, d.inbred)),
+    "mean_kinship_by_depth": lambda d: _round(ne.by_depth(d.depth, d.shares, d.inbred)),
+    "family_support": lambda d: sections.unit_support(sections.family_id(d.ped).join(d.ped, "id"), "sex", "family"),
+    "sex_summary": lambda d: _round(sections.sex_summary(_individual(d))),
+    "founder_summary_by_depth": lambda d: _round(sections.founder_summary(d.ped, d.paths, d.depth)),
+    "founder_contribution": lambda d: _round(sections.founder_contribution(_individual(d))),
+    "relationship_counts": lambda d: _kin(d).counts(),
+    "relationship_burden": lambda d: _kin(d).burden(),
+    "related_density_by_depth": lambda d: _round(_kin(d).density(d.depth)),
+}
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES) | scenarios.queries()
+    return dict(_QUERIES) | {to: _partial(name) for name, (to, _) in PARTIAL.items()} | scenarios.queries() | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES} | scenarios.oracle_sql(PEDIGREE)
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES or k.startswith("partial_")} | scenarios.oracle_sql(PEDIGREE) | files.oracle_sql(PEDIGREE, DIRTY, ORACLES["fixed_pedigree"], ORACLES["validation_findings"])
 
 
 __all__ = ["FIELDS", "oracle_sql", "queries"]

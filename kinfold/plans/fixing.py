@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.operators.births import birth_sets, number_by_first_row
 from kinfold.operators.graph import cycle_components, structural_depth
 from kinfold.plans.validation import Options, Report, absent_parents, validate
-from kinfold.session import stored
+from kinfold.session import numbered, stored
 
 
 def synthesized_founders(ped: DataFrame, sex_check: bool = True) -> DataFrame:
@@ -23,8 +22,8 @@ def synthesized_founders(ped: DataFrame, sex_check: bool = True) -> DataFrame:
 
 def phantom_parents(ped: DataFrame, integer: bool, missing: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Half-founders get a new founder in the empty slot, numbered by row past every id; the pedigree and the new founders."""
-    half = ped.where("(mother is null) != (father is null)")
-    numbers = half.select("row", F.when(F.col("mother").isNull(), "mother").otherwise("father").alias("slot"), F.row_number().over(W.orderBy("row")).alias("k"))
+    half = ped.where("(mother is null) != (father is null)").select("row", F.when(F.col("mother").isNull(), "mother").otherwise("father").alias("slot"))
+    numbers = numbered(half, "row", name="k")
     if integer:
         top = ped.agg(F.max(F.greatest("id", F.coalesce("mother", "id"), F.coalesce("father", "id")))).first()[0] or 0
         top = max([top, *(int(t) for t in missing if t.lstrip("-").isdigit())])
@@ -91,6 +90,12 @@ def reduce_pedigree(raw: DataFrame, options: Options, most: int | None = None) -
         now = stored(now, "reduced")
 
 
+def verify(written: DataFrame) -> Report:
+    """Check a Fixed Pedigree as it was written; a check that fails here is a bug of the repairs, not of the input."""
+    raw = written if "row" in written.columns else written.withColumn("row", F.monotonically_increasing_id())
+    return validate(stored(raw, "written"), Options(allow_missing_sex=True, override_asserted_sex=False))
+
+
 def exit_code(report: Report, dropped: DataFrame | None = None) -> int:
     """0 clean, 1 findings or drops, 2 blocked."""
     if report.failed("block", "block_or_drop"):

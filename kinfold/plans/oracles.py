@@ -148,6 +148,7 @@ roles AS (SELECT parent AS id, bool_or(role = 'mother') AS m, bool_or(role = 'fa
 gone AS (SELECT parent, role, count(*) AS n_refs FROM lnk WHERE parent NOT IN (SELECT id FROM src) GROUP BY ALL),
 typed AS (SELECT s.*, CASE WHEN r.m AND NOT r.f THEN 'F' WHEN r.f AND NOT r.m THEN 'M' END AS role FROM src s LEFT JOIN roles r USING (id)),
 imp AS (SELECT *, coalesce(role, sex) AS now, CASE WHEN sex IS NULL AND role IS NOT NULL THEN 'imputed_from_missing' WHEN sex IS NULL THEN 'unresolved' WHEN sex <> role THEN 'imputed_from_role' ELSE 'input' END AS sex_source FROM typed)"""
+DIRTY = _DIRTY
 _MATES = _PAIRS + """,
 trait AS (SELECT id, acctbal AS x, CASE WHEN acctbal > 4000 THEN 1.0 ELSE 0.0 END::DOUBLE AS b, floor(acctbal / 3000)::DOUBLE AS o FROM ped),
 mv AS (SELECT q.mother, q.father, m.x AS m_x, f.x AS f_x, m.b AS m_b, f.b AS f_b, m.o AS m_o, f.o AS f_o FROM pairs q JOIN trait m ON m.id = q.mother JOIN trait f ON f.id = q.father)"""
@@ -196,7 +197,7 @@ count(*) FILTER (mother IS NOT NULL AND father IS NOT NULL) AS n_both_parents, c
     "depth_summary": _sql(_stratum("ped_depth", "ped_depth"), *_ALL),
     "inbreeding_summary": _sql(f"SELECT count(*) FILTER (F > 1e-9) AS n_inbred, {_share('F > 1e-9')} AS fraction, round(avg(F), 8) AS mean, round(avg(F) FILTER (F > 1e-9), 8) AS mean_inbred, round(max(F), 8) AS max FROM inbred", _WALKS, _SHARES, _INBRED),
     "inbreeding_histogram": _sql("SELECT CASE WHEN F <= 1e-9 THEN '0' WHEN F <= 0.0625 THEN '(0, 0.0625]' WHEN F <= 0.125 THEN '(0.0625, 0.125]' WHEN F <= 0.25 THEN '(0.125, 0.25]' ELSE '(0.25, 1]' END AS bin, count(*) AS n FROM inbred GROUP BY 1", _WALKS, _SHARES, _INBRED),
-    "family_support": _sql("SELECT sex, count(DISTINCT CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE 'f' || mother || '/' || father END) AS units FROM ped GROUP BY sex"),
+    "family_support": _sql("SELECT sex, count(DISTINCT CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE 'f' || coalesce(mother::VARCHAR, '') || '/' || coalesce(father::VARCHAR, '') END) AS units FROM ped GROUP BY sex"),
     "contingency_table": _sql("SELECT sex, segment, count(*) AS n FROM ped GROUP BY ALL"),
     "relationship_pairs": _sql("SELECT * FROM rel", _WALKS, _related(2)),
     "relationship_counts": _sql("SELECT code, count(*) AS n FROM rel GROUP BY code", _WALKS, _related(5)),
@@ -251,3 +252,33 @@ FROM (VALUES """ + ", ".join(f"('{c.name}', {str(c.name in _OFF).lower()})" for
     "trait_levels": _sql("SELECT level, n, (row_number() OVER (ORDER BY level) - 1)::INT AS code FROM (SELECT lower(segment) AS level, count(*) AS n FROM ped GROUP BY 1)"),
     "mate_strata": _sql("SELECT q.mother, q.father, (m.birth_year // 10 * 10)::INT AS mother_stratum, (f.birth_year // 10 * 10)::INT AS father_stratum FROM pairs q JOIN dated m ON m.id = q.mother JOIN dated f ON f.id = q.father", _WALKS, _DATED, _PAIRS),
 }
+
+# The pedigree with half-founders, unknown sexes and linked twins -------------------------------------------------------
+
+_PART = _PED.replace("\nped AS", "\nfull_ped AS").replace("edges AS", """ped AS (SELECT id, CASE WHEN id % 23 <> 7 THEN sex END AS sex, CASE WHEN id % 17 <> 3 THEN mother END AS mother,
+  CASE WHEN id % 19 <> 5 THEN father END AS father, acctbal, segment FROM full_ped),
+edges AS""")
+_TWINS = "SELECT id, id + 2, 0 FROM ped WHERE id >= 48 AND id % 40 = 0 AND id + 2 IN (SELECT id FROM ped)"
+
+
+def _partial(name: str, twins: bool = False) -> str:
+    """The SQL of a query, over the other pedigree."""
+    out = ORACLES[name].replace(_PED, _PART)
+    if _PART not in out:
+        raise ValueError(name)
+    return out.replace("SELECT id, mother, 1 FROM ped", _TWINS + " UNION ALL SELECT id, mother, 1 FROM ped") if twins else out
+
+
+PARTIAL = {
+    name: (f"partial_{name}", twins)
+    for twins, names in (
+        (False, ("individual_table", "one_hop_relative_counts", "size_structure", "equivalent_complete_generations", "inbreeding_coefficients", "mating_pair_kinship", "mean_kinship_by_depth", "family_support", "sex_summary", "founder_summary_by_depth", "founder_contribution")),
+        (True, ("relationship_pairs", "relationship_counts", "relationship_burden", "related_density_by_depth")),
+    )
+    for name in names
+}
+ORACLES |= {to: _partial(name, twins) for name, (to, twins) in PARTIAL.items()}
+ORACLES["partial_individual_table"] = ORACLES["partial_individual_table"].replace("'input' AS sex_source", "CASE WHEN p.sex IS NULL THEN 'unresolved' ELSE 'input' END AS sex_source")
+ORACLES["partial_sex_summary"] = ORACLES["partial_sex_summary"].replace("SELECT sex AS sex", "SELECT coalesce(sex, 'unknown') AS sex")
+# Pair lists to the fifth degree, where all codes occur.
+ORACLES["partial_relationship_pairs"] = _sql("SELECT * FROM rel", _WALKS, _related(5)).replace(_PED, _PART).replace("SELECT id, mother, 1 FROM ped", _TWINS + " UNION ALL SELECT id, mother, 1 FROM ped")

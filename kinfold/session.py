@@ -86,6 +86,19 @@ def counted(df: DataFrame, name: str = "step", **totals: Column) -> tuple[DataFr
     return out, seen.get
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``name``: 1, 2, ... in the order of ``order``, by ranges: each range is sorted by itself and begins where the one before ends."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    d = stored(d, "ranges")
+    sizes = sorted((r["_p"], r["first"], r["n"]) for r in d.groupBy("_p").agg(F.min("_i").alias("first"), F.count("*").alias("n")).collect())  # a row per range
+    starts, total = [], 0
+    for p, first, n in sizes:
+        starts.append((p, total - first + 1))
+        total += n
+    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "_p int, _begin long"))
+    return d.join(begin, "_p").withColumn(name, F.col("_begin") + F.col("_i")).drop("_p", "_i", "_begin")
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     path = getattr(df, "_kinfold_path", None)
