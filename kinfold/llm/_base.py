@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.session import counted, forget, shared_dir, stored
+
+__all__ = ["counted", "crc_mod", "forget", "partitions", "read", "shared_dir", "stored", "texts"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path, so any file system will do."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests in local mode) is a folder of our own used and set.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or os.environ.get("KINFOLD_SHARED_DIR")
-    if not where:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = os.path.join(tempfile.gettempdir(), f"kinfold-{os.getpid()}")
-        os.environ["KINFOLD_SHARED_DIR"] = where
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; cuts the lineage, survives lost executors.
-
-    The table is removed when the Spark application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -1,40 +1,18 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import stored
+from kinfold.operators.graph import star_roots
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the least node of its component) for every node of ``edges`` (a, b) that has a link.
 
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (the least node of its component) for every node of ``edges`` (a, b).
-
-    Each step is an aggregate and a join on a node, so a hub is split by the skew join and no node's neighbours are
-    gathered.  Links, nodes and roots stay in tables; only a count and a checksum reach the driver.
+    Links, nodes and roots stay in tables; only a count and a checksum reach the driver.
     """
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    edges = stored(edges.where("a != b").select(hi.alias("a"), lo.alias("b")).distinct(), "links")
-    before = _mark(edges)
-    if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a != b").distinct(), "links")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    tops = edges.select(F.col("b").alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return roots.unionByName(tops)
+    roots = star_roots(edges)
+    tops = roots.select(F.col("root").alias("node")).distinct()
+    return roots.unionByName(tops.select("node", F.col("node").alias("root")))

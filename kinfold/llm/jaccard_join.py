@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import stored, texts
+from kinfold.llm._base import counted, stored, texts
 from kinfold.llm._components import components
 from kinfold.llm._words import SPACE, chunks, grams, lists, mix, record_batch, seeds, words
 
@@ -36,6 +36,7 @@ from kinfold.llm._words import SPACE, chunks, grams, lists, mix, record_batch, s
 LONGS = 32
 #: Ids of exact copies are broadcast up to this number (some 10 MB), else joined by shuffle.
 FEW_IDS = 500_000
+SALTS = 16
 _K = seeds(8, 4242)
 
 
@@ -230,6 +231,20 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, few: int
     return both.mapInArrow(fn, ddl).where("linked").select("a", "b")
 
 
+def _with_first(sets: DataFrame) -> DataFrame:
+    """``rep``: the least doc_id of the documents with an equal set, for those that have one.
+
+    Groups of copies are aggregated before they are met again: few are broadcast, more are joined with the documents dealt
+    by salt, so that a large group of copies doesn't land in one task.
+    """
+    same = ["n", "one", "two"]
+    groups, seen = counted(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"), "copies")
+    if seen["n"] <= FEW_IDS // 4:
+        return sets.join(F.broadcast(groups), same, "left")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*same, "salt"], "left").drop("salt")
+
+
 def _some(df: DataFrame) -> DataFrame:
     """A table of ids for a join: broadcast up to FEW_IDS rows, counted, else joined by sorting."""
     return F.broadcast(df) if df.count() <= FEW_IDS else df.hint("merge")
@@ -250,9 +265,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = docs.mapInArrow(fn, ddl).groupBy("doc_id").agg(F.min_by(F.struct("n", "one", "two", "sketch"), "row").alias("s"), F.min("row").alias("row"), F.max("row").alias("most"))
     base = stored(sets.select("doc_id", "row", "most", "s.*"), "sets")
     docs = _speaking(docs, base.where("row < most").select("doc_id", F.col("row").alias("own"))).select("doc_id", "text")
-    first = base.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    named = base.select("doc_id", "n", "one", "two").join(first, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    named = stored(named, "first-copies")
+    named = stored(_with_first(base.select("doc_id", "n", "one", "two")).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "first-copies")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) * 6 // 10 // part_rows))
     fn, ddl = _emit(size, percent, parts)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import partitions, stored, texts
+from kinfold.llm._base import counted, partitions, stored, texts
 from kinfold.llm._words import SPACE, chunks, grams, lists, record_batch, sliding_min, words
 
 #: Low bits of a packed value hold a place in the chunk, the others the k-gram's hash.
@@ -218,8 +218,8 @@ FEW_GROUPS, SALTS = 200_000, 16
 def _with_first(base: DataFrame) -> DataFrame:
     """``rep``: the least doc_id of the documents with the same words, for rows that have such copies."""
     dup = base.where("has_window").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("sha", "rep")
-    dup = stored(dup, "copies")
-    if dup.count() <= FEW_GROUPS:
+    dup, seen = counted(dup, "copies")
+    if seen["n"] <= FEW_GROUPS:
         return base.join(F.broadcast(dup), "sha", "left")
     salted = dup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int")

@@ -290,3 +290,26 @@ def test_scores_do_not_depend_on_partitions(spark, docs):
     twice = twice.unionByName(twice)
     a, b = (sorted((r["doc_id"], round(r["score"], 8)) for r in score(x).collect()) for x in (twice, twice.coalesce(1)))
     assert a == b
+
+
+def test_words_of_classes_inside_articles_are_read_whole():
+    from kinfold.llm.html_extraction import content, parse
+
+    page = """<html><body><div class="ad">buy</div><article><h1>T</h1><p class="share price">one</p><section class="form factor"><p>two</p></section>
+    <p class="related work">three</p><p id="notice">four</p><div class="share-buttons">tweet</div><div class="ad">buy</div><div class="related links">more</div><p>end</p></article></body></html>"""
+    assert content(parse(page)) == "T\none\ntwo\nthree\nfour\nend"
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_extraction_does_not_depend_on_partitions(spark, partitions):
+    from kinfold.llm.html_extraction import extract
+
+    body = "<html><body><div>Site name and motto</div><p>Story number {0} about {0}</p><p>Read on, it goes on {0}</p><div>Site rights</div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", body.format(i)) for i in range(24)], "page_id long, url string, html string").repartition(partitions)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {i: f"Story number {i} about {i}\nRead on, it goes on {i}" for i in range(24)}
