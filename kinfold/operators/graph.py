@@ -81,13 +81,14 @@ def star_roots(links: DataFrame) -> DataFrame:
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     now, before = counted(links.where("a != b").select(hi.alias("a"), lo.alias("b")).distinct(), "links", mark=mark)
+    parts = max(4, -(-before["n"] // 50_000))  # a step has no more links than the one before: few links need few files
     while before["n"]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        then, after = counted(small.where("a != b").distinct(), "links", mark=mark)
+        then, after = counted(small.where("a != b").distinct().coalesce(parts), "links", mark=mark)
         forget(now)
         now = then
         if after == before:
