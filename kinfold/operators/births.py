@@ -45,6 +45,11 @@ def births_by_size(ped: DataFrame) -> DataFrame:
     return set_table(ped).groupBy("size").agg(F.count("*").alias("n_sets"), F.avg(F.col("full_sibs").cast("double")).alias("full_sib_fraction"))
 
 
+def sets_by_decade(ped: DataFrame) -> DataFrame:
+    """Sets by decade: their number, members, and how many are larger than two; a set of unknown decade has a null one."""
+    return set_table(ped).groupBy("decade").agg(F.count("*").alias("n_sets"), F.sum("size").alias("n_members"), F.count_if(F.col("size") > 2).alias("n_larger"))
+
+
 def twin_pairs_by_sex(ped: DataFrame, by_decade: bool = False) -> DataFrame:
     """Twin pairs by sex mix, with Weinberg's estimate: dizygotic pairs are twice the mixed ones, the rest monozygotic."""
     two = set_table(ped).where("size = 2")

@@ -15,9 +15,11 @@ from kinfold.functions import normal
 from kinfold.functions.tokens import stratum
 from kinfold.operators.graph import components
 from kinfold.operators.individual import mating_pairs
-from kinfold.session import numbered, stored
+from kinfold.session import counted, numbered, stored
 
 
+#: Fewest Mate Networks that a stratum's pairs must span.
+MIN_STRATUM_NETWORKS = 10
 #: A table of levels by levels goes to the driver; a trait with more is refused, not cut.
 MOST_LEVELS = 1000
 
@@ -103,6 +105,37 @@ def within_strata(pairs: DataFrame, column: str, by: str) -> Column:
     return (F.col(column) - F.avg(column).over(w)) / F.nullif(F.stddev_pop(column).over(w), F.lit(0.0))
 
 
+def full_strata(pairs: DataFrame, a: str, b: str, least: int = MIN_STRATUM_NETWORKS) -> tuple[DataFrame, dict[str, int]]:
+    """The pairs of a cell whose strata count, and how many were dropped for which reason.
+
+    Pairs without both values or with an unknown stratum go first.  A mother's (father's) stratum is *thin* if its pairs
+    span fewer than ``least`` Mate Networks of the pairs still in, *degenerate* if its values don't vary.  Dropping a
+    stratum's pairs may empty others, so this is repeated until nothing changes; a round drops a stratum or is the last.
+    """
+    rows = pairs.select("mother", "father", F.col(f"m_{a}").alias("x"), F.col(f"f_{b}").alias("y"), "mother_stratum", "father_stratum").where("x is not null and y is not null")
+    known = F.col("mother_stratum").isNotNull() & F.col("father_stratum").isNotNull()
+    drops = {"unknown_stratum": rows.where(~known).count(), "thin_stratum": 0, "degenerate_stratum": 0}
+    now = stored(rows.where(known), "strata")
+    while True:
+        links = now.select(F.col("mother").alias("a"), F.col("father").alias("b"))
+        nets = components(links.select(F.col("a").alias("id")).distinct(), links).select(F.col("id").alias("mother"), F.col("component").alias("network"))
+        now = stored(now.join(nets, "mother"), "strata")
+        then = now
+        for role, value in (("mother", "x"), ("father", "y")):
+            cell = now.groupBy(f"{role}_stratum").agg(F.countDistinct("network").alias("g"), (F.max(value) > F.min(value)).alias("varies"))
+            why = F.when(F.col("g") < least, "thin").when(~F.col("varies"), "degenerate")
+            then = then.join(cell.select(f"{role}_stratum", why.alias(f"_{role}")), f"{role}_stratum", "left")
+        first = F.coalesce("_mother", "_father")
+        then, n = counted(then.withColumn("_why", first).drop("_mother", "_father"), "strata", thin=F.count_if(F.col("_why") == "thin"), degenerate=F.count_if(F.col("_why") == "degenerate"))
+        drops["thin_stratum"] += n["thin"]
+        drops["degenerate_stratum"] += n["degenerate"]
+        now = then.where("_why is null").drop("_why")
+        if n["thin"] + n["degenerate"]:
+            now = now.drop("network")
+        else:
+            return now.select("mother", "father", "network", "mother_stratum", "father_stratum", F.col("x").alias(f"m_{a}"), F.col("y").alias(f"f_{b}")), drops
+
+
 def _used(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select("mother", "father", F.col(f"m_{a}").alias("x"), F.col(f"f_{b}").alias("y")).where("x is not null and y is not null")
 

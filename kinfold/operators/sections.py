@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinfold.functions.distributions import distribution, effective_count, inbreeding_bin, share
 from kinfold.operators.individual import mating_pairs
 
+#: F above this counts as inbred.
+INBRED = 1e-9
 #: Columns of the individual table that the distribution report covers.
 REPORTED = ("n_full_sibs", "n_mat_half_sibs", "n_pat_half_sibs", "n_offspring", "n_mates", "n_grandparents", "n_grandchildren", "n_uncles_aunts", "n_first_cousins", "n_distinct_ancestors", "n_descendant_paths", "n_founder_ancestors", "ecg", "F")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.distributions import FIELDS
-from kinfold.operators import ancestry, births, concordance, relatives, relationships, sections
+from kinfold.operators import ancestry, births, concordance, relatives, relationships, safe_mates, safe_size, sections
 from kinfold.operators import effective_size as ne
 from kinfold.operators import mates as mt
 from kinfold.operators.graph import edges, pedigree_components
@@ -474,6 +474,61 @@ def protected_depth_table(spark, sf):
     return spark.createDataFrame([(c.label, c.count, c.status) for c in protect_ordered(rows, min_cell=100)], "label string, n long, status string")
 
 
+@_query
+def mate_full_strata(spark, sf):
+    """Pairs left once thin and degenerate strata are dropped, to a fixed point."""
+    d = Derived(spark, sf, whole=False)
+    pairs = stored(_mates(d).join(mt.pair_strata(d.dated, width=10), ["mother", "father"]), "strata")
+    return mt.full_strata(pairs, "o", "x", 6)[0].select("mother", "father")
+
+
+def _gates(d: Derived) -> DataFrame:
+    cohorts = ne.by_depth(d.depth, d.shares, d.inbred)
+    return d._once("gates", lambda: safe_size.gates(d.dated.drop("depth"), d.depth, d.inbred, ancestry.ecg(d.ped, d.paths), cohorts, d.twins))
+
+
+@_query
+def safe_size_gates(spark, sf):
+    """The counts that effective sizes rest on, with half-founders, unknown sexes and twins."""
+    return _gates(Derived(spark, sf, whole=False))
+
+
+@_query
+def safe_size_decisions(spark, sf):
+    return safe_size.decisions(_gates(Derived(spark, sf, whole=False)), 5)
+
+
+def _mate_gates(d: Derived) -> DataFrame:
+    """Two traits with gaps: a level by thousands, and a sign."""
+    v = F.col("acctbal")
+    people = d.ped.select("id", F.when(F.col("id") % 7 != 1, F.floor(v / 3000).cast("double")).alias("o"), F.when(F.col("id") % 5 != 2, (v > 4000).cast("double")).alias("b"))
+    pairs = mt.mate_values(d.ped, people, ["o", "b"])
+    return d._once("mate-gates", lambda: safe_mates.gates(pairs, people, ["o", "b"], dict.fromkeys(safe_mates.cells(["o", "b"]), True)))
+
+
+@_query
+def safe_mate_gates(spark, sf):
+    return _mate_gates(Derived(spark, sf))
+
+
+@_query
+def safe_mate_decisions(spark, sf):
+    return safe_mates.decisions(_mate_gates(Derived(spark, sf)), 5, dict.fromkeys(safe_mates.cells(["o", "b"]), True), ["o", "b"])
+
+
+@_query
+def birth_sets_by_decade(spark, sf):
+    b = _births(Derived(spark, sf))
+    return births.sets_by_decade(b.join(births.birth_sets(b, 7), "id", "left"))
+
+
+@_query
+def recorded_sex_source(spark, sf):
+    """The fixed pedigree with the input's own sex_source kept where this run would say input."""
+    raw = dirty(spark, sf).withColumn("sex_source", F.when(F.col("id").cast("long") % 9 == 4, "imputed_from_role").when(F.col("id").cast("long") % 9 == 5, "input"))
+    return fixing.fix(validation.validate(stored(raw, "dirty"), _OPTIONS)).select("id", "sex_source")
+
+
 # Half-founders, unknown sexes, linked twins --------------------------------------------------------------------------
 
 

@@ -37,10 +37,27 @@ def phantom_parents(ped: DataFrame, integer: bool, missing: tuple[str, ...] = ()
     return out.drop("slot", "k", "new"), new
 
 
+# What a Fixed Pedigree says of where a sex comes from.
+SEX_SOURCES = ("input", "imputed_from_missing", "imputed_from_role", "unresolved")
+
+
+def keep_recorded_source(ped: DataFrame, raw: DataFrame) -> DataFrame:
+    """The input's own ``sex_source`` where this run would say ``input``; a column with other values is ignored.
+
+    A Fixed Pedigree read again has every sex resolved, and a filled one would else pass for a recorded one.
+    """
+    if "sex_source" not in raw.columns or "sex_source" not in ped.columns:
+        return ped
+    own = raw.select("row", F.trim("sex_source").alias("_said"))
+    if own.where(F.col("_said").isNotNull() & ~F.col("_said").isin(*SEX_SOURCES)).limit(1).count():
+        return ped
+    return ped.join(own, "row", "left").withColumn("sex_source", F.when((F.col("sex_source") == "input") & F.col("_said").isNotNull(), F.col("_said")).otherwise(F.col("sex_source"))).drop("_said")
+
+
 def fix(report: Report, fill_half_founders: bool = False, find_twins: int | None = None) -> DataFrame:
     """The repaired rows and the added founders, with ``ped_depth``; sets are renumbered by their first row."""
     c = report.context
-    ped, added = c.ped, synthesized_founders(c.ped, c.options.sex_check)
+    ped, added = keep_recorded_source(c.ped, c.raw), synthesized_founders(c.ped, c.options.sex_check)
     if fill_half_founders:
         ped, new = phantom_parents(ped, c.integer, c.options.missing_parent)
         added = added.unionByName(new)

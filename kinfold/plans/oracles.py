@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinfold.operators.relationships import CODES
+from kinfold.operators.safe_size import RELEASES
 from kinfold.plans.validation import CHECKS
 
 _PED = """
@@ -282,3 +283,76 @@ ORACLES["partial_individual_table"] = ORACLES["partial_individual_table"].replac
 ORACLES["partial_sex_summary"] = ORACLES["partial_sex_summary"].replace("SELECT sex AS sex", "SELECT coalesce(sex, 'unknown') AS sex")
 # Pair lists to the fifth degree, where all codes occur.
 ORACLES["partial_relationship_pairs"] = _sql("SELECT * FROM rel", _WALKS, _related(5)).replace(_PED, _PART).replace("SELECT id, mother, 1 FROM ped", _TWINS + " UNION ALL SELECT id, mother, 1 FROM ped")
+
+# Gates of safe output ----------------------------------------------------------------------------------------------------
+
+_GATED = """,
+cop AS (SELECT id + 2 AS id FROM ped WHERE id >= 48 AND id % 40 = 0 AND id + 2 IN (SELECT id FROM ped)),
+who AS (SELECT p.*, d.depth, i.F, g.ecg, p.id IN (SELECT id FROM cop) AS copy, p.id IN (SELECT mother FROM ped WHERE mother IS NOT NULL) AS is_m, p.id IN (SELECT father FROM ped WHERE father IS NOT NULL) AS is_f,
+  d.depth = (SELECT max(depth) FROM depth) AS ref, b.birth_year FROM ped p JOIN depth d USING (id) JOIN inbred i USING (id) JOIN eg g USING (id) JOIN dated b USING (id)),
+byd AS (SELECT depth, count(*) AS n, count(*) FILTER (NOT copy) AS genomes, count(*) FILTER (copy) AS copies, count(*) FILTER (sex = 'M') AS male, count(*) FILTER (sex = 'F') AS female, count(*) FILTER (sex = 'M' AND is_f) AS fathers,
+  count(*) FILTER (sex = 'F' AND is_m) AS mothers, count(*) FILTER (F > 1e-9) AS inb, count(*) FILTER (ecg > 0) AS used FROM who GROUP BY depth),
+genome AS (SELECT *, CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE 'f' || coalesce(mother::VARCHAR, '-') || '/' || coalesce(father::VARCHAR, '-') END AS family FROM who WHERE NOT copy),
+sm AS (SELECT mother AS parent, depth FROM genome WHERE mother IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+sf AS (SELECT father AS parent, depth FROM genome WHERE father IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+sib AS (SELECT depth, family FROM genome WHERE (mother, depth) IN (SELECT parent, depth FROM sm) OR (father, depth) IN (SELECT parent, depth FROM sf)),
+fams AS (SELECT depth, count(DISTINCT family) AS families FROM sib GROUP BY 1),
+shar AS (SELECT depth, count(*) AS shared FROM (SELECT depth FROM sm UNION ALL SELECT depth FROM sf) GROUP BY 1),
+ages AS (SELECT role, c.id, c.birth_year - p.birth_year AS age, e.parent FROM edges e JOIN who c ON c.id = e.child JOIN who p ON p.id = e.parent),
+hill AS (SELECT DISTINCT birth_year FROM who WHERE birth_year <= (SELECT max(birth_year) FROM who) - (SELECT quantile_cont(age::DOUBLE, 0.95) FROM ages)),
+byc AS (SELECT birth_year, count(*) FILTER (sex = 'M') AS male, count(*) FILTER (sex = 'F') AS female, count(*) FILTER (sex = 'M' AND is_f) AS fathers, count(*) FILTER (sex = 'F' AND is_m) AS mothers FROM who WHERE birth_year IN (SELECT birth_year FROM hill) GROUP BY 1),
+gate AS (""" + " UNION ALL ".join(
+    [f"SELECT '{g}' AS gate, depth::VARCHAR AS cell, {c} AS n FROM byd" for g, c in (("depth", "n"), ("genomes_by_depth", "genomes"), ("cotwins_by_depth", "copies"), ("fathers_by_depth", "fathers"), ("mothers_by_depth", "mothers"), ("inbred_by_depth", "inb"), ("delta_f_used_by_depth", "used"))]
+    + [f"SELECT 'depth_by_sex', depth || '/{s}', {s} FROM byd" for s in ("male", "female")]
+    + ["SELECT 'inbred_f_by_depth', depth || '/' || format('{:.9f}', round(F, 9)), count(*) FROM who WHERE F > 1e-9 GROUP BY depth, round(F, 9)"]
+    + ["SELECT 'related_families_by_depth', c.cohort::VARCHAR, CASE WHEN c.mean_kinship > 1e-12 THEN greatest(least(coalesce(f.families, 0), coalesce(s.shared, 0)), 1) ELSE 0 END FROM coh c LEFT JOIN fams f ON f.depth = c.cohort LEFT JOIN shar s ON s.depth = c.cohort"]
+    + [f"SELECT '{g}', '', count(*) FILTER ({w}) FROM who" for g, w in (("reference_used", "ref AND ecg > 0"), ("reference_not_used", "NOT (ref AND ecg > 0)"), ("reference_inbred", "ref AND F > 1e-9"), ("reference_past_first_generation", "ref AND ecg > 1"))]
+    + ["SELECT 'links_with_birth_years', CASE role WHEN 'father' THEN 'M' ELSE 'F' END, count(*) FROM ages GROUP BY role", "SELECT 'parents_with_birth_years', CASE role WHEN 'father' THEN 'M' ELSE 'F' END, count(DISTINCT parent) FROM ages GROUP BY role"]
+    + [f"SELECT 'cohort_by_sex', birth_year || '/{s}', {s} FROM byc" for s in ("male", "female")]
+    + [f"SELECT '{p}_by_cohort', birth_year::VARCHAR, {p} FROM byc" for p in ("fathers", "mothers")]
+) + ")"
+_GATE_PARTS = (_WALKS, _SHARES, _INBRED, _COHORT, _COUNTS, _DATED, _GATED)
+_NEEDS = [(e, g, x) for e, groups in RELEASES.items() for g, (_, needs) in groups.items() for x in needs]
+ORACLES["safe_size_gates"] = _sql("SELECT gate, cell, n::BIGINT AS n FROM gate", *_GATE_PARTS).replace(_PED, _PART)
+ORACLES["safe_size_decisions"] = _sql(
+    "SELECT estimator, part, bool_and(coalesce(o.open, false)) AS released FROM (VALUES " + ", ".join(f"('{e}', '{g}', '{x}')" for e, g, x in _NEEDS) + ") v(estimator, part, gate) LEFT JOIN (SELECT gate, bool_and(n = 0 OR n >= 5) AS open FROM gate GROUP BY 1) o USING (gate) GROUP BY 1, 2",
+    *_GATE_PARTS,
+).replace(_PED, _PART)
+_MATE_CELLS = [(a, b) for a in "ob" for b in "ob"]
+_MATE_GATES = _PAIRS + """,
+per AS (SELECT id, CASE WHEN id % 7 <> 1 THEN floor(acctbal / 3000)::DOUBLE END AS o, CASE WHEN id % 5 <> 2 THEN (acctbal > 4000)::INT::DOUBLE END AS b FROM ped),
+cou AS (SELECT q.mother, q.father, m.o AS m_o, f.o AS f_o, m.b AS m_b, f.b AS f_b FROM pairs q LEFT JOIN per m ON m.id = q.mother LEFT JOIN per f ON f.id = q.father),
+mar AS (SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN m_{a} IS NOT NULL AND f_{b} IS NOT NULL THEN '{a}x{b}' END" for a, b in _MATE_CELLS) + """) AS cells FROM cou),
+rol AS (SELECT p.*, coalesce(r.role, 'others') AS role FROM per p LEFT JOIN (SELECT DISTINCT mother AS id, 'mothers' AS role FROM pairs UNION SELECT father, 'fathers' FROM pairs) r USING (id)),
+gate AS (SELECT 'couples' AS gate, '' AS cell, count(*) AS n, least(count(DISTINCT mother), count(DISTINCT father)) AS units FROM mar
+UNION ALL SELECT 'couples_by_cells', cells, count(*), least(count(DISTINCT mother), count(DISTINCT father)) FROM mar GROUP BY cells """ + " ".join(
+    f"UNION ALL SELECT 'cell', '{a}x{b}', count(*), least(count(DISTINCT mother), count(DISTINCT father)) FROM mar WHERE m_{a} IS NOT NULL AND f_{b} IS NOT NULL HAVING count(*) > 0 "
+    f"UNION ALL SELECT 'levels', '{a}x{b}:' || m_{a}::BIGINT || '/' || f_{b}::BIGINT, count(*), least(count(DISTINCT mother), count(DISTINCT father)) FROM mar WHERE m_{a} IS NOT NULL AND f_{b} IS NOT NULL GROUP BY m_{a}, f_{b}"
+    for a, b in _MATE_CELLS
+) + """
+UNION ALL SELECT 'individuals', role, count(*), count(*) FROM rol GROUP BY role
+""" + " ".join(f"UNION ALL SELECT 'trait_rows', '{t}:' || role || CASE WHEN {t} IS NULL THEN ':missing' ELSE ':with_value' END, count(*), count(*) FROM rol GROUP BY ALL" for t in "ob") + ")"
+ORACLES["safe_mate_gates"] = _sql("SELECT * FROM gate", _MATE_GATES)
+ORACLES["safe_mate_decisions"] = _sql(
+    "SELECT v.cell, NOT EXISTS (SELECT 1 FROM gate WHERE gate IN ('couples', 'couples_by_cells') AND least(n, units) < 5) AND EXISTS (SELECT 1 FROM gate g WHERE g.gate = 'cell' AND g.cell = v.cell) "
+    "AND NOT EXISTS (SELECT 1 FROM gate g WHERE g.gate IN ('cell', 'levels') AND split_part(g.cell, ':', 1) = v.cell AND least(n, units) < 5) AS released FROM (VALUES " + ", ".join(f"('{a}x{b}')" for a, b in _MATE_CELLS) + ") v(cell)",
+    _MATE_GATES,
+)
+ORACLES["birth_sets_by_decade"] = _sql("SELECT decade, count(*) AS n_sets, sum(size)::BIGINT AS n_members, count(*) FILTER (size > 2) AS n_larger FROM settab GROUP BY decade", _WALKS, _DATED, _BIRTHS)
+ORACLES["recorded_sex_source"] = "SELECT f.id, CASE WHEN f.sex_source = 'input' AND f.id % 9 = 4 THEN 'imputed_from_role' ELSE f.sex_source END AS sex_source FROM (" + ORACLES["fixed_pedigree"] + ") f"
+
+
+def _strata(least: int = 6, rounds: int = 12) -> str:
+    """Thin and constant strata dropped, round by round; later rounds change nothing once the pairs are stable."""
+    out = """,
+k0 AS (SELECT q.mother, q.father, floor(m.acctbal / 3000)::DOUBLE AS x, f.acctbal AS y, m.birth_year // 10 AS ms, f.birth_year // 10 AS fs FROM pairs q JOIN dated m ON m.id = q.mother JOIN dated f ON f.id = q.father WHERE m.acctbal IS NOT NULL AND f.acctbal IS NOT NULL)"""
+    for k in range(rounds):
+        out += f""",
+u{k} AS (SELECT mother AS a, father AS b FROM k{k} UNION SELECT father, mother FROM k{k}),
+n{k} AS (SELECT DISTINCT a AS id, a AS c FROM u{k} UNION SELECT u.b, n.c FROM n{k} n JOIN u{k} u ON u.a = n.id WHERE n.c < u.b),
+w{k} AS (SELECT k.*, n.c FROM k{k} k JOIN (SELECT id, min(c) AS c FROM n{k} GROUP BY id) n ON n.id = k.mother),
+k{k + 1} AS (SELECT mother, father, x, y, ms, fs FROM w{k} WHERE ms NOT IN (SELECT ms FROM w{k} GROUP BY ms HAVING count(DISTINCT c) < {least} OR min(x) = max(x)) AND fs NOT IN (SELECT fs FROM w{k} GROUP BY fs HAVING count(DISTINCT c) < {least} OR min(y) = max(y)))"""
+    return out
+
+
+ORACLES["mate_full_strata"] = _sql("SELECT mother, father FROM k12", _WALKS, _PAIRS, _DATED, _strata()).replace(_PED, _PART)

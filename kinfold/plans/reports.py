@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators import ancestry, births, concordance, disclosure, effective_size, mates, relatives, relationships, sections
+from kinfold.operators import ancestry, births, concordance, disclosure, effective_size, mates, relatives, relationships, safe_mates, safe_size, sections
 from kinfold.operators.graph import closure, pedigree_components, structural_depth
 from kinfold.operators.individual import individual_table, mating_pairs
 from kinfold.plans import fixing, validation
@@ -23,6 +23,10 @@ class Result:
     code: int = 0
 
 
+class Unsupported(ValueError):
+    """Options that don't go together here; a usage error."""
+
+
 class Blocked(ValueError):
     """The input can't be analysed; the message names the checks that failed."""
 
@@ -98,7 +102,8 @@ def summarize(raw: DataFrame, options: validation.Options, inbreeding: bool = Tr
                     got[g]["input"]["p_permutation"] = concordance.permutation_p(raw.sparkSession, concordance.groups(p.ped, g), permutations, seed)
         demography["offspring_sex_concordance"] = got
     if options.multiple_birth:
-        demography["multiple_births"] = {"by_size": keyed(births.births_by_size(p.ped), "size"), "twins": row(births.twin_pairs_by_sex(p.ped))}
+        decade = p.ped.where("set is not null")
+        demography["multiple_births"] = {"by_size": keyed(births.births_by_size(decade), "size"), "twins": row(births.twin_pairs_by_sex(decade)), "by_decade": keyed(births.sets_by_decade(decade), "decade"), "twins_by_decade": keyed(births.twin_pairs_by_sex(decade, True), "decade")}
     individuals = {"reproduction": keyed(sections.reproduction(who), "stratum"), "genealogy": keyed(sections.genealogy(who), "variable")}
     founders = {"founder_contribution": row(sections.founder_contribution(who)), "founder_summary": keyed(sections.founder_summary(p.ped, p.paths(), p.depth), "depth")}
     pairs = p.pairs(max_degree)
@@ -147,8 +152,11 @@ def validate(raw: DataFrame, options: validation.Options, drop_offending: bool =
     return Result({"status": report.status, "summary": report.summary()}, tables, code)
 
 
-def effective_sizes(raw: DataFrame, options: validation.Options, estimators: tuple[str, ...] = effective_size.ESTIMATORS, reference: str | None = None) -> Result:
+def effective_sizes(raw: DataFrame, options: validation.Options, estimators: tuple[str, ...] = effective_size.ESTIMATORS, reference: str | None = None, min_cell: int | None = None) -> Result:
+    """With ``min_cell``, only what the gates of each estimator let pass; long-term contributions aren't even computed then."""
     p = Pedigree(raw, options)
+    if min_cell is not None:
+        estimators = tuple(e for e in estimators if safe_size.RELEASES[e])
     unknown = p.ped.where("sex is null").limit(1).count() > 0
     cohorts = None
     if set(estimators) & {"inbreeding", "coancestry", "group_coancestry"}:
@@ -172,10 +180,19 @@ def effective_sizes(raw: DataFrame, options: validation.Options, estimators: tup
             out[e] = row(effective_size.ne_hill_overlapping(p.ped)) if options.birth_year else row(effective_size.ne_variance_family_size(p.ped, p.depth))
         else:
             raise ValueError(f"no estimator {e}")
-    return Result({"effective_size": out})
-
-
-def assortative_mating(raw: DataFrame, options: validation.Options, traits: list[str], kinds: dict[str, str] | None = None, missing: tuple[str, ...] = (), stratify: str | None = None, width: int = 10, permutations: int = 0, bootstrap: int = 0, seed: int = 1) -> Result:
+    if min_cell is None:
+        return Result({"effective_size": out})
+    mask = reference_mask(p.ped.select("id"), raw, options.id, reference) if reference else None
+    cohorts = stored(effective_size.by_depth(p.depth, p.shares, p.inbred), "cohorts") if cohorts is None else cohorts
+    table = stored(safe_size.gates(p.ped if options.birth_year else p.ped.drop("birth_year"), p.depth, p.inbred, ancestry.ecg(p.ped, p.paths()), cohorts, p.twins, mask), "gates")
+    released = safe_size.release(out, safe_size.decisions(table, min_cell))
+    released["long_term_contributions"] = {"ne": None, "reason": safe_size.NOT_RELEASED}
+    depth = [(int(r["cell"]), r["n"]) for r in table.where("gate = 'depth'").collect()]
+    return Result({"min_cell": min_cell, "depth": {c.label: c.count for c in disclosure.protect_ordered(sorted(depth), min_cell)}, "effective_size": released})
+
+
+def assortative_mating(raw: DataFrame, options: validation.Options, traits: list[str], kinds: dict[str, str] | None = None, missing: tuple[str, ...] = (), stratify: str | None = None, width: int = 10, permutations: int = 0, bootstrap: int = 0, seed: int = 1, min_cell: int | None = None, min_networks: int = mates.MIN_STRATUM_NETWORKS) -> Result:
+    """With ``min_cell``, only the cells that the gates let pass, and of them the listed fields."""
     p = Pedigree(raw, options)
     tokens = stored(trait_tokens(p.ped.select("id"), raw, options.id, traits, missing), "traits")
     typed = {t: mates.classify_trait(tokens.select(F.col(t).alias("token")), (kinds or {}).get(t)) for t in traits}
@@ -185,15 +202,32 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
         value = own.try_cast("double") if kind == "continuous" else F.element_at(F.create_map(*(F.lit(x) for k, v in codes.items() for x in (k, float(v)))), own)
         values = values.withColumn(t, value)
     pairs = mates.mate_values(p.ped, values, traits)
+    if stratify and any(typed[t][0] != "continuous" for t in traits):
+        raise Unsupported("--stratify-by is built for continuous traits only")
+    if bootstrap and not (typed[traits[0]][0] == typed[traits[-1]][0] == "continuous"):
+        raise Unsupported("--bootstrap is built for two continuous traits only")
+    drops: dict[str, Any] = {}
     if stratify:
-        own = p.ped.join(p.depth, "id")
-        pairs = pairs.join(mates.pair_strata(own, width if stratify == "birth_year" else None), ["mother", "father"])
-        for t in traits:
-            if typed[t][0] == "continuous":
-                pairs = pairs.withColumn(f"m_{t}", mates.within_strata(pairs, f"m_{t}", "mother_stratum")).withColumn(f"f_{t}", mates.within_strata(pairs, f"f_{t}", "father_stratum"))
+        a, b = traits[0], traits[-1]
+        pairs = stored(pairs.join(mates.pair_strata(p.ped.join(p.depth, "id"), width if stratify == "birth_year" else None), ["mother", "father"]), "strata")
+        drops = row(mates.drop_counts(pairs, a, b))
+        pairs, more = mates.full_strata(pairs, a, b, min_networks)
+        drops |= more
+        pairs = pairs.withColumns({f"m_{a}": mates.within_strata(pairs, f"m_{a}", "mother_stratum"), f"f_{b}": mates.within_strata(pairs, f"f_{b}", "father_stratum")})
     pairs, nets = stored(pairs, "mate-values"), stored(mates.mate_networks(p.ped), "networks")
+    if min_cell is not None and stratify:
+        raise Unsupported("--safe-attempt with --stratify-by isn't built")
+    if min_cell is not None:
+        fitted = {(x, y): "continuous" not in (typed[x][0], typed[y][0]) for x, y in safe_mates.cells(traits)}
+        table = stored(safe_mates.gates(pairs, values, traits, fitted), "gates")
+        decided = stored(safe_mates.decisions(table, min_cell, fitted, traits), "decisions")
+        passed = {r["cell"] for r in decided.where("released").collect()}  # at most four cells
+        found = {f"{x}x{y}": mates.estimate(pairs, nets, x, y, (typed[x][0], typed[y][0])) if f"{x}x{y}" in passed else {} for x, y in safe_mates.cells(traits)}
+        couples = table.where("gate = 'couples'").first()
+        shown = disclosure.protect_count(couples["n"], couples["units"], min_cell)
+        return Result({"min_cell": min_cell, "mating_pairs": shown, "mate_correlation": safe_mates.release(found, decided)})
     a, b = traits[0], traits[-1]
-    out: dict[str, Any] = {"drops": row(mates.drop_counts(pairs, a, b)), "kinds": {t: k for t, (k, _) in typed.items()}}
+    out: dict[str, Any] = {"drops": drops or row(mates.drop_counts(pairs, a, b)), "kinds": {t: k for t, (k, _) in typed.items()}}
     out["primary"] = mates.estimate(pairs, nets, a, b, (typed[a][0], typed[b][0]))
     if typed[a][0] == typed[b][0] == "continuous":
         out["spearman"] = row(mates.spearman(pairs, a, b))
@@ -211,14 +245,14 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
     return Result({"mate_correlation": out})
 
 
-def relatives_input(raw: DataFrame, options: validation.Options, kinds: tuple[str, ...] = relatives.DEFAULT, base_year: int = 1900, drop_founders: bool = False, exact_kinship: bool = False) -> Result:
+def relatives_input(raw: DataFrame, options: validation.Options, kinds: tuple[str, ...] = relatives.DEFAULT, base_year: int = 1900, drop_founders: bool = False, exact_kinship: bool = False, disorder: str = "trait1") -> Result:
     p = Pedigree(raw, options)
     lineage = {k: relatives.lineage_avuncular(p.ped, p.shares, p.inbred, r) for k, r in (("mAv", "mother"), ("pAv", "father")) if k in kinds}
     pairs = stored(relatives.relative_pairs(p.pairs(3), kinds, lineage), "relative-pairs")
-    table = relatives.skeleton(p.ped, pairs, kinds, p.depth, base_year, drop_founders)
+    table = relatives.skeleton(p.ped, pairs, kinds, p.depth, base_year, drop_founders).withColumn("disorder", F.lit(disorder))
     if exact_kinship:
         pairs = ancestry.pair_kinship(pairs.withColumnRenamed("kinship", "nominal"), p.shares, p.inbred).withColumnsRenamed({"kinship": "kinship_exact", "nominal": "kinship"})
     return Result({"diagnostics": keyed(relatives.relationship_diagnostics(table), "kind")}, {"skeleton": table.orderBy("kind", "id"), "pairs": pairs.orderBy("kind", "id1", "id2")})
 
 
-__all__ = ["Blocked", "Pedigree", "Result", "SparkSession", "assortative_mating", "effective_sizes", "read_aligned", "relatives_input", "safe_summary", "summarize", "validate"]
+__all__ = ["Blocked", "Pedigree", "Result", "SparkSession", "Unsupported", "assortative_mating", "effective_sizes", "read_aligned", "relatives_input", "safe_summary", "summarize", "validate"]

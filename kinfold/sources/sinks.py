@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.tokens import plink_sex
+from kinfold.operators.disclosure import Public, safe_message
 
 #: What a summary keeps in the slim report; the rest goes to the extra one.
 SLIM = ("structure", "demography", "relatedness")
@@ -119,9 +121,38 @@ def publish(path: str | Path, text: str) -> None:
 def write_report(folder: str | Path, name: str, payload: dict, significant: bool = False) -> None:
     """``name.yaml`` with the slim sections and ``name.extra.yaml`` with the others."""
     shown = rounded(payload, 4, significant)
-    publish(Path(folder) / f"{name}.yaml", yaml({k: v for k, v in shown.items() if k in SLIM} or shown))
-    if extra := {k: v for k, v in shown.items() if k not in SLIM}:
-        publish(Path(folder) / f"{name}.extra.yaml", yaml(extra))
+    slim = {k: v for k, v in shown.items() if k in SLIM}
+    publish(Path(folder) / f"{name}.yaml", yaml(slim or shown))
+    if slim and len(slim) < len(shown):  # a report without slim sections is one file
+        publish(Path(folder) / f"{name}.extra.yaml", yaml({k: v for k, v in shown.items() if k not in SLIM}))
+
+
+def remove_stale(folder: Path, names: tuple[str, ...]) -> None:
+    """Outputs of an earlier run, which would else pass for this input's."""
+    for name in names:
+        path = folder / name
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+
+
+def id_sample(raw: DataFrame, id_column: str, k: int = 5) -> list[str]:
+    """A few ids, the same in every run: those of least hash."""
+    return [r[0] for r in raw.select(F.trim(id_column).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(k).collect()]
+
+
+def log_ids(folder: Path, command: str, raw: DataFrame, id_column: str, safe: bool, id_log: bool) -> None:
+    """A line with the number of rows and a sample of ids; in safe mode ids go to a file of their own, and only if asked for."""
+    if id_column not in raw.columns:
+        return
+    sample = ", ".join(id_sample(raw, id_column)) if id_log or not safe else ""
+    if safe:
+        publish(folder / f"{command}.log", safe_message("read %s from column %s\n", raw.count(), Public(id_column)))
+        if id_log:
+            publish(folder / f"{command}.ids.local.log", f"ids read, for example: {sample}\n")
+    elif command != "validate":
+        publish(folder / f"{command}.log", f"read {raw.count()} rows; ids, for example: {sample}\n")
 
 
 def prepare_out_dir(folder: str | Path, known: tuple[str, ...] = (), safe: bool = False) -> Path:
