@@ -178,3 +178,51 @@ def test_summary_report(spark, table):
     assert got.payload["structure"]["size_structure"]["n_individuals"] == 4 and got.payload["relatedness"]["relationship_pairs"]["FS"] == 1
     safe = reports.safe_summary(read_table(spark, table(CLEAN)), Options())
     assert safe.payload["release"]["individuals"] is None
+
+
+@pytest.mark.parametrize(
+    "argv",
+    [
+        ["summarize", "--min-parent-age", "30", "--max-parent-age", "20"],
+        ["summarize", "--zygosity-col", "z"],
+        ["summarize", "--id-log"],
+        ["summarize", "--per-individual-burden", "--max-degree", "3"],
+        ["summarize", "--safe-attempt", "--min-cell", "2"],
+        ["validate", "--break-cycles"],
+        ["validate", "--twin-max-days", "3"],
+        ["validate", "--twin-max-days", "3", "--birth-date-col", "d", "--multiple-birth-col", "m"],
+        ["validate", "--twin-max-days", "30", "--birth-date-col", "d"],
+        ["effective-size", "--estimators", "ne_nothing"],
+        ["assortative-mating", "--trait", "a", "b", "c"],
+        ["assortative-mating", "--trait", "a", "a"],
+        ["assortative-mating", "--trait", "a", "--trait-type", "b=ordinal"],
+        ["assortative-mating", "--trait", "a", "--trait-type", "a=ordinal", "a=binary"],
+        ["assortative-mating", "--trait", "a", "--stratify-by", "birth_year"],
+    ],
+)
+def test_usage_errors(tmp_path, argv):
+    with pytest.raises(SystemExit) as e:
+        cli.run([argv[0], "--in", "none.tsv", "--out", str(tmp_path / "out"), *argv[1:]])
+    assert e.value.code == 2 and not (tmp_path / "out").exists()
+
+
+def test_safe_commands(spark, table, tmp_path):
+    """Small pedigrees release nothing; nothing of the ordinary report is written; a second run takes its own folder."""
+    path = table(CLEAN.replace("birth_year", "birth_year\tx").replace("1950", "1950\t1.5").replace("1951", "1951\t2").replace("1980", "1980\t3").replace("1982", "1982\t4"))
+    for command, extra in (("effective-size", ["--birth-year-col", "birth_year"]), ("assortative-mating", ["--trait", "x", "--trait-type", "x=continuous"])):
+        out = tmp_path / command
+        for _ in range(2):
+            assert cli.run([command, "--in", path, "--out", str(out), "--safe-attempt", "--id-log", *extra]) == 0
+        text = (out / f"{command}.yaml").read_text()
+        assert "withheld" in text and not [x for x in ("slope: 0", "n_networks", "sum_c2", "max_delta") if x in text]
+        assert "1, " not in (out / f"{command}.log").read_text() and "example" in (out / f"{command}.ids.local.log").read_text()
+    (out / "other.txt").write_text("x")
+    with pytest.raises(FileExistsError):
+        cli.run([command, "--in", path, "--out", str(out), "--safe-attempt", *extra])
+
+
+def test_stale_outputs_go(spark, table, tmp_path):
+    out = tmp_path / "v"
+    assert cli.run(["validate", "--in", table(CLEAN), "--out", str(out)]) == 0 and (out / "validate.tsv").exists()
+    assert cli.run(["validate", "--in", table(HEAD + "3\tM\t2\t2\t1980\n", "bad.tsv"), "--out", str(out)]) == 2
+    assert not (out / "validate.tsv").exists() and (out / "validate.log").exists()
