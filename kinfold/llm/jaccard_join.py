@@ -3,9 +3,10 @@
 Method: sets of equal content are merged first, by a 128-bit digest, and only first copies go on.  Sets are put into size
 bands whose ends differ by 1/0.8, so linked sets lie in the same or neighbouring bands; an *instance* serves one band and
 the next.  Linked sets of an instance differ in at most K elements.  The feature domain is partitioned, by hash, into more
-than K + 1 parts; a set's subset in a part, hashed, is a signature.  By the pigeonhole principle one of K + 1 non-empty parts
-holds no difference, so linked sets share a signature.  A set with too few non-empty parts (rare; counted exactly) also
-emits its empty parts, so every link is covered.
+than K / 2 parts, and each part into three.  Of linked sets some part holds at most one difference, which lies in one of its
+three, so the other two agree: a part's signatures are its elements in each two of the three, hashed.  Signatures of a single
+element or none say little; a set does without them where it has enough parts whose signatures all have two elements (counted
+exactly: more than K / 2), else without empty ones where enough have one, else it emits all, so every link is covered.
 
 Signatures travel as compressed blobs, a row for each batch of texts and part of the signature space, sized so that a part
 holds about ``part_rows`` of them.  A bucket of equal signatures yields a star of candidates around its least document, not
@@ -76,6 +77,10 @@ def _differ(total: np.ndarray | int, percent: int) -> np.ndarray | int:
     return total * (100 - percent) // (100 + percent)
 
 
+#: A first-level part is split into this many; signatures leave one of them out.
+SPLIT = 3
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and signatures of the sets in both instances that each belongs to."""
     ends = bands(int(size.max()) if len(size) else 1, percent)
@@ -85,24 +90,32 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
         inst = band - back
         top = ends[np.clip(inst + 1, 0, len(ends) - 1)] - 1  # the largest size of the instance's lower band
         most = _differ(top + top * 100 // percent, percent)
-        parts = np.where((inst >= 0) & (most > 0) & (size > 0), (most + 1) * 144 // 100 + 3, 0)
+        parts = np.where((inst >= 0) & (most > 0) & (size > 0), (most // 2 + 1) * 144 // 100, 0)
         begin = np.cumsum(parts) - parts
         use = parts[owner] > 0
         o, x = owner[use], h[use]
-        cell = begin[o] + (mix(x ^ _K[0]) % parts[o].astype(np.uint64)).astype(np.int64)
+        cell = (begin[o] + (mix(x ^ _K[0]) % parts[o].astype(np.uint64)).astype(np.int64)) * SPLIT + (mix(x ^ _K[6]) % np.uint64(SPLIT)).astype(np.int64)
         total = int(parts.sum())
-        acc = np.zeros(total, np.uint64)
+        acc = np.zeros(total * SPLIT, np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(acc, cell, mix(x ^ _K[1]))
-            count = np.bincount(cell, minlength=total)
+            acc = acc.reshape(total, SPLIT)
+            count = np.bincount(cell, minlength=total * SPLIT).reshape(total, SPLIT)
             doc = np.repeat(np.arange(len(size)), parts)
             part = np.arange(total) - np.repeat(begin, parts)
-            sig = mix(acc + mix(inst[doc].astype(np.uint64) * _K[2] + part.astype(np.uint64)))
+            # All elements of a part but those of one of the three.
+            rest, left = acc.sum(1, keepdims=True) - acc, count.sum(1, keepdims=True) - count
+            place = part[:, None] * SPLIT + np.arange(SPLIT)
+            sig = mix((rest + mix(inst[doc].astype(np.uint64) * _K[2])[:, None] + mix(place.astype(np.uint64).ravel()).reshape(place.shape)).ravel()).reshape(place.shape)
         # A link of a set of the lower band reaches up to size / percent, one of the upper band down to the lower band's top.
         apart = _differ(size + np.where(back, top, size * 100 // percent), percent)
-        weak = np.bincount(doc, count > 1, len(size)) < apart + 1
-        keep = (count > 1) | weak[doc]
-        docs.append(doc[keep])
+        fewest = left.min(1)
+        least = np.zeros(len(size), np.int64)  # elements a signature must have
+        for need in (1, 2):
+            enough = np.bincount(doc, fewest >= need, len(size)) > apart // 2
+            least = np.where(enough, need, least)
+        keep = left >= least[doc][:, None]
+        docs.append(np.broadcast_to(doc[:, None], keep.shape)[keep])
         sigs.append(sig[keep])
     return np.concatenate(docs), np.concatenate(sigs)
 
@@ -267,7 +280,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = _speaking(docs, base.where("row < most").select("doc_id", F.col("row").alias("own"))).select("doc_id", "text")
     named = stored(_with_first(base.select("doc_id", "n", "one", "two")).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "first-copies")
     total = base.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(total) * 6 // 10 // part_rows))
+    parts = max(1, -(-int(total) // part_rows))  # about a signature a shingle
     fn, ddl = _emit(size, percent, parts)
     copies = stored(named.where("rep != doc_id").select("doc_id"), "copies")  # they have nothing more to find
     ours = docs.join(_some(copies), "doc_id", "left_anti")

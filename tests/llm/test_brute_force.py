@@ -132,6 +132,28 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_signatures_cover_every_link():
+    """Pairs of sets at and just above the threshold share a signature, at every size; the number of signatures is bounded."""
+    from kinfold.llm.jaccard_join import signatures
+
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 60, 100, 333, 1000, 4000]:
+        for _ in range(12 if n < 100 else 3):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            out = int(rng.integers(0, n + 1))
+            b = None
+            while b is None:  # as many elements out and in as the threshold allows
+                new = int(rng.integers(0, max(1, n // 4) + 1))
+                if 100 * (n - out) >= 80 * (n + new) and n - out > 0:
+                    b = np.concatenate([a[out:], rng.integers(1, 1 << 62, new).astype(np.uint64)])
+                out //= 2
+            sizes = np.array([len(a), len(b)])
+            docs, sigs = signatures(np.repeat([0, 1], sizes), np.concatenate([a, b]), sizes, 80)
+            same = len(a) == len(b) and set(a.tolist()) == set(b.tolist())
+            assert same or set(sigs[docs == 0].tolist()) & set(sigs[docs == 1].tolist()), (n, len(b))
+            assert len(sigs) < 4 * sizes.sum() + 20
+
+
 def _drawn(rng, alphabet, n):
     return "".join(rng.choice(alphabet) for _ in range(n))
 
