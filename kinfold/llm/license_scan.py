@@ -8,8 +8,8 @@ phrases, found where their words follow one another.
 
 Only hits are shuffled, never texts or all k-grams.  No Python runs on the executors.
 
-Defined cases: null texts count as empty; rows without a doc_id take no part; repeated rows give repeated results; a
-phrase or template may occur any number of times; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null texts count as empty; rows without a doc_id take no part; repeated rows give repeated results, and rows of one
+id with other texts are judged each by itself; a phrase or template may occur any number of times; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +46,11 @@ def word_list(text: Column) -> Column:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """doc_id and w, the words; made by a generator, so that the optimizer can't repeat the splitting in each use of w."""
-    return docs.select("doc_id", F.explode(F.array(word_list(F.col("text")))).alias("w"))
+    """doc_id, row and w, the words; made by a generator, so that the optimizer can't repeat the splitting in each use of w.
+
+    ``row`` tells rows of one id apart by their texts.
+    """
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.explode(F.array(word_list(F.col("text")))).alias("w"))
 
 
 def _places(words: Column, padded: Column, phrase: str) -> Column:
@@ -70,21 +73,21 @@ def _grams(words: Column, k: int) -> Column:
 
 
 def scan_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, k: int = 5, drift: int = 4, cover: float = 0.5) -> DataFrame:
-    """Verified spans: doc_id, label, first_word, end_word (exclusive), coverage of the template's k-grams."""
+    """Verified spans: doc_id, row (the text's xxhash64), label, first_word, end_word (exclusive), coverage of the template's k-grams."""
     docs = texts(docs, key, text)
     known = docs.sparkSession.createDataFrame(list((templates or TEMPLATES).items()), "label string, body string")
     known = known.select("label", _grams(word_list(F.col("body")), k).alias("g"))
     known = known.select("label", F.size("g").alias("grams"), F.posexplode("g").alias("t", "h"))
-    at = with_words(docs).select("doc_id", F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
+    at = with_words(docs).select("doc_id", "row", F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
     hits = at.join(F.broadcast(known), "h").withColumn("diagonal", F.col("p") - F.col("t"))
-    votes = hits.groupBy("doc_id", "label", "grams", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    order = W.partitionBy("doc_id", "label").orderBy("diagonal")
+    votes = hits.groupBy("doc_id", "row", "label", "grams", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    order = W.partitionBy("doc_id", "row", "label").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > drift, F.lit(True))
     merged = votes.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(order))
-    merged = merged.groupBy("doc_id", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("lo").alias("first_word"), (F.max("hi") + k).alias("end_word"))
+    merged = merged.groupBy("doc_id", "row", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("lo").alias("first_word"), (F.max("hi") + k).alias("end_word"))
     merged = merged.withColumn("coverage", F.col("votes") / F.col("grams"))
     good = (F.col("coverage") >= cover) & (F.col("end_word") - F.col("first_word") <= 2 * (F.col("grams") + k))
-    return merged.where(good).select("doc_id", "label", "first_word", "end_word", "coverage")
+    return merged.where(good).select("doc_id", "row", "label", "first_word", "end_word", "coverage")
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, **options) -> DataFrame:
@@ -96,12 +99,12 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     rows = with_words(texts(docs, key, text))
     rows = rows.withColumn("padded", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     names = [f"at_{i}" for i in range(len(phrases))]
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), *(_places(F.col("w"), F.col("padded"), p).alias(n) for n, p in zip(names, phrases, strict=True)))
+    rows = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *(_places(F.col("w"), F.col("padded"), p).alias(n) for n, p in zip(names, phrases, strict=True)))
     every = F.concat(*names)
     base = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(n) > 0, F.lit(v)) for n, v in zip(names, phrases.values(), strict=True))), lambda x: x.isNotNull())))
-    rows = rows.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    found = scan_spans(docs, key, text, **options).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
-    both = rows.join(found, "doc_id", "left")
+    rows = rows.select("doc_id", "row", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
+    found = scan_spans(docs, key, text, **options).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
+    both = rows.join(found, ["doc_id", "row"], "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

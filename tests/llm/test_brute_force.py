@@ -205,6 +205,161 @@ def test_base_patterns_against_a_plain_scan(spark, texts):
     assert len(got) == len(docs)
 
 
+def _plain_words(text):
+    import re
+
+    return [w for w in re.split("[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+
+
+def test_licenses_against_a_plain_scan(spark, texts):
+    """Base phrases and diagonal spans of every text, and of texts with templates worked in, word by word."""
+    from kinfold.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+
+    rng, rows = random.Random(4), [(d, t) for d, t in texts.items()]
+    for i, (name, body) in enumerate(TEMPLATES.items()):
+        words = body.split()
+        worn = [w for j, w in enumerate(words) if j % 17 != 5]  # a word in seventeen is lost
+        rows += [(10**6 + 10 * i, f"before {body} after"), (10**6 + 10 * i + 1, " ".join(worn)), (10**6 + 10 * i + 2, " ".join(words[: max(6, len(words) // 5)])), (10**6 + 10 * i + 3, " ".join(rng.sample(words, len(words))))]
+    grams = {}
+    for name, body in TEMPLATES.items():
+        w = _plain_words(body)
+        grams[name] = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        w = _plain_words(text)
+        places = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in PHRASES}
+        every = [i for v in places.values() for i in v]
+        base = {PHRASES[p] for p, v in places.items() if v}
+        best, more = 0.0, set()
+        for name, own in grams.items():
+            at = collections.defaultdict(list)
+            for t, g in enumerate(own):
+                at[g].append(t)
+            hits = sorted((p - t, p, t) for p in range(len(w) - 4) for t in at.get(tuple(w[p : p + 5]), ()))
+            spans = []
+            for diagonal, p, t in hits:
+                if not spans or diagonal - spans[-1][0] > 4:
+                    spans.append([diagonal, set(), p, p])
+                s = spans[-1]
+                s[0], s[2], s[3] = diagonal, min(s[2], p), max(s[3], p)
+                s[1].add(t)
+            for _, ts, lo, hi in spans:
+                if len(ts) >= 0.5 * len(own) and hi + 5 - lo <= 2 * (len(own) + 5):
+                    more.add(name)
+                    best = max(best, len(ts) / len(own))
+        r = got[d]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(every), min(every, default=None), max(every, default=None)), d
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | more)), d
+        assert r["score"] == pytest.approx(1.0 if every else best)
+
+
+def test_tree_walk_and_features():
+    """Flattened trees against a walk row by row; features of a text alone and among others."""
+    from kinfold.llm.quality_classifier import FEATURES, features, fit
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 6))
+    x[:, 3] = np.round(x[:, 3])
+    y = (x[:, 0] + x[:, 1] * x[:, 3] > 0.2).astype(float)
+    model = fit(x, y, trees=25, depth=3)
+    plain = []
+    for row in x:
+        total = model.base
+        for f, t, lo, hi, v in zip(model.feature, model.threshold, model.left, model.right, model.value, strict=True):
+            at = 0
+            while lo[at] != at:
+                at = lo[at] if row[f[at]] <= t[at] else hi[at]
+            total += v[at]
+        plain.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(model.score(x), plain, atol=1e-12)
+    assert ((model.score(x) > 0.5) == (y > 0)).mean() > 0.9
+    own = ["", "One two two.\nOne two two.\n", "Ünïcode wörds & SYMBOLS!! 123", "a " * 500]
+    raw = [t.encode() for t in own]
+    joint = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    alone = [features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for b in raw]
+    assert joint.shape == (4, len(FEATURES)) and np.allclose(joint, alone) and not joint[0].any()
+
+
+def test_packing_improves_a_tight_instance():
+    """Pieces cut from full bins: best-fit decreasing needs more bins than there were, the genetic algorithm fewer than it."""
+    from kinfold.llm.best_fit_packing import _Shard
+
+    rng = np.random.default_rng(8)
+    lengths = []
+    for _ in range(60):
+        cuts = np.sort(rng.choice(np.arange(1, 1000), 2, replace=False))
+        lengths += np.diff([0, *cuts, 1000]).tolist()
+    s = _Shard(np.array(lengths), 1000, 5)
+    first = s.begin(0.0)
+    assert s.bound == 60 and len(first) > 60
+    crossed = []
+    s.cross, plain = lambda a, b, f=s.cross: crossed.append(1) or f(a, b), s.cross
+    best = s.evolve([], 8, 300)
+    assert crossed and s.fitness(best) < s.fitness(first)
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
+    child = plain(first, best)  # injects whole bins, drops duplicates, places the displaced
+    assert sorted(i for b in child for i in b) == list(range(len(lengths)))
+
+
+def test_elites_migrate(spark):
+    """A tight shard on several islands over two epochs: every piece is placed once, no sequence overflows."""
+    from kinfold.llm.best_fit_packing import pack_pieces
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(40):
+        cuts = np.sort(rng.choice(np.arange(1, 500), 2, replace=False))
+        rows += [(3 * k + j, 0, 0, int(n), 0) for j, n in enumerate(np.diff([0, *cuts, 500]))]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack_pieces(pieces, 500, 1000, 3, 2, 6, 40).collect()
+    fill = collections.Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 120 and max(fill.values()) <= 500 and 40 <= len(fill) <= 46
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Each stage on its own input: what goes is what a plain version says."""
+    import corpus_pipeline
+    from kinfold.llm.queries import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    scored = {r["doc_id"]: r["predicted"] for r in queries()["op2_quality_classifier"](spark, SF).collect()}
+    assert ids(corpus_pipeline.quality(spark, docs, SF)) == sorted(d for d, p in scored.items() if p)
+    sets = {}
+    for d, t in docs.select("doc_id", "text").collect():
+        w = (t or "").encode().translate(LOWER).split()
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert ids(corpus_pipeline.dedup(spark, docs, SF)) == [d for d in order if top(d) == d]
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = _plain_words(r["text"] or "")
+        windows |= {tuple(w[i : i + 10]) for i in range(len(w) - 9)} if len(w) >= 10 else ({tuple(w)} if w else set())
+    sizes = {len(w) for w in windows}
+    clean = []
+    for d, t in docs.select("doc_id", "text").collect():
+        w = _plain_words(t or "")
+        if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1)):
+            clean.append(d)
+    assert ids(corpus_pipeline.decontaminate(spark, docs, SF)) == sorted(clean)
+
+
 def test_pipeline(spark):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
