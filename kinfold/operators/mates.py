@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -165,13 +166,16 @@ def cross_table(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def two_by_two(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The four counts, the odds ratio with the standard error of its logarithm, and phi."""
+    """The four counts, the odds ratio with the standard error of its logarithm and its 95 % interval, and phi."""
     x, y = F.col("x") > 0, F.col("y") > 0
     t = _used(pairs, a, b).agg(F.count_if(~x & ~y).alias("n00"), F.count_if(~x & y).alias("n01"), F.count_if(x & ~y).alias("n10"), F.count_if(x & y).alias("n11"))
     n00, n01, n10, n11 = (F.col(c).cast("double") for c in ("n00", "n01", "n10", "n11"))
     margins = (n00 + n01) * (n10 + n11) * (n00 + n10) * (n01 + n11)
     positive = (n00 > 0) & (n01 > 0) & (n10 > 0) & (n11 > 0)
-    return t.select("n00", "n01", "n10", "n11", F.when(positive, n00 * n11 / (n01 * n10)).alias("odds_ratio"), F.when(positive, F.sqrt(1 / n00 + 1 / n01 + 1 / n10 + 1 / n11)).alias("se_log_odds"), F.when(margins > 0, (n00 * n11 - n01 * n10) / F.sqrt(margins)).alias("phi"))
+    odds, se = n00 * n11 / (n01 * n10), F.sqrt(1 / n00 + 1 / n01 + 1 / n10 + 1 / n11)
+    q = normal.quantile(0.975)
+    interval = [F.when(positive, F.exp(F.ln(odds) + sign * q * se)).alias(f"odds_ratio_{name}") for name, sign in (("low", -1), ("high", 1))]
+    return t.select("n00", "n01", "n10", "n11", F.when(positive, odds).alias("odds_ratio"), F.when(positive, se).alias("se_log_odds"), *interval, F.when(margins > 0, (n00 * n11 - n01 * n10) / F.sqrt(margins)).alias("phi"))
 
 
 # Latent correlations -------------------------------------------------------------------------------------------------
@@ -267,14 +271,54 @@ def influence(used: DataFrame, r: float) -> DataFrame:
     return used.select("network", (zx * zy - r * (zx * zx + zy * zy) / 2).alias("score"))
 
 
-def estimate(pairs: DataFrame, networks: DataFrame, a: str, b: str, kinds: tuple[str, str]) -> dict:
-    """The primary estimator for the kinds of a and b, its network standard error and interval."""
-    used = _used(pairs, a, b).join(networks.withColumnRenamed("id", "mother"), "mother")
-    used = stored(used, "used")
+class Fit(NamedTuple):
+    """An estimate's record, the score of each pair by network, and the information."""
+
+    record: dict
+    scores: DataFrame
+    information: float
+
+
+def _tables(used: DataFrame, by: list[str]) -> tuple[dict[tuple, np.ndarray], list, list]:
+    """A table of counts for each pair of strata (one without strata), over all levels; strata and levels are few."""
+    rows = used.groupBy(*by, "x", "y").agg(F.count("*").alias("n")).collect()
+    xs, ys = sorted({r["x"] for r in rows}), sorted({r["y"] for r in rows})
+    tables: dict[tuple, np.ndarray] = {}
+    for r in rows:
+        t = tables.setdefault(tuple(r[c] for c in by), np.zeros((len(xs), len(ys))))
+        t[xs.index(r["x"]), ys.index(r["y"])] = r["n"]
+    return tables, xs, ys
+
+
+def stratified_polychoric(tables: dict[tuple, np.ndarray]) -> tuple[float, dict[tuple, np.ndarray], float]:
+    """One correlation with thresholds of each mother's and father's stratum: keys are (mother's, father's) strata, or ()."""
+    mothers: dict = {}
+    fathers: dict = {}
+    for k, t in tables.items():
+        mothers[k[:1]] = mothers.get(k[:1], 0) + t.sum(1)
+        fathers[k[1:]] = fathers.get(k[1:], 0) + t.sum(0)
+    cuts = {k: (_thresholds(mothers[k[:1]]), _thresholds(fathers[k[1:]])) for k in tables}
+    logs = lambda r: {k: np.log(np.maximum(normal.cells(*c, max(-0.9999, min(0.9999, r))), 1e-300)) for k, c in cuts.items()}
+    r = _maximum(lambda v: sum(float((tables[k] * x).sum()) for k, x in logs(v).items()))
+    e = 1e-4
+    lo, mid, hi = logs(r - e), logs(r), logs(r + e)
+    info = -sum(float((tables[k] * (hi[k] - 2 * mid[k] + lo[k])).sum()) for k in tables) / e**2
+    return r, {k: (hi[k] - lo[k]) / (2 * e) for k in tables}, info
+
+
+def fit(pairs: DataFrame, networks: DataFrame, a: str, b: str, kinds: tuple[str, str], strata: bool = False) -> Fit:
+    """The primary estimator for the kinds of a and b, its network standard error and interval.
+
+    With ``strata`` (columns mother_stratum, father_stratum) categorical traits have thresholds by stratum; continuous ones
+    come standardised within strata.
+    """
+    by = ["mother_stratum", "father_stratum"] if strata else []
+    used = pairs.select("mother", *by, F.col(f"m_{a}").alias("x"), F.col(f"f_{b}").alias("y")).where("x is not null and y is not null")
+    used = stored(used.join(networks.withColumnRenamed("id", "mother"), "mother"), "used")
     if kinds == ("continuous", "continuous"):
         got = used.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).first()
-        name, n, r = "pearson", got["n"], got["r"]
-        se, g = _clustered(influence(used, r), n)
+        name, n, r, info = "pearson", got["n"], got["r"], got["n"]
+        scores = influence(used, r)
     elif "continuous" in kinds:
         if kinds[1] == "continuous":
             used = used.select("network", F.col("y").alias("x"), F.col("x").alias("y"))
@@ -289,20 +333,23 @@ def estimate(pairs: DataFrame, networks: DataFrame, a: str, b: str, kinds: tuple
                 yield pd.DataFrame({"network": p["network"], "score": (hi - lo) / (2 * e), "info": -(hi - 2 * mid + lo) / e**2})
 
         scores = stored(used.select("network", "x", "y").mapInPandas(score, "network long, score double, info double"), "scores")
-        se, g = _clustered(scores, scores.agg(F.sum("info")).first()[0])
+        info = scores.agg(F.sum("info")).first()[0]
     else:
-        rows = used.groupBy("x", "y").agg(F.count("*").alias("n")).collect()  # levels x levels
-        xs, ys = sorted({r["x"] for r in rows}), sorted({r["y"] for r in rows})
-        table = np.zeros((len(xs), len(ys)))
-        for row in rows:
-            table[xs.index(row["x"]), ys.index(row["y"])] = row["n"]
-        n = int(table.sum())
-        r, cell, info = polychoric(table)
-        name = "tetrachoric" if table.shape == (2, 2) else "polychoric"
-        key = F.create_map(*(v for i, x in enumerate(xs) for j, y in enumerate(ys) for v in (F.lit(f"{x}|{y}"), F.lit(float(cell[i, j])))))
-        se, g = _clustered(used.select("network", F.element_at(key, F.concat_ws("|", "x", "y")).alias("score")), info)
+        tables, xs, ys = _tables(used, by)
+        n = int(sum(t.sum() for t in tables.values()))
+        r, cell, info = stratified_polychoric(tables)
+        name = "tetrachoric" if (len(xs), len(ys)) == (2, 2) else "polychoric"
+        rows = [(*k, float(x), float(y), float(c[i, j])) for k, c in cell.items() for i, x in enumerate(xs) for j, y in enumerate(ys)]
+        known = pairs.sparkSession.createDataFrame(rows, ", ".join([*(f"{c} {dict(used.dtypes)[c]}" for c in by), "x double", "y double", "score double"]))
+        scores = used.join(F.broadcast(known), [*by, "x", "y"]).select("network", "score")  # strata x strata x levels x levels
+    scores = stored(scores.select("network", "score"), "scores")
+    se, g = _clustered(scores, info)
     low, high = wald(r, se)
-    return {"estimator": name, "n": int(n), "n_networks": g, "estimate": float(r), "se": float(se), "ci_low": low, "ci_high": high}
+    return Fit({"estimator": name, "n": int(n), "n_networks": g, "estimate": float(r), "se": float(se), "ci_low": low, "ci_high": high}, scores, float(info))
+
+
+def estimate(pairs: DataFrame, networks: DataFrame, a: str, b: str, kinds: tuple[str, str], strata: bool = False) -> dict:
+    return fit(pairs, networks, a, b, kinds, strata).record
 
 
 def bootstrap(scores: DataFrame, r: float, information: float, draws: int = 200, seed: int = 1) -> DataFrame:
@@ -315,24 +362,67 @@ def bootstrap(scores: DataFrame, r: float, information: float, draws: int = 200,
         edges.append(total)
         p /= k + 1
     weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    many = by.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    return many.groupBy("draw").agg((F.lit(r) + F.sum((weight - 1) * F.col("s")) / information).alias("estimate"))
+    many = by.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    # Given their total, Poisson weights are multinomial ones; the total's own variation is divided out.
+    return many.groupBy("draw").agg((F.lit(r) + F.sum(F.col("w") * F.col("s")) / F.sum("w") * F.count("*") / information).alias("estimate"))
 
 
-def permutations(pairs: DataFrame, a: str, b: str, draws: int = 999, seed: int = 1, stratum_column: str | None = None) -> DataFrame:
-    """draw and statistic (sum of standardised products) with the fathers' values dealt anew within a stratum; draw 0 is observed.
+def null_scores(pairs: DataFrame, column: str, kind: str, by: str | None = None) -> Column:
+    """What a value counts for at a correlation of 0: itself, standardised, or its level's mean on a normal scale.
 
-    Hashes order the fathers in each draw, so a draw is a sort, not a driver loop.
+    For categorical traits the product of both members' scores is the derivative of the likelihood there.
     """
-    used = _used(pairs, a, b)
-    used = used.withColumn("s", F.lit(0)) if stratum_column is None else used.join(pairs.select("mother", "father", F.col(stratum_column).alias("s")), ["mother", "father"])
-    m = used.agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), F.stddev_pop("y").alias("sy")).first()
-    z = used.select("mother", "father", "s", ((F.col("x") - m["mx"]) / m["sx"]).alias("zx"), ((F.col("y") - m["my"]) / m["sy"]).alias("zy"))
-    many = z.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    order = F.when(F.col("draw") == 0, F.xxhash64("mother", "father")).otherwise(F.xxhash64("father", "mother", "draw", F.lit(seed)))
-    left = many.select("draw", "s", "zx", F.row_number().over(W.partitionBy("draw", "s").orderBy(F.xxhash64("mother", "father"))).alias("i"))
-    right = many.select("draw", "s", "zy", F.row_number().over(W.partitionBy("draw", "s").orderBy(order)).alias("i"))
-    return left.join(right, ["draw", "s", "i"]).groupBy("draw").agg(F.sum(F.col("zx") * F.col("zy")).alias("statistic"))
+    v = F.col(column)
+    if kind == "continuous":
+        m = pairs.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).first()
+        return (v - F.lit(m["m"])) / F.lit(m["s"])
+    keys = [by] if by else []
+    counts = pairs.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("n")).collect()  # strata x levels
+    out = F.lit(None).cast("double")
+    for s in {tuple(r[k] for k in keys) for r in counts}:
+        own = sorted((r["v"], r["n"]) for r in counts if tuple(r[k] for k in keys) == s)
+        total, below = sum(n for _, n in own), 0
+        for level, n in own:
+            lo, hi = below / total, (below + n) / total
+            density = [math.exp(-(normal.quantile(p) ** 2) / 2) / math.sqrt(2 * math.pi) if 0 < p < 1 else 0.0 for p in (lo, hi)]
+            here = v == F.lit(level)
+            for k, x in zip(keys, s, strict=True):
+                here = here & F.col(k).eqNullSafe(F.lit(x))
+            out = F.when(here, F.lit((density[0] - density[1]) / (n / total))).otherwise(out)
+            below += n
+    return out
+
+
+def permutations(pairs: DataFrame, a: str, b: str, draws: int = 999, seed: int = 1, stratum_column: str | None = None, kinds: tuple[str, str] = ("continuous", "continuous"), first: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
+    """draw and statistic (the sum of both members' scores at a correlation of 0) with the fathers' values dealt anew within a
+    block; draw 0 is observed.  A block is a father's stratum and which of ``blocks`` (other traits of his) are missing.
+
+    Hashes order the fathers in each draw, so a draw is a sort, not a driver loop; the mothers are numbered once.
+    """
+    x = null_scores(pairs, f"m_{a}", kinds[0], "mother_stratum" if stratum_column else None)
+    y = null_scores(pairs, f"f_{b}", kinds[1], stratum_column)
+    missing = [F.col(c).isNull().cast("string") for c in blocks]
+    block = F.concat_ws("|", F.col(stratum_column).cast("string") if stratum_column else F.lit(""), *missing)
+    z = pairs.where(F.col(f"m_{a}").isNotNull() & F.col(f"f_{b}").isNotNull()).select("mother", "father", block.alias("s"), x.alias("zx"), y.alias("zy"))
+    z = stored(z.withColumn("i", F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("mother", "father"), "mother", "father"))), "scored")
+    many = z.select("mother", "father", "s", "i", "zy", F.explode(F.sequence(F.lit(first), F.lit(draws))).alias("draw"))
+    order = F.when(F.col("draw") == 0, F.col("i")).otherwise(F.xxhash64("father", "mother", "draw", F.lit(seed)))
+    dealt = many.select("draw", "s", "zy", F.row_number().over(W.partitionBy("draw", "s").orderBy(order, "i")).alias("i"))
+    return z.select("s", "i", "zx").join(dealt, ["s", "i"]).groupBy("draw").agg(F.sum(F.col("zx") * F.col("zy")).alias("statistic"))
+
+
+def permutation_p(pairs: DataFrame, a: str, b: str, draws: int, seed: int = 1, batch: int = 200, stop: int = 20, **options) -> tuple[float, int]:
+    """The sequential p-value; draws come in batches, and no batch is made once ``stop`` draws were as far out as observed."""
+    values: list[float] = []
+    observed = None
+    for begin in range(0, draws + 1, batch):
+        got = {r["draw"]: r["statistic"] for r in permutations(pairs, a, b, min(draws, begin + batch - 1), seed, first=begin, **options).collect()}
+        observed = got.pop(0) if observed is None else observed
+        values += [got[k] for k in sorted(got)]
+        p, used = sequential_p(values, observed, stop)
+        if sum(abs(v) >= abs(observed) for v in values) >= stop:
+            return p, used
+    return sequential_p(values, observed or 0.0, stop)
 
 
 def sequential_p(statistics: list[float], observed: float, stop: int = 20) -> tuple[float, int]:

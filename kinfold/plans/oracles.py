@@ -153,7 +153,7 @@ DIRTY = _DIRTY
 _MATES = _PAIRS + """,
 trait AS (SELECT id, acctbal AS x, CASE WHEN acctbal > 4000 THEN 1.0 ELSE 0.0 END::DOUBLE AS b, floor(acctbal / 3000)::DOUBLE AS o FROM ped),
 mv AS (SELECT q.mother, q.father, m.x AS m_x, f.x AS f_x, m.b AS m_b, f.b AS f_b, m.o AS m_o, f.o AS f_o FROM pairs q JOIN trait m ON m.id = q.mother JOIN trait f ON f.id = q.father)"""
-_TWO = "SELECT *, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(n00 * n11 / (n01 * n10)::DOUBLE, 8) END AS odds_ratio, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11), 8) END AS se_log_odds, round((n00 * n11 - n01 * n10) / sqrt((n00 + n01)::DOUBLE * (n10 + n11) * (n00 + n10) * (n01 + n11)), 8) AS phi"
+_TWO = "SELECT *, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(n00 * n11 / (n01 * n10)::DOUBLE, 8) END AS odds_ratio, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11), 8) END AS se_log_odds, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) - 1.959963984540054 * sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_low, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) + 1.959963984540054 * sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_high, round((n00 * n11 - n01 * n10) / sqrt((n00 + n01)::DOUBLE * (n10 + n11) * (n00 + n10) * (n01 + n11)), 8) AS phi"
 _FOUNDER = ",\nreach AS (SELECT DISTINCT w.id, w.anc, d.depth FROM paths w JOIN ped f ON f.id = w.anc AND f.mother IS NULL AND f.father IS NULL JOIN depth d ON d.id = w.id)"
 _KINDMAP = ",\nkindmap AS (SELECT * FROM (VALUES ('MO', 'PO', 0.25), ('FO', 'PO', 0.25), ('FS', 'FS', 0.25), ('MHS', 'HS', 0.125), ('PHS', 'HS', 0.125), ('MHS', 'mHS', 0.125), ('PHS', 'pHS', 0.125), ('Av', 'Av', 0.125), ('GP', '1G', 0.125), ('1C', '1C', 0.0625)) t(code, kind, kinship)),\nrelk AS (SELECT id1, id2, kind, kinship::DOUBLE AS kinship FROM rel JOIN kindmap USING (code)),\nside AS (SELECT kind, id1 AS id FROM relk UNION ALL SELECT kind, id2 FROM relk WHERE kind NOT IN ('PO', 'Av', '1G')),\nskel AS (SELECT k.kind, p.id, CASE WHEN p.sex = 'M' THEN 1 ELSE 2 END AS sex, p.birth_year AS born_at_year, (SELECT count(*) FROM side s WHERE s.kind = k.kind AND s.id = p.id)::INT AS n_relatives FROM dated p CROSS JOIN (SELECT DISTINCT kind FROM kindmap) k)"
 _GROUP = lambda keys: f"SELECT size, males, count(*) AS n FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)} HAVING count(*) >= 2) GROUP BY ALL"

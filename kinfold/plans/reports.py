@@ -202,10 +202,6 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
         value = own.try_cast("double") if kind == "continuous" else F.element_at(F.create_map(*(F.lit(x) for k, v in codes.items() for x in (k, float(v)))), own)
         values = values.withColumn(t, value)
     pairs = mates.mate_values(p.ped, values, traits)
-    if stratify and any(typed[t][0] != "continuous" for t in traits):
-        raise Unsupported("--stratify-by is built for continuous traits only")
-    if bootstrap and not (typed[traits[0]][0] == typed[traits[-1]][0] == "continuous"):
-        raise Unsupported("--bootstrap is built for two continuous traits only")
     drops: dict[str, Any] = {}
     if stratify:
         a, b = traits[0], traits[-1]
@@ -213,7 +209,8 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
         drops = row(mates.drop_counts(pairs, a, b))
         pairs, more = mates.full_strata(pairs, a, b, min_networks)
         drops |= more
-        pairs = pairs.withColumns({f"m_{a}": mates.within_strata(pairs, f"m_{a}", "mother_stratum"), f"f_{b}": mates.within_strata(pairs, f"f_{b}", "father_stratum")})
+        own = {f"m_{a}": (a, "mother_stratum"), f"f_{b}": (b, "father_stratum")}
+        pairs = pairs.withColumns({c: mates.within_strata(pairs, c, by) for c, (t, by) in own.items() if typed[t][0] == "continuous"})
     pairs, nets = stored(pairs, "mate-values"), stored(mates.mate_networks(p.ped), "networks")
     if min_cell is not None and stratify:
         raise Unsupported("--safe-attempt with --stratify-by isn't built")
@@ -228,7 +225,9 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
         return Result({"min_cell": min_cell, "mating_pairs": shown, "mate_correlation": safe_mates.release(found, decided)})
     a, b = traits[0], traits[-1]
     out: dict[str, Any] = {"drops": drops or row(mates.drop_counts(pairs, a, b)), "kinds": {t: k for t, (k, _) in typed.items()}}
-    out["primary"] = mates.estimate(pairs, nets, a, b, (typed[a][0], typed[b][0]))
+    kinds_ = (typed[a][0], typed[b][0])
+    fitted_ = mates.fit(pairs, nets, a, b, kinds_, bool(stratify))
+    out["primary"] = fitted_.record
     if typed[a][0] == typed[b][0] == "continuous":
         out["spearman"] = row(mates.spearman(pairs, a, b))
     if typed[a][0] == typed[b][0] == "binary":
@@ -236,12 +235,12 @@ def assortative_mating(raw: DataFrame, options: validation.Options, traits: list
     if a != b:
         out["within_person"] = row(mates.cross_trait(p.ped, values, a, b))
     if permutations:
-        s = {r["draw"]: r["statistic"] for r in mates.permutations(pairs, a, b, permutations, seed, "father_stratum" if stratify else None).collect()}
-        out["p_permutation"], out["draws"] = mates.sequential_p([s[k] for k in sorted(s) if k], s[0])
-    if bootstrap and out["primary"]["estimator"] == "pearson":
-        used = pairs.select("mother", F.col(f"m_{a}").alias("x"), F.col(f"f_{b}").alias("y")).where("x is not null and y is not null").join(nets.withColumnRenamed("id", "mother"), "mother")
-        draws = mates.bootstrap(mates.influence(used, out["primary"]["estimate"]), out["primary"]["estimate"], out["primary"]["n"], bootstrap, seed)
-        out["bootstrap_se"] = draws.agg(F.stddev_samp("estimate")).first()[0]
+        others = tuple(f"f_{t}" for t in traits if f"f_{t}" in pairs.columns and t != b)
+        out["p_permutation"], out["draws"] = mates.permutation_p(pairs, a, b, permutations, seed, stratum_column="father_stratum" if stratify else None, kinds=kinds_, blocks=others)
+    if bootstrap:
+        draws = mates.bootstrap(fitted_.scores, fitted_.record["estimate"], fitted_.information, bootstrap, seed)
+        got = draws.agg(F.stddev_samp("estimate").alias("se"), F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).first()
+        out["bootstrap"] = {"se": got["se"], "ci_low": got["ci"][0], "ci_high": got["ci"][1], "draws": bootstrap}
     return Result({"mate_correlation": out})
 
 

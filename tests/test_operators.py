@@ -229,3 +229,37 @@ def test_disclosure():
     with pytest.raises(ValueError):
         disclosure.protect_count(5, min_cell=2)
     assert disclosure.safe_message("%s of %s", disclosure.Public("x"), "secret") == "x of <str>"
+
+
+def test_mate_inference(spark):
+    """Bootstrap against the sandwich error for a latent correlation, strata with thresholds of their own, early stop, log-odds interval."""
+    rng = np.random.default_rng(11)
+    n, r = 1200, 0.4
+    x = rng.normal(size=n)
+    y = r * x + math.sqrt(1 - r * r) * rng.normal(size=n)
+    s = rng.integers(0, 2, n)
+    rows = [(int(i), int(n + i), float(a > k), float(b > 1 - k), int(k), int(k), None if i % 5 else 1.0) for i, (a, b, k) in enumerate(zip(x, y, s, strict=True))]
+    pairs = spark.createDataFrame(rows, "mother long, father long, m_b double, f_b double, mother_stratum int, father_stratum int, f_o double")
+    nets = pairs.select(F.col("mother").alias("id"), F.col("mother").alias("network"))
+    kinds = ("binary", "binary")
+    within = mates.fit(pairs, nets, "b", "b", kinds, strata=True)
+    crude = mates.fit(pairs, nets, "b", "b", kinds)
+    assert abs(within.record["estimate"] - r) < 4 * within.record["se"] and crude.record["estimate"] < within.record["estimate"] - 0.1
+    sd = mates.bootstrap(within.scores, within.record["estimate"], within.information, 300).agg(F.stddev_samp("estimate")).first()[0]
+    assert 0.75 < sd / within.record["se"] < 1.3
+    p, used = mates.permutation_p(pairs, "b", "b", 400, batch=100, kinds=kinds, stratum_column="father_stratum", blocks=("f_o",))
+    assert used == 400 and p < 0.01
+    noise = pairs.withColumn("f_b", (F.xxhash64("father") % 2).cast("double") * F.lit(1.0))
+    p, used = mates.permutation_p(noise, "b", "b", 400, batch=50, kinds=kinds)
+    assert used < 400 and p > 0.04
+    t = mates.two_by_two(pairs, "b", "b").first()
+    assert t["odds_ratio_low"] < t["odds_ratio"] < t["odds_ratio_high"] and math.log(t["odds_ratio_high"] / t["odds_ratio_low"]) == pytest.approx(2 * 1.959963985 * t["se_log_odds"])
+
+
+def test_strata_to_a_fixed_point(spark):
+    """Stratum 2 spans too few networks; without its pairs stratum 5 of the fathers doesn't vary any more."""
+    rows = [(i, 100 + i, float(i % 3), float(i % 4), 1, 4) for i in range(20)] + [(30 + i, 130 + i, float(i), float(i), 2, 5) for i in range(2)] + [(40 + i, 140 + i, float(i % 2), 7.0, 1, 5) for i in range(12)] + [(60, 160, 1.0, 1.0, None, 4)]
+    pairs = spark.createDataFrame(rows, "mother long, father long, m_t double, f_t double, mother_stratum int, father_stratum int")
+    kept, drops = mates.full_strata(pairs, "t", "t", 10)
+    assert sorted(r["mother"] for r in kept.collect()) == list(range(20))
+    assert drops == {"unknown_stratum": 1, "thin_stratum": 2, "degenerate_stratum": 12}
