@@ -9,12 +9,14 @@ suffixes share their least k-gram and travel as one record with their joint word
    Documents with the same words as one of smaller id are settled here; only first copies go on.
 2. Prefixes of a single document have no inner node below them; one aggregate finds and drops them.
 3. For the others the words are fetched.  Equal records are merged, with their least id, before they are dealt out.
-4. Each group builds the top of its suffix tree, down to depth ``window``, by prefix doubling: ranks of 1, 2, 4, ...
-   words name the tree's nodes at these depths, and the nodes at depth ``window`` with several documents are repeats.
-   Their least doc_id is known exactly, since words and not hashes are compared.
-5. A prefix with more than ``group_limit`` documents is lengthened to the whole window: its suffixes are leaves of
-   their own, known by two 64-bit fingerprints, and an ordinary aggregate with map-side combine finds the least id.
+4. Each group builds the deep part of its suffix tree: suffixes are ordered by prefix doubling, and neighbours that share
+   ``window`` words or more form an internal node, whose depth is the length of a maximal repeat of its members.  A node's
+   least doc_id is known exactly, since words and not hashes are compared.
+5. A prefix with more than ``group_limit`` documents is lengthened, in one step, to the whole window: its suffixes are
+   leaves, known by two 64-bit fingerprints, and an aggregate with map-side combine finds the least id, so a group that
+   any number of documents share is never held by one task.
 6. The answers return to the places by join, the marks are gathered by document, and the words left are joined.
+   ``maximal_repeats`` lists the marked spans instead.
 
 No step holds more than a batch of records in a task; no group of copies is expanded into pairs.
 
@@ -132,8 +134,14 @@ def _records(window: int, k: int):
     return run, "doc_id long, row long, key long, start int, lead int, n int, ctx binary, one long, two long"
 
 
-def _nodes_at(ctx: list[bytes], n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix trees of many groups at once, down to depth ``window``: the node of each suffix, and its record."""
+def _tree(ctx: list[bytes], n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The deep internal nodes of many groups' suffix trees at once: node and record of each suffix, and each node's depth.
+
+    Words become ranks, ranks of 2, 4, 8, ... words follow by doubling.  They order the suffixes, and give the words that
+    neighbours in that order share.  A node is a run of neighbours that share ``window`` words or more; its depth, the fewest
+    that two neighbours share, is the length of a repeat that can't be prolonged to the right for all of them within their
+    records.  A suffix alone is a leaf: a node of its own, as deep as its record goes.
+    """
     flat: list[bytes] = []
     sizes = np.empty(len(ctx), np.int64)
     for i, c in enumerate(ctx):
@@ -141,16 +149,35 @@ def _nodes_at(ctx: list[bytes], n: np.ndarray, window: int) -> tuple[np.ndarray,
         sizes[i] = len(x)
         flat += x
     _, rank = np.unique(pa.array(flat, pa.binary()).dictionary_encode().indices.to_numpy(), return_inverse=True)
-    rank, size = rank.astype(np.int64), 1
-    while size * 2 <= window:  # nodes of twice the depth are pairs of nodes
-        a = rank[:-size] if size < len(rank) else rank[:0]
-        _, rank = np.unique(a * (len(rank) + 1) + rank[size:], return_inverse=True)
-        size *= 2
-    begin = np.cumsum(sizes) - sizes
+    end = np.cumsum(sizes)
     record = np.repeat(np.arange(len(ctx)), n)
-    place = begin[record] + np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-    _, node = np.unique(rank[place] * (len(rank) + 1) + rank[place + window - size], return_inverse=True)
-    return node, record
+    place = (end - sizes)[record] + np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+    levels = [rank.astype(np.int64)]  # ranks of 1, 2, 4, ... words; a rank reaches beyond its record only where none is asked for
+    while len(levels[-1]) and 2 << (len(levels) - 1) <= window:
+        size, r = 1 << (len(levels) - 1), levels[-1]
+        far = np.zeros(len(r), np.int64)
+        far[: len(r) - size] = r[size:] + 1
+        levels.append(np.unique(r * (len(r) + 2) + far, return_inverse=True)[1])
+    size, top = 1 << (len(levels) - 1), levels[-1]
+    order = np.lexsort((top[place + window - size], top[place]))
+    at, room = place[order], end[record[order]] - place[order]
+    shared = np.zeros(max(len(at) - 1, 0), np.int64)
+    most = np.minimum(room[1:], room[:-1])
+    for k in [*[len(levels) - 1] * (int(room.max(initial=0)) >> (len(levels) - 1)), *range(len(levels) - 2, -1, -1)]:
+        step = 1 << k
+        more = np.flatnonzero(shared + step <= most)
+        x, y = at[more] + shared[more], at[more + 1] + shared[more]
+        shared[more[levels[k][x] == levels[k][y]]] += step
+    new = np.ones(len(at), bool)
+    new[1:] = shared < window
+    of = np.cumsum(new) - 1
+    depth = np.full(int(of[-1]) + 1 if len(of) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(depth, of[1:][~new[1:]], shared[~new[1:]])
+    alone = depth == np.iinfo(np.int64).max
+    depth[alone] = room[new][alone]
+    node = np.empty(len(of), np.int64)
+    node[order] = of
+    return node, record, depth
 
 
 def _trees(window: int, batch_rows: int):
@@ -160,7 +187,7 @@ def _trees(window: int, batch_rows: int):
     def solve(t: pa.Table) -> pa.RecordBatch:
         n = t["n"].to_numpy().astype(np.int64)
         doc = t["doc"].to_numpy()
-        node, record = _nodes_at(t["ctx"].to_pylist(), n, window)
+        node, record, _ = _tree(t["ctx"].to_pylist(), n, window)
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc[record])
         t = t.combine_chunks()
@@ -226,12 +253,8 @@ def _with_first(base: DataFrame) -> DataFrame:
     return base.withColumn("salt", salt).join(salted, ["sha", "salt"], "left").drop("salt")
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 4096, with_text: bool = False) -> DataFrame:
-    """Words covered by a window that also starts in a document of smaller id are removed.
-
-    Returns doc_id, n_words, n_removed, kept_sha256; ``with_text`` adds ``kept_text``, the words left joined by one space.
-    """
-    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))  # rows of one id are told apart by their texts
+def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its digest and whether it is a copy; and for rows with repeats the starts of their windows (marks)."""
     spark = docs.sparkSession
     fn, ddl = _scan(window, k)
     base = stored(docs.mapInArrow(fn, ddl).withColumn("has_window", F.col("n_words") >= window), "suffixes")
@@ -263,7 +286,39 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     hot_hits = hot.join(least, ["one", "two"]).where("least < doc_id").groupBy("doc_id", "row").agg(F.collect_list("start").alias("at"))
     marks = hits.where(F.size("at") > 0).unionByName(hot_hits).groupBy("doc_id", "row").agg(F.collect_list("at").alias("marks"))
     marks = stored(marks, "marks")
+    return named, marks
+
+
+def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 1024) -> DataFrame:
+    """doc_id, start, end (word places, exclusive): the longest spans whose every window also starts in a document of smaller id.
+
+    A document all of whose words an earlier one has is one span.
+    """
+    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))
+    named, marks = _marks(docs, window, k, group_limit)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for d, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at = np.unique(np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in own.values]))
+                cut = np.flatnonzero(np.diff(at) > window)  # spans that touch are one
+                first, last = np.append(0, cut + 1), np.append(cut, len(at) - 1)
+                out += [(d, int(at[i]), int(at[j]) + window) for i, j in zip(first, last, strict=True)]
+            yield record_batch(schema, **{f.name: [r[i] for r in out] for i, f in enumerate(schema)})
+
+    spans = marks.select("doc_id", "marks").mapInArrow(run, "doc_id long, start long, end long")
+    return spans.unionByName(named.where("copy").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+
+
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 1024, with_text: bool = False) -> DataFrame:
+    """Words covered by a window that also starts in a document of smaller id are removed.
+
+    Returns doc_id, n_words, n_removed, kept_sha256; ``with_text`` adds ``kept_text``, the words left joined by one space.
+    """
+    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))  # rows of one id are told apart by their texts
+    named, marks = _marks(docs, window, k, group_limit)
     fn, ddl = _finish(window)
     cut = docs.join(marks, ["doc_id", "row"]).select("doc_id", "text", "marks").mapInArrow(fn, ddl)
     whole = named.join(marks.select("doc_id", "row"), ["doc_id", "row"], "left_anti")

@@ -313,3 +313,20 @@ def test_extraction_does_not_depend_on_partitions(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == {i: f"Story number {i} about {i}\nRead on, it goes on {i}" for i in range(24)}
+
+
+def test_maximal_repeats_and_node_depths(spark):
+    """Spans are as long as the repeats; nodes of the tree have the depth of what their members share."""
+    import numpy as np
+
+    from kinfold.llm.substring_dedup import _tree, maximal_repeats
+
+    a, b = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(70)]
+    texts = [(1, " ".join(a)), (2, " ".join(["x", "y", *a[10:95], "z", *b])), (3, " ".join([*b, "q", *a[20:60]])), (4, " ".join(a)), (5, " ".join(a[:49]))]
+    for limit in (1024, 0):
+        got = sorted((r["doc_id"], r["start"], r["end"]) for r in maximal_repeats(spark.createDataFrame(texts, "doc_id long, text string"), group_limit=limit).collect())
+        assert got == [(2, 2, 87), (3, 0, 70), (4, 0, 120)], limit
+    ctx = [" ".join(x).encode() for x in (a[:60], a[:55] + ["other"], b[:50], a[5:60])]
+    node, record, depth = _tree(ctx, np.array([11, 7, 1, 6]), 50)
+    assert node[0] == node[11] and node[5] == node[11 + 5] == node[19] and len({node[0], node[18], node[5]}) == 3
+    assert depth[node[0]] == 55 and depth[node[5]] == 50 and depth[node[18]] == 50 and depth[node[10]] == 50 and record[19] == 3
