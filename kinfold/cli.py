@@ -20,7 +20,7 @@ OUTPUTS = {
     "validate": ("validate.yaml", "validate.extra.yaml", "validate.log", "validate.tsv", "validate.dropped.tsv", "validate.cleared.tsv"),
     "effective-size": ("effective-size.yaml", "effective-size.extra.yaml", "effective-size.log", "effective-size.ids.local.log"),
     "assortative-mating": ("assortative-mating.yaml", "assortative-mating.extra.yaml", "assortative-mating.log", "assortative-mating.ids.local.log"),
-    "relatives-input": ("relatives-input.yaml", "relatives-input.extra.yaml", "skeleton.tsv", "skeleton.parquet", "pairs.tsv", "pairs.parquet"),
+    "relatives-input": ("relatives-input.log", "relatives-input.yaml", "relatives-input.extra.yaml", "skeleton.tsv", "skeleton.parquet", "pairs.tsv", "pairs.parquet"),
 }
 COLUMNS = {"--id-col": "id", "--sex-col": "sex", "--mother-col": "mother", "--father-col": "father", "--birth-year-col": "birth_year", "--birth-date-col": "birth_date", "--multiple-birth-col": "multiple_birth", "--zygosity-col": "zygosity"}
 NUMBERS = {"--birth-year-min": "birth_year_min", "--birth-year-max": "birth_year_max", "--min-parent-age": "min_parent_age", "--max-parent-age": "max_parent_age", "--max-children-mother": "max_children_mother", "--max-children-father": "max_children_father"}

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.distributions import FIELDS
-from kinfold.operators import ancestry, births, concordance, relatives, relationships, safe_mates, safe_size, sections
+from kinfold.operators import ancestry, births, concordance, disclosure, relatives, relationships, safe_mates, safe_size, sections
 from kinfold.operators import effective_size as ne
 from kinfold.operators import mates as mt
-from kinfold.operators.graph import edges, pedigree_components
+from kinfold.operators.graph import cycle_components, edges, pedigree_components
 from kinfold.operators.individual import individual_table, mating_pairs, one_hop, offspring_counts
 from kinfold.plans import files, fixing, scenarios, validation
 from kinfold.plans.derived import Derived, dirty
 from kinfold.plans.oracles import DIRTY, ORACLES, PARTIAL, PEDIGREE
-from kinfold.session import stored
+from kinfold.session import numbered, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -468,10 +468,8 @@ def mate_strata(spark, sf):
 @_query
 def protected_depth_table(spark, sf):
     """Counts by depth with small cells merged inward."""
-    from kinfold.operators.disclosure import protect_ordered
-
     rows = [(r["depth"], r["n"]) for r in sections.depth_counts(Derived(spark, sf).depth).orderBy("depth").collect()]
-    return spark.createDataFrame([(c.label, c.count, c.status) for c in protect_ordered(rows, min_cell=100)], "label string, n long, status string")
+    return _cells(spark, disclosure.protect_ordered(rows, min_cell=100))
 
 
 @_query
@@ -529,6 +527,82 @@ def recorded_sex_source(spark, sf):
     return fixing.fix(validation.validate(stored(raw, "dirty"), _OPTIONS)).select("id", "sex_source")
 
 
+def _cells(spark, cells) -> DataFrame:
+    return spark.createDataFrame([(c.label, c.count, c.status) for c in cells], "label string, n long, status string")
+
+
+@_query
+def protected_offspring_table(spark, sf):
+    """Numbers of offspring with small cells merged inward."""
+    got = one_hop(Derived(spark, sf).ped).groupBy("n_offspring").agg(F.count("*").alias("n")).orderBy("n_offspring").collect()
+    return _cells(spark, disclosure.protect_ordered([(r["n_offspring"], r["n"]) for r in got], 20))
+
+
+@_query
+def protected_half_founders(spark, sf):
+    """A table whose cells are all or none shown, and counts gated by the families behind them."""
+    d = Derived(spark, sf, whole=False)
+    known = F.when(F.col("mother").isNull() & F.col("father").isNull(), "none").when(F.col("mother").isNull(), "father").when(F.col("father").isNull(), "mother").otherwise("both")
+    rows = d.ped.select("id", F.coalesce("sex", F.lit("unknown")).alias("sex"), known.alias("known"))
+    cells = {(r["sex"], r["known"]): r["n"] for r in rows.groupBy("sex", "known").agg(F.count("*").alias("n")).collect()}
+    units = {r["known"]: (r["n"], r["u"]) for r in rows.join(sections.family_id(d.ped), "id").groupBy("known").agg(F.count("*").alias("n"), F.countDistinct("family").alias("u")).collect()}
+    out = [(f"{a}/{b}", n) for (a, b), n in disclosure.protect_contingency(cells, 3).items()]
+    out += [(k, disclosure.protect_count(n, u, 20)) for k, (n, u) in units.items()]
+    return spark.createDataFrame(out, "label string, n long")
+
+
+@_query
+def protected_categories(spark, sf):
+    """Small categories in one, which takes in the smallest shown category if it stays small itself."""
+    ped = Derived(spark, sf).ped.select(F.when(F.col("id") % 7 == 3, "rare").when(F.col("id") % 11 == 3, "rarer").otherwise(F.col("segment")).alias("k"))
+    got = [(r["k"], r["n"]) for r in ped.groupBy("k").agg(F.count("*").alias("n")).collect()]
+    least = sorted(n for _, n in got)[1] + 1  # the two smallest are small
+    return _cells(spark, disclosure.protect_unordered(got, max(least, 3)))
+
+
+@_query
+def sex_concordance_moments(spark, sf):
+    """Pairs, concordant pairs, exact mean and variance, and z, by grouping."""
+    d = Derived(spark, sf, whole=False)
+    rows = []
+    for g in ("full_siblings", "maternal", "paternal"):
+        t = concordance.test(concordance.groups(d.ped, g))
+        rows.append((g, t["pairs"], t["concordant"], t["expected"], t["variance"], t["z"]))
+    return _round(spark.createDataFrame(rows, "grouping string, pairs long, concordant long, expected double, variance double, z double"), 6)
+
+
+@_query
+def sex_concordance_skips(spark, sf):
+    """Why a grouping isn't tested."""
+    ped = Derived(spark, sf).ped
+    one = ped.where("mother is not null").agg(F.min("mother")).first()[0]
+    cases = {"no sex": ped.withColumn("sex", F.lit(None).cast("string")), "one group": ped.where((F.col("mother") == one) | F.col("mother").isNull()), "one sex": ped.where("sex = 'M'")}
+    rows = [(k, concordance.test(concordance.groups(v, "maternal")).get("skipped", "")) for k, v in cases.items()]
+    return spark.createDataFrame(rows, "case string, skipped string")
+
+
+@_query
+def cycle_members(spark, sf):
+    """Members of cycles in the variant whose births are out of order."""
+    report = validation.validate(stored(scenarios.raw_table(spark, sf, scenarios.SCENARIOS["checks_births"]), "faulty"))
+    return cycle_components(report.context.ped, report.context.depths())
+
+
+@_query
+def topological_order(spark, sf):
+    """Place of each person if ancestors come first, and rows in their order within a depth."""
+    d = Derived(spark, sf, whole=False)
+    return numbered(d.ped.join(d.depth, "id").select("id", "depth"), "depth", "id", name="place").select("id", "place")
+
+
+@_query
+def command_exit_codes(spark, sf):
+    """The commands on clean, faulty and blocked tables, and with options that contradict each other."""
+    from kinfold.plans.files import command_codes
+
+    return spark.createDataFrame(command_codes(spark), "command string, case string, code int, files string")
+
+
 # Half-founders, unknown sexes, linked twins --------------------------------------------------------------------------
 
 
@@ -566,7 +640,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES or k.startswith("partial_")} | scenarios.oracle_sql(PEDIGREE) | files.oracle_sql(PEDIGREE, DIRTY, ORACLES["fixed_pedigree"], ORACLES["validation_findings"])
+    return {k: v for k, v in ORACLES.items() if k in queries()} | scenarios.oracle_sql(PEDIGREE) | files.oracle_sql(PEDIGREE, DIRTY, ORACLES["fixed_pedigree"], ORACLES["validation_findings"])
 
 
 __all__ = ["FIELDS", "oracle_sql", "queries"]

@@ -136,6 +136,51 @@ def cleared_links(spark: SparkSession, sf: str) -> DataFrame:
     return _again(spark, path).select(F.col("id").cast("long").alias("id"), "role", F.col("parent").cast("long").alias("parent"), "reason")
 
 
+_CLEAN = "id\tsex\tmother\tfather\tyear\tx\n1\tM\t-1\t-1\t1950\t1.5\n2\tF\t-1\t-1\t1951\t2\n3\tM\t2\t1\t1980\t3\n4\tF\t2\t1\t1982\t4\n"
+_TABLES = {"clean": _CLEAN, "absent parent": _CLEAN + "5\tF\t9\t1\t1983\t5\n", "equal parents": _CLEAN + "5\tF\t2\t2\t1983\t5\n"}
+#: Command, table, further options, exit code, files that it writes.
+COMMANDS = (
+    ("summarize", "clean", "", 0, "annotated.tsv summarize.extra.yaml summarize.log summarize.yaml"),
+    ("summarize", "equal parents", "", 2, "summarize.log"),
+    ("summarize", "clean", "--safe-attempt", 0, "summarize.log summarize.yaml"),
+    ("summarize", "clean", "--id-log", 2, ""),
+    ("validate", "clean", "--birth-year-col year", 0, "validate.log validate.tsv validate.yaml"),
+    ("validate", "absent parent", "", 1, "validate.log validate.tsv validate.yaml"),
+    ("validate", "equal parents", "", 2, "validate.log validate.yaml"),
+    ("validate", "equal parents", "--drop-offending", 1, "validate.dropped.tsv validate.log validate.tsv validate.yaml"),
+    ("validate", "clean", "--break-cycles", 2, ""),
+    ("effective-size", "clean", "--birth-year-col year", 0, "effective-size.log effective-size.yaml"),
+    ("effective-size", "clean", "--safe-attempt", 0, "effective-size.log effective-size.yaml"),
+    ("effective-size", "clean", "--estimators ne_none", 2, ""),
+    ("assortative-mating", "clean", "--trait x x", 2, ""),
+    ("relatives-input", "clean", "--pairs", 0, "pairs.tsv relatives-input.log relatives-input.yaml skeleton.tsv"),
+)
+
+
+def command_codes(spark: SparkSession) -> list[tuple[str, str, int, str]]:
+    """Each command's exit code and the files that it left."""
+    import contextlib
+    import io
+    from pathlib import Path
+
+    from kinfold import cli
+
+    base = Path(_place(spark, "commands").removeprefix("file://"))
+    out = []
+    for i, (command, table, options, _, _) in enumerate(COMMANDS):
+        folder = base / str(i)
+        folder.mkdir(parents=True)
+        (folder / "in.tsv").write_text(_TABLES[table])
+        with contextlib.redirect_stderr(io.StringIO()):
+            try:
+                code = cli.run([command, "--in", str(folder / "in.tsv"), "--out", str(folder / "out"), *options.split()])
+            except SystemExit as e:
+                code = int(e.code or 0)
+        files = sorted(p.name for p in (folder / "out").iterdir()) if (folder / "out").exists() else []
+        out.append((command, f"{table} {options}".strip(), code, " ".join(files)))
+    return out
+
+
 #: Options for the dirty variant.
 DIRTY = validation.Options(birth_year="birth_year", multiple_birth="twin_set", zygosity="zygosity", birth_year_max=2026, min_parent_age=12, max_parent_age=80, max_children_mother=10, max_children_father=10)
 
@@ -160,6 +205,7 @@ def oracle_sql(ped: str, dirty_: str, fixed: str, log: str) -> dict[str, str]:
     verified = ", ".join(f"('{c.name}', {str(c.name in off).lower()})" for c in validation.CHECKS)
     return {
         "read_dialects": f"WITH{ped}{PARTIAL} SELECT d.dialect, row_number() OVER (PARTITION BY d.dialect ORDER BY id) - 1 AS row, (id + 1)::VARCHAR AS id, sex, coalesce((mother + 1)::VARCHAR, '-1') AS mother, coalesce((father + 1)::VARCHAR, '-1') AS father FROM part, (VALUES {dialects}) d(dialect)",
+        "command_exit_codes": "SELECT command, \"case\", code, files FROM (VALUES " + ", ".join(f"('{c}', '{(t + ' ' + o).strip()}', {n}, '{f}')" for c, t, o, n, f in COMMANDS) + ") t(command, \"case\", code, files)",
         "sniffed_delimiters": f"SELECT * FROM (VALUES {names}) t(dialect, delimiter)",
         "aligned_column_read": f"WITH{ped}{_PERSON} SELECT p.id, two.flag FROM ped p LEFT JOIN two USING (id)",
         "reference_mask_read": f"WITH{ped}{_PERSON} SELECT p.id, coalesce(two.flag = 'Yes', false) AS reference FROM ped p LEFT JOIN two USING (id)",

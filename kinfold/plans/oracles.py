@@ -356,3 +356,48 @@ k{k + 1} AS (SELECT mother, father, x, y, ms, fs FROM w{k} WHERE ms NOT IN (SELE
 
 
 ORACLES["mate_full_strata"] = _sql("SELECT mother, father FROM k12", _WALKS, _PAIRS, _DATED, _strata()).replace(_PED, _PART)
+
+
+def _ordered(least: int) -> str:
+    """Small cells of tab(k, n) merged inward: a group takes in its right neighbours until it is large enough, the last one joins its left."""
+    return f""",
+lin AS (SELECT k, n, row_number() OVER (ORDER BY k) AS rn FROM tab WHERE n > 0),
+acc AS (SELECT rn, k, n, 1 AS g, n AS run FROM lin WHERE rn = 1 UNION ALL SELECT l.rn, l.k, l.n, CASE WHEN a.run >= {least} THEN a.g + 1 ELSE a.g END, CASE WHEN a.run >= {least} THEN l.n ELSE a.run + l.n END FROM acc a JOIN lin l ON l.rn = a.rn + 1),
+grp AS (SELECT g, min(k) AS a, max(k) AS b, sum(n) AS n FROM acc GROUP BY g),
+fin AS (SELECT min(a) AS a, max(b) AS b, sum(n) AS n FROM (SELECT *, CASE WHEN n < {least} AND g > 1 THEN g - 1 ELSE g END AS h FROM grp) GROUP BY h)
+SELECT CASE WHEN a = b THEN a::VARCHAR WHEN b = max(b) OVER () THEN a || '+' ELSE a || '-' || b END AS label, n::BIGINT AS n, CASE WHEN a = b THEN 'intact' ELSE 'merged' END AS status FROM fin"""
+
+
+_SIBS = {"full_siblings": "mother, father", "maternal": "mother", "paternal": "father"}
+_MOMENTS = " UNION ALL ".join(
+    f"SELECT '{g}' AS grouping, size, males FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE sex IS NOT NULL AND {' AND '.join(f'{k} IS NOT NULL' for k in keys.split(', '))} GROUP BY {keys} HAVING count(*) >= 2)"
+    for g, keys in _SIBS.items()
+)
+ORACLES |= {
+    "protected_depth_table": _sql("", _WALKS, ",\ntab AS (SELECT depth AS k, count(*) AS n FROM depth GROUP BY 1)", _ordered(100)),
+    "protected_offspring_table": _sql("", ",\ntab AS (SELECT k, count(*) AS n FROM (SELECT p.id, count(e.child) AS k FROM ped p LEFT JOIN edges e ON e.parent = p.id GROUP BY p.id) GROUP BY k)", _ordered(20)),
+    "protected_half_founders": _sql(
+        """SELECT sex || '/' || known AS label, CASE WHEN (SELECT min(n) FROM cro) >= 3 THEN n END AS n FROM cro
+UNION ALL SELECT known, CASE WHEN count(*) >= 20 AND count(DISTINCT family) >= 20 THEN count(*) END FROM kno GROUP BY known""",
+        """,
+kno AS (SELECT coalesce(sex, 'unknown') AS sex, CASE WHEN mother IS NULL AND father IS NULL THEN 'none' WHEN mother IS NULL THEN 'father' WHEN father IS NULL THEN 'mother' ELSE 'both' END AS known,
+  CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE coalesce(mother::VARCHAR, '-') || '/' || coalesce(father::VARCHAR, '-') END AS family FROM ped),
+cro AS (SELECT sex, known, count(*) AS n FROM kno GROUP BY ALL)""",
+    ).replace(_PED, _PART),
+    "protected_categories": _sql(
+        """SELECT k AS label, n, 'intact' AS status FROM cat WHERE place > 2 UNION ALL SELECT 'other', sum(n)::BIGINT, 'merged' FROM cat WHERE place <= 2""",
+        ",\ncat AS (SELECT k, n, row_number() OVER (ORDER BY n, k DESC) AS place FROM (SELECT CASE WHEN id % 7 = 3 THEN 'rare' WHEN id % 11 = 3 THEN 'rarer' ELSE segment END AS k, count(*) AS n FROM ped GROUP BY 1))",
+    ),
+    "sex_concordance_moments": _sql(
+        """SELECT grouping, p::BIGINT AS pairs, c::BIGINT AS concordant, round(e, 6) AS expected, round(v, 6) AS variance, round((c - e) / sqrt(v), 6) AS z FROM (SELECT *, p * q2 AS e, p * q2 + t * q3 + (p * p - p - t) * q22 - p * q2 * p * q2 AS v FROM (
+SELECT *, (m * (m - 1) + f * (f - 1)) / (n * (n - 1)) AS q2, (m * (m - 1) * (m - 2) + f * (f - 1) * (f - 2)) / (n * (n - 1) * (n - 2)) AS q3,
+  (m * (m - 1) * (m - 2) * (m - 3) + f * (f - 1) * (f - 2) * (f - 3) + 2 * m * (m - 1) * f * (f - 1)) / (n * (n - 1) * (n - 2) * (n - 3)) AS q22
+FROM (SELECT grouping, sum(size)::DOUBLE AS n, sum(males)::DOUBLE AS m, sum(size - males)::DOUBLE AS f, sum(size * (size - 1) / 2)::DOUBLE AS p, sum(size * (size - 1) * (size - 2))::DOUBLE AS t, sum((males * (males - 1) + (size - males) * (size - males - 1)) / 2)::DOUBLE AS c FROM mom GROUP BY 1)))""",
+        ",\nmom AS (" + _MOMENTS + ")",
+    ).replace(_PED, _PART),
+    "sex_concordance_skips": "SELECT * FROM (VALUES ('no sex', 'no_input_sex'), ('one group', 'fewer_than_two_eligible_groups'), ('one sex', 'single_sex')) t(\"case\", skipped)",
+    "topological_order": _sql("SELECT id, row_number() OVER (ORDER BY depth, id) AS place FROM depth", _WALKS).replace(_PED, _PART),
+    "reduction": "WITH" + _DIRTY + """,
+yr AS (SELECT DISTINCT c.id, c.birth_year - p.birth_year AS age FROM lnk l JOIN src c ON c.id = l.id JOIN src p ON p.id = l.parent)
+SELECT id::VARCHAR AS id, 'birth_year_range' AS "check", 1 AS round FROM src WHERE birth_year NOT BETWEEN 1800 AND 2026 UNION ALL SELECT DISTINCT id::VARCHAR, 'birth_year_topology', 1 FROM yr WHERE age < 12 OR age > 81""",
+}

@@ -253,5 +253,11 @@ mz AS (SELECT m.*, t.k, t.sexes FROM marked m LEFT JOIN (SELECT grp, count(*) AS
 f AS ({" UNION ALL ".join(parts) or "SELECT '' AS " + chr(34) + "check" + chr(34) + ", 0 AS n_refs WHERE false"}){body}"""
 
 
+def cycles_sql(ped: str) -> str:
+    """Members of cycles, each named by its least id."""
+    reach = _typed(SCENARIOS["checks_births"])
+    return f"WITH RECURSIVE{ped},\n{reach} SELECT a.child AS id, min(a.parent) AS cycle FROM reach a JOIN reach b ON b.child = a.parent AND b.parent = a.child WHERE a.child IN (SELECT child FROM reach WHERE child = parent) GROUP BY 1"
+
+
 def oracle_sql(ped: str) -> dict[str, str]:
-    return {name: sql(name, ped) for name in SCENARIOS}
+    return {name: sql(name, ped) for name in SCENARIOS} | {"cycle_members": cycles_sql(ped)}
