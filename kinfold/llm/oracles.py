@@ -5,6 +5,8 @@ The others need a tokenizer, a trained model, an HTML parser or statistical test
 
 from __future__ import annotations
 
+from kinfold.llm.license_scan import PHRASES, TEMPLATES
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,5 +48,28 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
 
 
+def _op8() -> str:
+    """Base phrases place by place; template 5-grams as strings, voted by diagonal, merged within a drift of 4."""
+    words = rf"regexp_extract_all(translate(coalesce({{0}}, ''), '{_UP}', '{_LOW}'), '{_ALNUM}')"
+    bodies = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    phrases = ", ".join(f"('{k}', '{v}', {len(k.split())})" for k, v in PHRASES.items())
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {words.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+ph AS (SELECT * FROM (VALUES {phrases}) t(phrase, label, n)),
+base AS MATERIALIZED (SELECT id, label, i - 1 AS spot FROM (SELECT id, w, label, phrase, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, ph) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+own AS (SELECT id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY id),
+t AS (SELECT label, {words.format("body")} AS w FROM (VALUES {bodies}) v(label, body)),
+tg AS MATERIALIZED (SELECT label, len(w) - 4 AS grams, i AS t, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT label, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+dg AS (SELECT id, i AS p, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)),
+hit AS MATERIALIZED (SELECT id, label, grams, p, t, p - t AS diagonal FROM dg JOIN tg USING (g)),
+far AS (SELECT id, label, diagonal, CASE WHEN diagonal - lag(diagonal) OVER o <= 4 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT id, label, diagonal FROM hit) WINDOW o AS (PARTITION BY id, label ORDER BY diagonal)),
+ses AS (SELECT *, sum(new) OVER (PARTITION BY id, label ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM far),
+spa AS (SELECT id, label, any_value(grams) AS grams, count(DISTINCT t) AS votes, min(p) AS lo, max(p) + 5 AS hi FROM hit JOIN ses USING (id, label, diagonal) GROUP BY id, label, span),
+more AS (SELECT id, list_distinct(list(label)) AS labels, max(votes / grams::DOUBLE) AS best FROM spa WHERE votes / grams::DOUBLE >= 0.5 AND hi - lo <= 2 * (grams + 5) GROUP BY id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(own.n, 0)::BIGINT AS n_base, own.lo::BIGINT AS first_word, own.hi::BIGINT AS last_word, array_to_string(coalesce(own.labels, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN own.n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN own USING (id) LEFT JOIN more USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_jaccard_join": OP3, "op5_decontamination": OP5, "op9_nearest_neighbours": OP9}
+    return {"op1_substring_dedup": OP1, "op8_license_scan": _op8(), "op3_jaccard_join": OP3, "op5_decontamination": OP5, "op9_nearest_neighbours": OP9}

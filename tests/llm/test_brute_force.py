@@ -29,9 +29,10 @@ def test_oracles_agree(spark):
     for name, sql in oracles.oracle_sql().items():
         ours = queries.queries()[name](spark, SF)
         columns = sorted(ours.columns)
-        plain = lambda v: v.item() if hasattr(v, "item") else v
-        a = sorted(tuple(r[c] for c in columns) for r in ours.collect())
-        b = sorted(tuple(plain(v) for v in r) for r in con.execute(sql).fetchdf()[columns].itertuples(index=False))
+        rel = con.sql(sql)
+        order = [rel.columns.index(c) for c in columns]
+        a = sorted((tuple(r[c] for c in columns) for r in ours.collect()), key=str)
+        b = sorted((tuple(r[i] for i in order) for r in rel.fetchall()), key=str)
         assert a == b, name
 
 
