@@ -204,16 +204,24 @@ def oracle_sql(ped: str, dirty_: str, fixed: str, log: str) -> dict[str, str]:
     off = scenarios._NO_BREAKS + scenarios._NO_BIRTHS + ("parent_child_count", "sex_role_ambiguity", "sex_role_override")
     verified = ", ".join(f"('{c.name}', {str(c.name in off).lower()})" for c in validation.CHECKS)
     return {
-        "read_dialects": f"WITH{ped}{PARTIAL} SELECT d.dialect, row_number() OVER (PARTITION BY d.dialect ORDER BY id) - 1 AS row, (id + 1)::VARCHAR AS id, sex, coalesce((mother + 1)::VARCHAR, '-1') AS mother, coalesce((father + 1)::VARCHAR, '-1') AS father FROM part, (VALUES {dialects}) d(dialect)",
+        "read_dialects": f"WITH{ped}{PARTIAL} SELECT d.dialect, row_number() OVER (PARTITION BY d.dialect ORDER BY id) - 1 AS row, (id + 1)::VARCHAR AS id, sex, "
+            f"coalesce((mother + 1)::VARCHAR, '-1') AS mother, coalesce((father + 1)::VARCHAR, '-1') AS father FROM part, (VALUES {dialects}) d(dialect)",
         "command_exit_codes": "SELECT command, \"case\", code, files FROM (VALUES " + ", ".join(f"('{c}', '{(t + ' ' + o).strip()}', {n}, '{f}')" for c, t, o, n, f in COMMANDS) + ") t(command, \"case\", code, files)",
         "sniffed_delimiters": f"SELECT * FROM (VALUES {names}) t(dialect, delimiter)",
         "aligned_column_read": f"WITH{ped}{_PERSON} SELECT p.id, two.flag FROM ped p LEFT JOIN two USING (id)",
         "reference_mask_read": f"WITH{ped}{_PERSON} SELECT p.id, coalesce(two.flag = 'Yes', false) AS reference FROM ped p LEFT JOIN two USING (id)",
         "trait_token_read": f"WITH{ped}{_PERSON} SELECT p.id, two.trait FROM ped p LEFT JOIN two USING (id)",
-        "fixed_pedigree_file": f"SELECT id, CASE sex WHEN 'M' THEN 1 WHEN 'F' THEN 2 ELSE 0 END AS sex, coalesce(mother, -1) AS mother, coalesce(father, -1) AS father, sex_source FROM ({fixed})",
-        "verified_pedigree": f"SELECT name AS \"check\", CASE WHEN off THEN 'SKIP' ELSE 'PASS' END AS status, 0::BIGINT AS n, 0::BIGINT AS n_refs FROM (VALUES {verified}) v(name, off)",
-        "annotated_file": f"WITH{ped}{PARTIAL} SELECT id, sex, coalesce(sex, 'U') AS sex_input, segment, (SELECT count(*) FROM part c WHERE c.mother = p.id OR c.father = p.id) AS n_offspring, mother IS NULL AND father IS NULL AS is_founder FROM part p",
-        "long_report_file": f"WITH RECURSIVE{ped}, walks AS (SELECT id, id AS anc, 0 AS gen FROM ped UNION SELECT w.id, e.parent, w.gen + 1 FROM walks w JOIN edges e ON e.child = w.anc), d AS (SELECT id, max(gen) AS depth FROM walks GROUP BY id), dn AS (SELECT depth, count(*) AS n FROM d GROUP BY 1) SELECT 'structure.sex' AS section, sex AS key, '' AS subkey, count(*)::VARCHAR AS value FROM ped GROUP BY sex UNION ALL SELECT 'structure.depth_n', depth::VARCHAR, '', n::VARCHAR FROM dn UNION ALL SELECT 'strata.by', depth::VARCHAR, 'n', n::VARCHAR FROM dn",
+        "fixed_pedigree_file": f"SELECT id, CASE sex WHEN 'M' THEN 1 WHEN 'F' THEN 2 ELSE 0 END AS sex, coalesce(mother, -1) AS mother, coalesce(father, -1) AS father, "
+            f"sex_source FROM ({fixed})",
+        "verified_pedigree": f"SELECT name AS \"check\", CASE WHEN off THEN 'SKIP' ELSE 'PASS' END AS status, 0::BIGINT AS n, 0::BIGINT AS n_refs FROM (VALUES {verified}) "
+            f"v(name, off)",
+        "annotated_file": f"WITH{ped}{PARTIAL} SELECT id, sex, coalesce(sex, 'U') AS sex_input, segment, (SELECT count(*) FROM part c WHERE c.mother = p.id OR c.father "
+            f"= p.id) AS n_offspring, mother IS NULL AND father IS NULL AS is_founder FROM part p",
+        "long_report_file": f"WITH RECURSIVE{ped}, walks AS (SELECT id, id AS anc, 0 AS gen FROM ped UNION SELECT w.id, e.parent, w.gen + 1 FROM walks w JOIN edges e ON "
+            f"e.child = w.anc), d AS (SELECT id, max(gen) AS depth FROM walks GROUP BY id), dn AS (SELECT depth, count(*) AS n FROM d GROUP BY 1) SELECT "
+            f"'structure.sex' AS section, sex AS key, '' AS subkey, count(*)::VARCHAR AS value FROM ped GROUP BY sex UNION ALL SELECT "
+            f"'structure.depth_n', depth::VARCHAR, '', n::VARCHAR FROM dn UNION ALL SELECT 'strata.by', depth::VARCHAR, 'n', n::VARCHAR FROM dn",
         "validation_log_file": f'SELECT "check", n FROM ({log}) WHERE n > 0',
-        "cleared_links": f"WITH RECURSIVE{ped},\n{scenarios._typed(breaks)}{scenarios._cleared(breaks)} SELECT id, role, parent, 'cycle' AS reason FROM late UNION ALL SELECT w.id, w.role, CASE w.role WHEN 'mother' THEN s.mother ELSE s.father END, 'role' FROM wrong w JOIN src2 s USING (id)",
+        "cleared_links": f"WITH RECURSIVE{ped},\n{scenarios._typed(breaks)}{scenarios._cleared(breaks)} SELECT id, role, parent, 'cycle' AS reason FROM late UNION ALL "
+            f"SELECT w.id, w.role, CASE w.role WHEN 'mother' THEN s.mother ELSE s.father END, 'role' FROM wrong w JOIN src2 s USING (id)",
     }

@@ -71,7 +71,9 @@ _ALL = (_WALKS, _SHARES, _INBRED, _PAIRS, _COMP, _ONE, _COUNTS, _IND)
 
 def _dist(c: str) -> str:
     q = lambda p: f"round(quantile_cont({c}::DOUBLE, {p}), 8)"
-    return f"count({c}) AS n, round(avg({c}), 8) AS mean, round(CASE WHEN count({c}) > 1 THEN stddev_samp({c}) WHEN count({c}) = 1 THEN 0 END, 8) AS std, round(min({c})::DOUBLE, 8) AS min, {q(0.25)} AS q1, {q(0.5)} AS median, {q(0.75)} AS q3, round(max({c})::DOUBLE, 8) AS max, count(*) FILTER ({c} <> 0) AS nz"
+    return (f"count({c}) AS n, round(avg({c}), 8) AS mean, round(CASE WHEN count({c}) > 1 THEN stddev_samp({c}) WHEN count({c}) = 1 THEN 0 END, 8) AS "
+        f"std, round(min({c})::DOUBLE, 8) AS min, {q(0.25)} AS q1, {q(0.5)} AS median, {q(0.75)} AS q3, round(max({c})::DOUBLE, 8) AS max, count(*) "
+        f"FILTER ({c} <> 0) AS nz")
 
 
 def _eff(c: str) -> str:
@@ -88,7 +90,9 @@ def _stacked(columns: tuple[str, ...]) -> str:
 
 
 def _stratum(by: str, name: str) -> str:
-    return f"SELECT {by} AS {name}, count(*) AS n, count(*) FILTER (is_founder) AS n_founders, count(*) FILTER (n_offspring > 0) AS n_reproductive, round(avg(n_offspring), 8) AS mean_n_offspring, round(avg(n_mates), 8) AS mean_n_mates, round(avg(n_full_sibs), 8) AS mean_n_full_sibs, round(avg(F), 8) AS mean_F, count(*) FILTER (F > 1e-9) AS n_inbred FROM ind GROUP BY 1"
+    return (f"SELECT {by} AS {name}, count(*) AS n, count(*) FILTER (is_founder) AS n_founders, count(*) FILTER (n_offspring > 0) AS n_reproductive, "
+        f"round(avg(n_offspring), 8) AS mean_n_offspring, round(avg(n_mates), 8) AS mean_n_mates, round(avg(n_full_sibs), 8) AS mean_n_full_sibs, "
+        f"round(avg(F), 8) AS mean_F, count(*) FILTER (F > 1e-9) AS n_inbred FROM ind GROUP BY 1")
 
 
 def _related(most: int) -> str:
@@ -127,8 +131,11 @@ par AS (SELECT p.id, p.sex, coalesce(k.sons, 0)::DOUBLE AS sons, coalesce(k.daug
 
 
 def _family(by: str, source: str) -> str:
-    cols = ", ".join(f"count(*) FILTER (sex = '{s}') AS n_{p}, sum(sons) FILTER (sex = '{s}') AS s_{p}, sum(daughters) FILTER (sex = '{s}') AS t_{p}, avg(sons) FILTER (sex = '{s}') AS k_{p}m, avg(daughters) FILTER (sex = '{s}') AS k_{p}f, var_samp(sons) FILTER (sex = '{s}') AS v_{p}m, var_samp(daughters) FILTER (sex = '{s}') AS v_{p}f, covar_samp(sons, daughters) FILTER (sex = '{s}') AS c_{p}" for p, s in (("m", "M"), ("f", "F")))
-    rel = ", ".join(f"CASE WHEN k_{p}m > 0 AND k_{p}f > 0 THEN v_{p}m / (k_{p}m * k_{p}m) + v_{p}f / (k_{p}f * k_{p}f) + 2 * c_{p} / (k_{p}m * k_{p}f) END AS v{p}" for p in ("m", "f"))
+    cols = ", ".join((f"count(*) FILTER (sex = '{s}') AS n_{p}, sum(sons) FILTER (sex = '{s}') AS s_{p}, sum(daughters) FILTER (sex = '{s}') AS t_{p}, avg(sons) "
+        f"FILTER (sex = '{s}') AS k_{p}m, avg(daughters) FILTER (sex = '{s}') AS k_{p}f, var_samp(sons) FILTER (sex = '{s}') AS v_{p}m, "
+        f"var_samp(daughters) FILTER (sex = '{s}') AS v_{p}f, covar_samp(sons, daughters) FILTER (sex = '{s}') AS c_{p}") for p, s in (("m", "M"), ("f", "F")))
+    rel = ", ".join((f"CASE WHEN k_{p}m > 0 AND k_{p}f > 0 THEN v_{p}m / (k_{p}m * k_{p}m) + v_{p}f / (k_{p}f * k_{p}f) + 2 * c_{p} / (k_{p}m * k_{p}f) END AS "
+        f"v{p}") for p in ("m", "f"))
     return f"(SELECT *, {rel} FROM (SELECT {by}, {cols} FROM {source} GROUP BY 1))"
 
 
@@ -153,17 +160,31 @@ DIRTY = _DIRTY
 _MATES = _PAIRS + """,
 trait AS (SELECT id, acctbal AS x, CASE WHEN acctbal > 4000 THEN 1.0 ELSE 0.0 END::DOUBLE AS b, floor(acctbal / 3000)::DOUBLE AS o FROM ped),
 mv AS (SELECT q.mother, q.father, m.x AS m_x, f.x AS f_x, m.b AS m_b, f.b AS f_b, m.o AS m_o, f.o AS f_o FROM pairs q JOIN trait m ON m.id = q.mother JOIN trait f ON f.id = q.father)"""
-_TWO = "SELECT *, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(n00 * n11 / (n01 * n10)::DOUBLE, 8) END AS odds_ratio, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11), 8) END AS se_log_odds, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) - 1.959963984540054 * sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_low, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) + 1.959963984540054 * sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_high, round((n00 * n11 - n01 * n10) / sqrt((n00 + n01)::DOUBLE * (n10 + n11) * (n00 + n10) * (n01 + n11)), 8) AS phi"
-_FOUNDER = ",\nreach AS (SELECT DISTINCT w.id, w.anc, d.depth FROM paths w JOIN ped f ON f.id = w.anc AND f.mother IS NULL AND f.father IS NULL JOIN depth d ON d.id = w.id)"
-_KINDMAP = ",\nkindmap AS (SELECT * FROM (VALUES ('MO', 'PO', 0.25), ('FO', 'PO', 0.25), ('FS', 'FS', 0.25), ('MHS', 'HS', 0.125), ('PHS', 'HS', 0.125), ('MHS', 'mHS', 0.125), ('PHS', 'pHS', 0.125), ('Av', 'Av', 0.125), ('GP', '1G', 0.125), ('1C', '1C', 0.0625)) t(code, kind, kinship)),\nrelk AS (SELECT id1, id2, kind, kinship::DOUBLE AS kinship FROM rel JOIN kindmap USING (code)),\nside AS (SELECT kind, id1 AS id FROM relk UNION ALL SELECT kind, id2 FROM relk WHERE kind NOT IN ('PO', 'Av', '1G')),\nskel AS (SELECT k.kind, p.id, CASE WHEN p.sex = 'M' THEN 1 ELSE 2 END AS sex, p.birth_year AS born_at_year, (SELECT count(*) FROM side s WHERE s.kind = k.kind AND s.id = p.id)::INT AS n_relatives FROM dated p CROSS JOIN (SELECT DISTINCT kind FROM kindmap) k)"
-_GROUP = lambda keys: f"SELECT size, males, count(*) AS n FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)} HAVING count(*) >= 2) GROUP BY ALL"
+_TWO = ("SELECT *, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(n00 * n11 / (n01 * n10)::DOUBLE, 8) END AS odds_ratio, CASE WHEN "
+    "n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11), "
+    "8) END AS se_log_odds, CASE WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) - "
+    "1.959963984540054 * sqrt(1.0::DOUBLE / n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_low, CASE "
+    "WHEN n00 > 0 AND n01 > 0 AND n10 > 0 AND n11 > 0 THEN round(exp(ln(n00 * n11 / (n01 * n10)::DOUBLE) + 1.959963984540054 * sqrt(1.0::DOUBLE "
+    "/ n00 + 1.0::DOUBLE / n01 + 1.0::DOUBLE / n10 + 1.0::DOUBLE / n11)), 8) END AS odds_ratio_high, round((n00 * n11 - n01 * n10) / sqrt((n00 + "
+    "n01)::DOUBLE * (n10 + n11) * (n00 + n10) * (n01 + n11)), 8) AS phi")
+_FOUNDER = (",\nreach AS (SELECT DISTINCT w.id, w.anc, d.depth FROM paths w JOIN ped f ON f.id = w.anc AND f.mother IS NULL AND f.father IS NULL JOIN "
+    "depth d ON d.id = w.id)")
+_KINDMAP = (",\nkindmap AS (SELECT * FROM (VALUES ('MO', 'PO', 0.25), ('FO', 'PO', 0.25), ('FS', 'FS', 0.25), ('MHS', 'HS', 0.125), ('PHS', 'HS', "
+    "0.125), ('MHS', 'mHS', 0.125), ('PHS', 'pHS', 0.125), ('Av', 'Av', 0.125), ('GP', '1G', 0.125), ('1C', '1C', 0.0625)) t(code, kind, "
+    "kinship)),\nrelk AS (SELECT id1, id2, kind, kinship::DOUBLE AS kinship FROM rel JOIN kindmap USING (code)),\nside AS (SELECT kind, id1 AS "
+    "id FROM relk UNION ALL SELECT kind, id2 FROM relk WHERE kind NOT IN ('PO', 'Av', '1G')),\nskel AS (SELECT k.kind, p.id, CASE WHEN p.sex = "
+    "'M' THEN 1 ELSE 2 END AS sex, p.birth_year AS born_at_year, (SELECT count(*) FROM side s WHERE s.kind = k.kind AND s.id = p.id)::INT AS "
+    "n_relatives FROM dated p CROSS JOIN (SELECT DISTINCT kind FROM kindmap) k)")
+_GROUP = lambda keys: (f"SELECT size, males, count(*) AS n FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE "
+    f"{' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)} HAVING count(*) >= 2) GROUP BY ALL")
 
 ORACLES: dict[str, str] = {
     "structural_depth": _sql("SELECT id, depth FROM depth", _WALKS),
     "parent_child_edges": _sql("SELECT * FROM edges"),
     "ancestor_closure": _sql("SELECT * FROM paths", _WALKS),
     "connected_components": _sql("SELECT id, component FROM comp", _COMP),
-    "mate_networks": _sql(", und AS (SELECT mother AS a, father AS b FROM pairs UNION SELECT father, mother FROM pairs), cc AS (SELECT DISTINCT a AS id, a AS c FROM und UNION SELECT u.b, cc.c FROM cc JOIN und u ON u.a = cc.id WHERE cc.c < u.b) SELECT id, min(c) AS network FROM cc GROUP BY id", _PAIRS),
+    "mate_networks": _sql(", und AS (SELECT mother AS a, father AS b FROM pairs UNION SELECT father, mother FROM pairs), cc AS (SELECT DISTINCT a AS id, a AS c FROM "
+        "und UNION SELECT u.b, cc.c FROM cc JOIN und u ON u.a = cc.id WHERE cc.c < u.b) SELECT id, min(c) AS network FROM cc GROUP BY id", _PAIRS),
     "one_hop_relative_counts": _sql("SELECT * FROM onehop", _PAIRS, _ONE),
     "offspring_count": _sql("SELECT parent AS id, count(*) AS n_offspring FROM edges GROUP BY 1"),
     "mating_pair_table": _sql("SELECT * FROM pairs", _PAIRS),
@@ -173,7 +194,8 @@ ORACLES: dict[str, str] = {
     "founder_ancestor_counts": _sql("SELECT p.id, coalesce(f.n_founder_ancestors, 0) AS n_founder_ancestors FROM ped p LEFT JOIN fa f USING (id)", _WALKS, _COUNTS),
     "equivalent_complete_generations": _sql("SELECT id, round(ecg, 8) AS ecg FROM eg", _WALKS, _COUNTS),
     "inbreeding_coefficients": _sql("SELECT id, round(F, 8) AS F, round(D, 8) AS D FROM inbred", _WALKS, _SHARES, _INBRED),
-    "mating_pair_kinship": _sql("SELECT q.mother AS id1, q.father AS id2, round(coalesce(0.5 * sum(a.l * b.l * i.D), 0), 8) AS kinship FROM pairs q LEFT JOIN shares a ON a.id = q.mother LEFT JOIN shares b ON b.id = q.father AND b.anc = a.anc LEFT JOIN inbred i ON i.id = b.anc GROUP BY ALL", _WALKS, _SHARES, _INBRED, _PAIRS),
+    "mating_pair_kinship": _sql("SELECT q.mother AS id1, q.father AS id2, round(coalesce(0.5 * sum(a.l * b.l * i.D), 0), 8) AS kinship FROM pairs q LEFT JOIN shares a ON "
+        "a.id = q.mother LEFT JOIN shares b ON b.id = q.father AND b.anc = a.anc LEFT JOIN inbred i ON i.id = b.anc GROUP BY ALL", _WALKS, _SHARES, _INBRED, _PAIRS),
     "mean_kinship_by_depth": _sql("SELECT cohort, size, round(mean_F, 8) AS mean_F, round(group_kinship, 8) AS group_kinship, round(mean_kinship, 8) AS mean_kinship FROM coh", _WALKS, _SHARES, _INBRED, _COHORT),
     "numeric_distribution": _sql(_stacked(("n_offspring", "n_full_sibs", "n_descendant_paths", "ecg", "F")), *_ALL),
     "size_structure": _sql(
@@ -187,45 +209,96 @@ count(*) FILTER (mother IS NOT NULL AND father IS NOT NULL) AS n_both_parents, c
     ),
     "depth_counts": _sql("SELECT depth, count(*) AS n FROM depth GROUP BY 1", _WALKS),
     "largest_components": _sql("SELECT component, count(*) AS size FROM comp GROUP BY 1 ORDER BY size DESC, component LIMIT 6", _COMP),
-    "mating_pair_summary": _sql(f"SELECT count(*) FILTER (n_offspring > 1) AS n_multi_child_pairs, {_eff('n_offspring')} AS effective_pairs, {_dist('n_offspring')} FROM pairs", _PAIRS),
-    "sibship_sizes": _sql(f"SELECT count(*) AS n_sibships, round(avg(n_offspring), 8) AS mean, round(quantile_cont(n_offspring::DOUBLE, 0.5), 8) AS median, round(quantile_cont(n_offspring::DOUBLE, 0.25), 8) AS q1, round(quantile_cont(n_offspring::DOUBLE, 0.75), 8) AS q3, {', '.join(f'{_share(f'n_offspring = {k}')} AS share_{k}' for k in (1, 2, 3))}, {_share('n_offspring >= 4')} AS share_4plus FROM pairs", _PAIRS),
-    "reproduction_counts": _sql(f"SELECT stratum, count(*) AS n, count(*) FILTER (n_offspring > 0) AS n_reproductive, count(*) FILTER (n_offspring = 0) AS n_terminal, round(avg(CASE WHEN mother IS NOT NULL AND father IS NOT NULL THEN (n_full_sibs > 0)::INT::DOUBLE END), 8) AS full_sib_fraction, round(avg(n_offspring), 8) AS mean_offspring, round(avg(n_mates), 8) AS mean_mates, {', '.join(f'{_share(f'n_offspring = {k}')} AS offspring_{k}' for k in range(4))}, {_share('n_offspring >= 4')} AS offspring_4plus FROM (SELECT *, 'all' AS stratum FROM ind UNION ALL SELECT *, sex FROM ind) GROUP BY stratum", *_ALL),
+    "mating_pair_summary": _sql(f"SELECT count(*) FILTER (n_offspring > 1) AS n_multi_child_pairs, {_eff('n_offspring')} AS effective_pairs, {_dist('n_offspring')} FROM "
+        f"pairs", _PAIRS),
+    "sibship_sizes": _sql(f"SELECT count(*) AS n_sibships, round(avg(n_offspring), 8) AS mean, round(quantile_cont(n_offspring::DOUBLE, 0.5), 8) AS median, "
+        f"round(quantile_cont(n_offspring::DOUBLE, 0.25), 8) AS q1, round(quantile_cont(n_offspring::DOUBLE, 0.75), 8) AS q3, "
+        f"{', '.join(f'{_share(f'n_offspring = {k}')} AS share_{k}' for k in (1, 2, 3))}, {_share('n_offspring >= 4')} AS share_4plus FROM pairs", _PAIRS),
+    "reproduction_counts": _sql(f"SELECT stratum, count(*) AS n, count(*) FILTER (n_offspring > 0) AS n_reproductive, count(*) FILTER (n_offspring = 0) AS n_terminal, "
+        f"round(avg(CASE WHEN mother IS NOT NULL AND father IS NOT NULL THEN (n_full_sibs > 0)::INT::DOUBLE END), 8) AS full_sib_fraction, "
+        f"round(avg(n_offspring), 8) AS mean_offspring, round(avg(n_mates), 8) AS mean_mates, "
+        f"{', '.join(f'{_share(f'n_offspring = {k}')} AS offspring_{k}' for k in range(4))}, {_share('n_offspring >= 4')} AS offspring_4plus FROM "
+        f"(SELECT *, 'all' AS stratum FROM ind UNION ALL SELECT *, sex FROM ind) GROUP BY stratum", *_ALL),
     "genealogy_distributions": _sql(_stacked(("n_descendant_paths", "n_distinct_ancestors")), *_ALL),
-    "founder_contribution": _sql(f"SELECT count(*) FILTER (n_descendant_paths > 0) AS n_with_descendants, count(*) FILTER (n_descendant_paths = 0) AS n_without_descendants, {_eff('n_descendant_paths')} AS effective_founders, {_dist('n_descendant_paths')} FROM ind WHERE is_founder", *_ALL),
-    "founder_summary_by_depth": _sql(f"SELECT a.depth, a.n, b.active_founders, b.effective_founders, a.mean_founder_ancestors FROM (SELECT depth, count(*) AS n, round(avg(k), 8) AS mean_founder_ancestors FROM (SELECT depth, id, count(*) AS k FROM reach GROUP BY ALL) GROUP BY depth) a JOIN (SELECT depth, count(*) AS active_founders, {_eff('d')} AS effective_founders FROM (SELECT depth, anc, count(*) AS d FROM reach GROUP BY ALL) GROUP BY depth) b USING (depth)", _WALKS, _FOUNDER),
-    "component_summary": _sql(f"SELECT {_share('size = 1')} AS share_1, {_share('size = 2')} AS share_2, {_share('size BETWEEN 3 AND 9')} AS share_3_9, {_share('size BETWEEN 10 AND 99')} AS share_10_99, {_share('size >= 100')} AS share_100plus, {_dist('size')} FROM (SELECT count(*) AS size FROM comp GROUP BY component)", _COMP),
+    "founder_contribution": _sql(f"SELECT count(*) FILTER (n_descendant_paths > 0) AS n_with_descendants, count(*) FILTER (n_descendant_paths = 0) AS n_without_descendants, "
+        f"{_eff('n_descendant_paths')} AS effective_founders, {_dist('n_descendant_paths')} FROM ind WHERE is_founder", *_ALL),
+    "founder_summary_by_depth": _sql(f"SELECT a.depth, a.n, b.active_founders, b.effective_founders, a.mean_founder_ancestors FROM (SELECT depth, count(*) AS n, round(avg(k), 8) "
+        f"AS mean_founder_ancestors FROM (SELECT depth, id, count(*) AS k FROM reach GROUP BY ALL) GROUP BY depth) a JOIN (SELECT depth, count(*) AS "
+        f"active_founders, {_eff('d')} AS effective_founders FROM (SELECT depth, anc, count(*) AS d FROM reach GROUP BY ALL) GROUP BY depth) b USING "
+        f"(depth)", _WALKS, _FOUNDER),
+    "component_summary": _sql(f"SELECT {_share('size = 1')} AS share_1, {_share('size = 2')} AS share_2, {_share('size BETWEEN 3 AND 9')} AS share_3_9, "
+        f"{_share('size BETWEEN 10 AND 99')} AS share_10_99, {_share('size >= 100')} AS share_100plus, {_dist('size')} FROM (SELECT count(*) AS size "
+        f"FROM comp GROUP BY component)", _COMP),
     "sex_summary": _sql(_stratum("sex", "sex"), *_ALL),
     "depth_summary": _sql(_stratum("ped_depth", "ped_depth"), *_ALL),
-    "inbreeding_summary": _sql(f"SELECT count(*) FILTER (F > 1e-9) AS n_inbred, {_share('F > 1e-9')} AS fraction, round(avg(F), 8) AS mean, round(avg(F) FILTER (F > 1e-9), 8) AS mean_inbred, round(max(F), 8) AS max FROM inbred", _WALKS, _SHARES, _INBRED),
-    "inbreeding_histogram": _sql("SELECT CASE WHEN F <= 1e-9 THEN '0' WHEN F <= 0.0625 THEN '(0, 0.0625]' WHEN F <= 0.125 THEN '(0.0625, 0.125]' WHEN F <= 0.25 THEN '(0.125, 0.25]' ELSE '(0.25, 1]' END AS bin, count(*) AS n FROM inbred GROUP BY 1", _WALKS, _SHARES, _INBRED),
-    "family_support": _sql("SELECT sex, count(DISTINCT CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE 'f' || coalesce(mother::VARCHAR, '') || '/' || coalesce(father::VARCHAR, '') END) AS units FROM ped GROUP BY sex"),
+    "inbreeding_summary": _sql(f"SELECT count(*) FILTER (F > 1e-9) AS n_inbred, {_share('F > 1e-9')} AS fraction, round(avg(F), 8) AS mean, round(avg(F) FILTER (F > 1e-9), "
+        f"8) AS mean_inbred, round(max(F), 8) AS max FROM inbred", _WALKS, _SHARES, _INBRED),
+    "inbreeding_histogram": _sql("SELECT CASE WHEN F <= 1e-9 THEN '0' WHEN F <= 0.0625 THEN '(0, 0.0625]' WHEN F <= 0.125 THEN '(0.0625, 0.125]' WHEN F <= 0.25 THEN '(0.125, "
+        "0.25]' ELSE '(0.25, 1]' END AS bin, count(*) AS n FROM inbred GROUP BY 1", _WALKS, _SHARES, _INBRED),
+    "family_support": _sql("SELECT sex, count(DISTINCT CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE 'f' || coalesce(mother::VARCHAR, '') || '/' || "
+        "coalesce(father::VARCHAR, '') END) AS units FROM ped GROUP BY sex"),
     "contingency_table": _sql("SELECT sex, segment, count(*) AS n FROM ped GROUP BY ALL"),
     "relationship_pairs": _sql("SELECT * FROM rel", _WALKS, _related(2)),
     "relationship_counts": _sql("SELECT code, count(*) AS n FROM rel GROUP BY code", _WALKS, _related(5)),
-    "relationship_burden": _sql(f"SELECT p.id, {', '.join(f'count(*) FILTER (degree = {k}) AS degree_{k}' for k in range(1, 6))}, min(degree) AS closest_degree FROM ped p LEFT JOIN (SELECT id1 AS id, {_DEGREE} AS degree FROM rel UNION ALL SELECT id2, {_DEGREE} FROM rel) r USING (id) GROUP BY p.id", _WALKS, _related(5)),
-    "related_density_by_depth": _sql("SELECT depth, n, n_pairs, CASE WHEN n > 1 THEN round(n_pairs / (n * (n - 1) / 2::DOUBLE), 8) END AS density FROM (SELECT d.depth, count(*) AS n, (SELECT count(*) FROM rel JOIN depth a ON a.id = id1 JOIN depth b ON b.id = id2 WHERE a.depth = d.depth AND b.depth = d.depth) AS n_pairs FROM depth d GROUP BY d.depth)", _WALKS, _related(5)),
+    "relationship_burden": _sql(f"SELECT p.id, {', '.join(f'count(*) FILTER (degree = {k}) AS degree_{k}' for k in range(1, 6))}, min(degree) AS closest_degree FROM ped p "
+        f"LEFT JOIN (SELECT id1 AS id, {_DEGREE} AS degree FROM rel UNION ALL SELECT id2, {_DEGREE} FROM rel) r USING (id) GROUP BY p.id", _WALKS, _related(5)),
+    "related_density_by_depth": _sql("SELECT depth, n, n_pairs, CASE WHEN n > 1 THEN round(n_pairs / (n * (n - 1) / 2::DOUBLE), 8) END AS density FROM (SELECT d.depth, count(*) "
+        "AS n, (SELECT count(*) FROM rel JOIN depth a ON a.id = id1 JOIN depth b ON b.id = id2 WHERE a.depth = d.depth AND b.depth = d.depth) AS "
+        "n_pairs FROM depth d GROUP BY d.depth)", _WALKS, _related(5)),
     "ne_inbreeding": _sql(_regressed("mean_F"), _WALKS, _SHARES, _INBRED, _COHORT),
     "ne_coancestry": _sql(_regressed("mean_kinship"), _WALKS, _SHARES, _INBRED, _COHORT),
     "ne_group_coancestry": _sql(_regressed("group_kinship"), _WALKS, _SHARES, _INBRED, _COHORT),
-    "ne_sex_ratio": _sql("SELECT round(count(ne) / sum(1 / ne), 6) AS ne, count(ne) AS n_cohorts FROM (SELECT 4.0::DOUBLE * count(*) FILTER (sex = 'M') * count(*) FILTER (sex = 'F') / count(*) AS ne FROM ped JOIN depth USING (id) GROUP BY depth)", _WALKS),
-    "ne_variance_family_size": _sql(f"SELECT depth, n_m AS males, n_f AS females, round(vm, 6) AS vm, round(vf, 6) AS vf, round(CASE WHEN s_m > 0 AND t_m > 0 THEN 1 / (1 / (8 * s_m) + 1 / (8 * t_m) + vm / (16 * n_m) + vf / (16 * n_f)) END, 6) AS ne FROM {_family('depth', 'par JOIN depth USING (id)')}", _WALKS, _KIDS),
-    "ne_individual_delta_f": _sql("SELECT CASE WHEN m > 0 THEN round(1 / (2 * m), 6) END AS ne, CASE WHEN m > 0 THEN round(2 * (1 / (2 * m)) * (1 / (2 * m)) * sd / sqrt(n), 6) END AS se, CASE WHEN u > 0 THEN round(1 / (2 * u), 6) END AS ne_unrelated_founders, n AS n_reference, CASE WHEN n = 0 THEN 'empty_reference' WHEN m > 0 THEN NULL ELSE 'no_increase' END AS reason FROM (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(d) AS n, avg(v) AS u FROM (SELECT CASE WHEN ecg > 0 THEN 1 - pow(1 - F, 1 / ecg) END AS d, CASE WHEN ecg > 1 THEN 1 - pow(1 - F, 1 / (ecg - 1)) END AS v FROM inbred JOIN eg USING (id) JOIN depth USING (id) WHERE depth = (SELECT max(depth) FROM depth)))", _WALKS, _SHARES, _INBRED, _COUNTS),
-    "ne_long_term_contributions": _sql(", con AS (SELECT d.depth, s.anc, sum(s.l) / (SELECT count(*) FROM depth e WHERE e.depth = d.depth) AS c FROM shares s JOIN depth d USING (id) JOIN ped f ON f.id = s.anc AND f.mother IS NULL GROUP BY d.depth, s.anc), lst AS (SELECT max(depth) AS last FROM depth), wide AS (SELECT anc, sum(CASE WHEN depth = last THEN c ELSE 0 END) AS now, sum(CASE WHEN depth = last - 1 THEN c ELSE 0 END) AS before FROM con, lst WHERE depth >= last - 1 GROUP BY anc) SELECT round(2 / sum(now * now), 8) AS ne, round(sum(now * now), 8) AS sum_c2, round(max(abs(now - before)), 8) AS max_delta_final, NULL::VARCHAR AS reason FROM wide", _WALKS, _SHARES),
-    "ne_hill_overlapping": _sql(f", ages AS (SELECT role, c.birth_year - p.birth_year AS age FROM edges e JOIN dated c ON c.id = e.child JOIN dated p ON p.id = e.parent), life AS (SELECT (avg(age) FILTER (role = 'father') + avg(age) FILTER (role = 'mother')) / 2 AS L, quantile_cont(age::DOUBLE, 0.95) AS late FROM ages), fam AS {_family('birth_year', 'par JOIN dated USING (id)').replace('sex', 'par.sex')}, part AS (SELECT birth_year, L, CASE WHEN s_m > 0 AND t_m > 0 THEN (1 / s_m + 1 / t_m) / 16 + vm / (16 * n_m) END AS pm, CASE WHEN s_f > 0 AND t_f > 0 THEN (1 / s_f + 1 / t_f) / 16 + vf / (16 * n_f) END AS pf FROM fam, life WHERE birth_year <= (SELECT max(birth_year) FROM dated) - late) SELECT birth_year, round(CASE WHEN pm + pf > 0 THEN L / (pm + pf) END, 6) AS ne, round(CASE WHEN pm > 0 THEN L / (4 * pm) END, 6) AS ne_m, round(CASE WHEN pf > 0 THEN L / (4 * pf) END, 6) AS ne_f, round(L, 6) AS L FROM part", _WALKS, _KIDS, _DATED),
+    "ne_sex_ratio": _sql("SELECT round(count(ne) / sum(1 / ne), 6) AS ne, count(ne) AS n_cohorts FROM (SELECT 4.0::DOUBLE * count(*) FILTER (sex = 'M') * count(*) "
+        "FILTER (sex = 'F') / count(*) AS ne FROM ped JOIN depth USING (id) GROUP BY depth)", _WALKS),
+    "ne_variance_family_size": _sql(f"SELECT depth, n_m AS males, n_f AS females, round(vm, 6) AS vm, round(vf, 6) AS vf, round(CASE WHEN s_m > 0 AND t_m > 0 THEN 1 / (1 / (8 * "
+        f"s_m) + 1 / (8 * t_m) + vm / (16 * n_m) + vf / (16 * n_f)) END, 6) AS ne FROM {_family('depth', 'par JOIN depth USING (id)')}", _WALKS, _KIDS),
+    "ne_individual_delta_f": _sql("SELECT CASE WHEN m > 0 THEN round(1 / (2 * m), 6) END AS ne, CASE WHEN m > 0 THEN round(2 * (1 / (2 * m)) * (1 / (2 * m)) * sd / sqrt(n), "
+        "6) END AS se, CASE WHEN u > 0 THEN round(1 / (2 * u), 6) END AS ne_unrelated_founders, n AS n_reference, CASE WHEN n = 0 THEN "
+        "'empty_reference' WHEN m > 0 THEN NULL ELSE 'no_increase' END AS reason FROM (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(d) AS n, "
+        "avg(v) AS u FROM (SELECT CASE WHEN ecg > 0 THEN 1 - pow(1 - F, 1 / ecg) END AS d, CASE WHEN ecg > 1 THEN 1 - pow(1 - F, 1 / (ecg - 1)) END "
+        "AS v FROM inbred JOIN eg USING (id) JOIN depth USING (id) WHERE depth = (SELECT max(depth) FROM depth)))", _WALKS, _SHARES, _INBRED, _COUNTS),
+    "ne_long_term_contributions": _sql(", con AS (SELECT d.depth, s.anc, sum(s.l) / (SELECT count(*) FROM depth e WHERE e.depth = d.depth) AS c FROM shares s JOIN depth d USING "
+        "(id) JOIN ped f ON f.id = s.anc AND f.mother IS NULL GROUP BY d.depth, s.anc), lst AS (SELECT max(depth) AS last FROM depth), wide AS "
+        "(SELECT anc, sum(CASE WHEN depth = last THEN c ELSE 0 END) AS now, sum(CASE WHEN depth = last - 1 THEN c ELSE 0 END) AS before FROM con, "
+        "lst WHERE depth >= last - 1 GROUP BY anc) SELECT round(2 / sum(now * now), 8) AS ne, round(sum(now * now), 8) AS sum_c2, round(max(abs(now "
+        "- before)), 8) AS max_delta_final, NULL::VARCHAR AS reason FROM wide", _WALKS, _SHARES),
+    "ne_hill_overlapping": _sql(f", ages AS (SELECT role, c.birth_year - p.birth_year AS age FROM edges e JOIN dated c ON c.id = e.child JOIN dated p ON p.id = e.parent), "
+        f"life AS (SELECT (avg(age) FILTER (role = 'father') + avg(age) FILTER (role = 'mother')) / 2 AS L, quantile_cont(age::DOUBLE, 0.95) AS late "
+        f"FROM ages), fam AS {_family('birth_year', 'par JOIN dated USING (id)').replace('sex', 'par.sex')}, part AS (SELECT birth_year, L, CASE WHEN "
+        f"s_m > 0 AND t_m > 0 THEN (1 / s_m + 1 / t_m) / 16 + vm / (16 * n_m) END AS pm, CASE WHEN s_f > 0 AND t_f > 0 THEN (1 / s_f + 1 / t_f) / 16 "
+        f"+ vf / (16 * n_f) END AS pf FROM fam, life WHERE birth_year <= (SELECT max(birth_year) FROM dated) - late) SELECT birth_year, round(CASE "
+        f"WHEN pm + pf > 0 THEN L / (pm + pf) END, 6) AS ne, round(CASE WHEN pm > 0 THEN L / (4 * pm) END, 6) AS ne_m, round(CASE WHEN pf > 0 THEN L "
+        f"/ (4 * pf) END, 6) AS ne_f, round(L, 6) AS L FROM part", _WALKS, _KIDS, _DATED),
     "sex_concordance_groups": _sql(_GROUP(("mother", "father"))),
-    "sex_concordance_by_size": _sql(f"SELECT size, sum(n)::BIGINT AS n_groups, sum(males * n)::BIGINT AS n_males, sum((males * (males - 1) + (size - males) * (size - males - 1)) // 2 * n)::BIGINT AS concordant_pairs FROM ({_GROUP(('mother',))}) GROUP BY size"),
-    "sex_concordance_sums": _sql(f"SELECT sum(n)::BIGINT AS n_groups, sum(size * (size - 1) // 2 * n)::BIGINT AS pairs, sum(size * (size - 1) * (size - 2) * n)::BIGINT AS triples, sum(size * n)::BIGINT AS members, sum(males * n)::BIGINT AS males, sum((males * (males - 1) // 2 + (size - males) * (size - males - 1) // 2) * n)::BIGINT AS concordant FROM ({_GROUP(('father',))})"),
+    "sex_concordance_by_size": _sql(f"SELECT size, sum(n)::BIGINT AS n_groups, sum(males * n)::BIGINT AS n_males, sum((males * (males - 1) + (size - males) * (size - males - 1)) "
+        f"// 2 * n)::BIGINT AS concordant_pairs FROM ({_GROUP(('mother',))}) GROUP BY size"),
+    "sex_concordance_sums": _sql(f"SELECT sum(n)::BIGINT AS n_groups, sum(size * (size - 1) // 2 * n)::BIGINT AS pairs, sum(size * (size - 1) * (size - 2) * n)::BIGINT AS "
+        f"triples, sum(size * n)::BIGINT AS members, sum(males * n)::BIGINT AS males, sum((males * (males - 1) // 2 + (size - males) * (size - males "
+        f"- 1) // 2) * n)::BIGINT AS concordant FROM ({_GROUP(('father',))})"),
     "multiple_birth_sets": _sql("SELECT id, set::INT AS set FROM member", _WALKS, _DATED, _BIRTHS),
     "multiple_births_by_size": _sql("SELECT size, count(*) AS n_sets, 1.0::DOUBLE AS full_sib_fraction FROM settab GROUP BY size", _WALKS, _DATED, _BIRTHS),
-    "twin_pairs_by_sex": _sql("SELECT *, least(2 * mf, mm + ff + mf) AS dizygotic, mm + ff + mf - least(2 * mf, mm + ff + mf) AS monozygotic FROM (SELECT decade, count(*) FILTER (males = 2) AS mm, count(*) FILTER (females = 2) AS ff, count(*) FILTER (males = 1 AND females = 1) AS mf, 0::BIGINT AS unknown FROM settab WHERE size = 2 GROUP BY decade)", _WALKS, _DATED, _BIRTHS),
+    "twin_pairs_by_sex": _sql("SELECT *, least(2 * mf, mm + ff + mf) AS dizygotic, mm + ff + mf - least(2 * mf, mm + ff + mf) AS monozygotic FROM (SELECT decade, count(*) "
+        "FILTER (males = 2) AS mm, count(*) FILTER (females = 2) AS ff, count(*) FILTER (males = 1 AND females = 1) AS mf, 0::BIGINT AS unknown FROM "
+        "settab WHERE size = 2 GROUP BY decade)", _WALKS, _DATED, _BIRTHS),
     "relative_pairs": _sql("SELECT * FROM relk WHERE kind IN ('FS', 'HS', 'Av', '1C')", _WALKS, _related(3), _DATED, _KINDMAP),
     "relatives_skeleton": _sql("SELECT * FROM skel", _WALKS, _related(3), _DATED, _KINDMAP),
-    "relationship_diagnostics": _sql("SELECT kind, count(*) FILTER (n_relatives > 0) AS n_with_relative, round(avg(n_relatives) FILTER (n_relatives > 0), 8) AS mean_among_them FROM skel GROUP BY kind", _WALKS, _related(3), _DATED, _KINDMAP),
-    "lineage_avuncular": _sql("SELECT DISTINCT c.id AS id1, s.id AS id2 FROM ped c JOIN ped m ON m.id = c.mother JOIN ped s ON s.mother = m.mother AND s.father = m.father AND s.id <> m.id LEFT JOIN kin k ON k.mother = c.mother AND k.father = c.father WHERE c.father IS NULL OR coalesce(k.kinship, 0) < 0.0625", _WALKS, _SHARES, _INBRED, _PAIRS, ",\nkin AS (SELECT q.mother, q.father, 0.5 * sum(a.l * b.l * i.D) AS kinship FROM pairs q JOIN shares a ON a.id = q.mother JOIN shares b ON b.id = q.father AND b.anc = a.anc JOIN inbred i ON i.id = b.anc GROUP BY ALL)"),
+    "relationship_diagnostics": _sql("SELECT kind, count(*) FILTER (n_relatives > 0) AS n_with_relative, round(avg(n_relatives) FILTER (n_relatives > 0), 8) AS mean_among_them "
+        "FROM skel GROUP BY kind", _WALKS, _related(3), _DATED, _KINDMAP),
+    "lineage_avuncular": _sql("SELECT DISTINCT c.id AS id1, s.id AS id2 FROM ped c JOIN ped m ON m.id = c.mother JOIN ped s ON s.mother = m.mother AND s.father = m.father "
+        "AND s.id <> m.id LEFT JOIN kin k ON k.mother = c.mother AND k.father = c.father WHERE c.father IS NULL OR coalesce(k.kinship, 0) < 0.0625", _WALKS, _SHARES, _INBRED, _PAIRS, ",\nkin AS (SELECT q.mother, q.father, 0.5 * sum(a.l * b.l * i.D) AS kinship FROM pairs q JOIN shares a ON a.id = q.mother JOIN shares b ON "
+        "b.id = q.father AND b.anc = a.anc JOIN inbred i ON i.id = b.anc GROUP BY ALL)"),
     "sex_imputation": "WITH" + _DIRTY + " SELECT id, now AS sex, sex_source FROM imp",
-    "synthesized_founders": "WITH" + _DIRTY + " SELECT parent AS id, CASE WHEN bool_or(role = 'mother') AND bool_or(role = 'father') THEN NULL WHEN bool_or(role = 'mother') THEN 'F' ELSE 'M' END AS sex FROM gone GROUP BY parent",
-    "phantom_parents": "WITH" + _DIRTY + ", half AS (SELECT id, row_number() OVER (ORDER BY row) + (SELECT max(greatest(id, coalesce(mother, id), coalesce(father, id))) FROM src) AS new FROM src WHERE (mother IS NULL) <> (father IS NULL)) SELECT s.id, coalesce(s.mother, h.new) AS mother, coalesce(s.father, h.new) AS father FROM src s LEFT JOIN half h USING (id)",
-    "fixed_pedigree": "WITH RECURSIVE" + _DIRTY + ", whole AS (SELECT id, now AS sex, sex_source, mother, father FROM imp UNION ALL SELECT parent, CASE WHEN bool_or(role = 'mother') AND bool_or(role = 'father') THEN NULL WHEN bool_or(role = 'mother') THEN 'F' ELSE 'M' END, CASE WHEN bool_or(role = 'mother') AND bool_or(role = 'father') THEN 'unresolved' ELSE 'imputed_from_missing' END, NULL, NULL FROM gone GROUP BY parent), up AS (SELECT id, id AS anc, 0 AS gen FROM whole UNION SELECT u.id, p.parent, u.gen + 1 FROM up u JOIN (SELECT id, mother AS parent FROM whole UNION ALL SELECT id, father FROM whole) p ON p.id = u.anc WHERE p.parent IS NOT NULL) SELECT w.*, d.ped_depth FROM whole w JOIN (SELECT id, max(gen) AS ped_depth FROM up GROUP BY id) d USING (id)",
+    "synthesized_founders": "WITH" + _DIRTY + " SELECT parent AS id, CASE WHEN bool_or(role = 'mother') AND bool_or(role = 'father') THEN NULL WHEN bool_or(role = 'mother') THEN 'F' ELSE "
+        "'M' END AS sex FROM gone GROUP BY parent",
+    "phantom_parents": "WITH" + _DIRTY + ", half AS (SELECT id, row_number() OVER (ORDER BY row) + (SELECT max(greatest(id, coalesce(mother, id), coalesce(father, id))) FROM src) AS "
+        "new FROM src WHERE (mother IS NULL) <> (father IS NULL)) SELECT s.id, coalesce(s.mother, h.new) AS mother, coalesce(s.father, h.new) AS "
+        "father FROM src s LEFT JOIN half h USING (id)",
+    "fixed_pedigree": "WITH RECURSIVE" + _DIRTY + ", whole AS (SELECT id, now AS sex, sex_source, mother, father FROM imp UNION ALL SELECT parent, CASE WHEN bool_or(role = 'mother') AND "
+        "bool_or(role = 'father') THEN NULL WHEN bool_or(role = 'mother') THEN 'F' ELSE 'M' END, CASE WHEN bool_or(role = 'mother') AND bool_or(role "
+        "= 'father') THEN 'unresolved' ELSE 'imputed_from_missing' END, NULL, NULL FROM gone GROUP BY parent), up AS (SELECT id, id AS anc, 0 AS gen "
+        "FROM whole UNION SELECT u.id, p.parent, u.gen + 1 FROM up u JOIN (SELECT id, mother AS parent FROM whole UNION ALL SELECT id, father FROM "
+        "whole) p ON p.id = u.anc WHERE p.parent IS NOT NULL) SELECT w.*, d.ped_depth FROM whole w JOIN (SELECT id, max(gen) AS ped_depth FROM up "
+        "GROUP BY id) d USING (id)",
     "validation_findings": "WITH" + _DIRTY + """, yr AS (SELECT c.id, c.birth_year - p.birth_year AS age FROM lnk l JOIN src c ON c.id = l.id JOIN src p ON p.id = l.parent WHERE c.birth_year IS NOT NULL AND p.birth_year IS NOT NULL),
 tw AS (SELECT id // 100 AS s, id, sex, mother, father, birth_year FROM (SELECT i.id, i.now AS sex, i.mother, i.father, i.birth_year FROM imp i) WHERE id >= 48 AND id % 100 < 2),
 ts AS (SELECT s, count(*) AS k, count(DISTINCT mother) AS ms, count(DISTINCT father) AS fs, count(*) FILTER (mother IS NULL AND father IS NULL) AS orphans, count(DISTINCT birth_year) AS years FROM tw GROUP BY s),
@@ -246,12 +319,16 @@ SELECT c.name AS "check", CASE WHEN c.skip THEN 'SKIP' WHEN f.n > 0 THEN 'FAIL'
 FROM (VALUES """ + ", ".join(f"('{c.name}', {str(c.name in _OFF).lower()})" for c in CHECKS) + """) c(name, skip) LEFT JOIN (SELECT "check", count(*) AS n, sum(n_refs) AS n_refs FROM f GROUP BY 1) f ON f."check" = c.name""",
     "mate_values": _sql("SELECT * FROM mv", _MATES),
     "mate_pearson": _sql("SELECT count(*) AS n, round(corr(m_x, f_x), 8) AS r FROM mv", _MATES),
-    "mate_spearman": _sql(", rk AS (SELECT rank() OVER (ORDER BY m_x) + (count(*) OVER (PARTITION BY m_x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY f_o) + (count(*) OVER (PARTITION BY f_o) - 1) / 2.0::DOUBLE AS ry FROM mv) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM rk", _MATES),
-    "mate_table_2x2": _sql(_TWO + " FROM (SELECT count(*) FILTER (m_b = 0 AND f_b = 0) AS n00, count(*) FILTER (m_b = 0 AND f_b > 0) AS n01, count(*) FILTER (m_b > 0 AND f_b = 0) AS n10, count(*) FILTER (m_b > 0 AND f_b > 0) AS n11 FROM mv)", _MATES),
+    "mate_spearman": _sql(", rk AS (SELECT rank() OVER (ORDER BY m_x) + (count(*) OVER (PARTITION BY m_x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY f_o) + "
+        "(count(*) OVER (PARTITION BY f_o) - 1) / 2.0::DOUBLE AS ry FROM mv) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM rk", _MATES),
+    "mate_table_2x2": _sql(_TWO + " FROM (SELECT count(*) FILTER (m_b = 0 AND f_b = 0) AS n00, count(*) FILTER (m_b = 0 AND f_b > 0) AS n01, count(*) FILTER (m_b > 0 AND f_b "
+        "= 0) AS n10, count(*) FILTER (m_b > 0 AND f_b > 0) AS n11 FROM mv)", _MATES),
     "mate_point_biserial": _sql("SELECT count(*) AS n, round(corr(m_x, f_b), 8) AS r FROM mv", _MATES),
     "mate_contingency": _sql("SELECT m_o AS x, f_o AS y, count(*) AS n FROM mv GROUP BY ALL", _MATES),
-    "trait_levels": _sql("SELECT level, n, (row_number() OVER (ORDER BY level) - 1)::INT AS code FROM (SELECT lower(segment) AS level, count(*) AS n FROM ped GROUP BY 1)"),
-    "mate_strata": _sql("SELECT q.mother, q.father, (m.birth_year // 10 * 10)::INT AS mother_stratum, (f.birth_year // 10 * 10)::INT AS father_stratum FROM pairs q JOIN dated m ON m.id = q.mother JOIN dated f ON f.id = q.father", _WALKS, _DATED, _PAIRS),
+    "trait_levels": _sql("SELECT level, n, (row_number() OVER (ORDER BY level) - 1)::INT AS code FROM (SELECT lower(segment) AS level, count(*) AS n FROM ped GROUP "
+        "BY 1)"),
+    "mate_strata": _sql("SELECT q.mother, q.father, (m.birth_year // 10 * 10)::INT AS mother_stratum, (f.birth_year // 10 * 10)::INT AS father_stratum FROM pairs q "
+        "JOIN dated m ON m.id = q.mother JOIN dated f ON f.id = q.father", _WALKS, _DATED, _PAIRS),
 }
 
 # The pedigree with half-founders, unknown sexes and linked twins -------------------------------------------------------
@@ -305,7 +382,8 @@ gate AS (""" + " UNION ALL ".join(
     [f"SELECT '{g}' AS gate, depth::VARCHAR AS cell, {c} AS n FROM byd" for g, c in (("depth", "n"), ("genomes_by_depth", "genomes"), ("cotwins_by_depth", "copies"), ("fathers_by_depth", "fathers"), ("mothers_by_depth", "mothers"), ("inbred_by_depth", "inb"), ("delta_f_used_by_depth", "used"))]
     + [f"SELECT 'depth_by_sex', depth || '/{s}', {s} FROM byd" for s in ("male", "female")]
     + ["SELECT 'inbred_f_by_depth', depth || '/' || format('{:.9f}', round(F, 9)), count(*) FROM who WHERE F > 1e-9 GROUP BY depth, round(F, 9)"]
-    + ["SELECT 'related_families_by_depth', c.cohort::VARCHAR, CASE WHEN c.mean_kinship > 1e-12 THEN greatest(least(coalesce(f.families, 0), coalesce(s.shared, 0)), 1) ELSE 0 END FROM coh c LEFT JOIN fams f ON f.depth = c.cohort LEFT JOIN shar s ON s.depth = c.cohort"]
+    + ["SELECT 'related_families_by_depth', c.cohort::VARCHAR, CASE WHEN c.mean_kinship > 1e-12 THEN greatest(least(coalesce(f.families, 0), "
+        "coalesce(s.shared, 0)), 1) ELSE 0 END FROM coh c LEFT JOIN fams f ON f.depth = c.cohort LEFT JOIN shar s ON s.depth = c.cohort"]
     + [f"SELECT '{g}', '', count(*) FILTER ({w}) FROM who" for g, w in (("reference_used", "ref AND ecg > 0"), ("reference_not_used", "NOT (ref AND ecg > 0)"), ("reference_inbred", "ref AND F > 1e-9"), ("reference_past_first_generation", "ref AND ecg > 1"))]
     + ["SELECT 'links_with_birth_years', CASE role WHEN 'father' THEN 'M' ELSE 'F' END, count(*) FROM ages GROUP BY role", "SELECT 'parents_with_birth_years', CASE role WHEN 'father' THEN 'M' ELSE 'F' END, count(DISTINCT parent) FROM ages GROUP BY role"]
     + [f"SELECT 'cohort_by_sex', birth_year || '/{s}', {s} FROM byc" for s in ("male", "female")]
@@ -331,7 +409,8 @@ UNION ALL SELECT 'couples_by_cells', cells, count(*), least(count(DISTINCT mothe
     for a, b in _MATE_CELLS
 ) + """
 UNION ALL SELECT 'individuals', role, count(*), count(*) FROM rol GROUP BY role
-""" + " ".join(f"UNION ALL SELECT 'trait_rows', '{t}:' || role || CASE WHEN {t} IS NULL THEN ':missing' ELSE ':with_value' END, count(*), count(*) FROM rol GROUP BY ALL" for t in "ob") + ")"
+""" + " ".join((f"UNION ALL SELECT 'trait_rows', '{t}:' || role || CASE WHEN {t} IS NULL THEN ':missing' ELSE ':with_value' END, count(*), count(*) FROM rol "
+    f"GROUP BY ALL") for t in "ob") + ")"
 ORACLES["safe_mate_gates"] = _sql("SELECT * FROM gate", _MATE_GATES)
 ORACLES["safe_mate_decisions"] = _sql(
     "SELECT v.cell, NOT EXISTS (SELECT 1 FROM gate WHERE gate IN ('couples', 'couples_by_cells') AND least(n, units) < 5) AND EXISTS (SELECT 1 FROM gate g WHERE g.gate = 'cell' AND g.cell = v.cell) "
@@ -370,12 +449,14 @@ SELECT CASE WHEN a = b THEN a::VARCHAR WHEN b = max(b) OVER () THEN a || '+' ELS
 
 _SIBS = {"full_siblings": "mother, father", "maternal": "mother", "paternal": "father"}
 _MOMENTS = " UNION ALL ".join(
-    f"SELECT '{g}' AS grouping, size, males FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE sex IS NOT NULL AND {' AND '.join(f'{k} IS NOT NULL' for k in keys.split(', '))} GROUP BY {keys} HAVING count(*) >= 2)"
+    (f"SELECT '{g}' AS grouping, size, males FROM (SELECT count(*) AS size, count(*) FILTER (sex = 'M') AS males FROM ped WHERE sex IS NOT NULL "
+        f"AND {' AND '.join(f'{k} IS NOT NULL' for k in keys.split(', '))} GROUP BY {keys} HAVING count(*) >= 2)")
     for g, keys in _SIBS.items()
 )
 ORACLES |= {
     "protected_depth_table": _sql("", _WALKS, ",\ntab AS (SELECT depth AS k, count(*) AS n FROM depth GROUP BY 1)", _ordered(100)),
-    "protected_offspring_table": _sql("", ",\ntab AS (SELECT k, count(*) AS n FROM (SELECT p.id, count(e.child) AS k FROM ped p LEFT JOIN edges e ON e.parent = p.id GROUP BY p.id) GROUP BY k)", _ordered(20)),
+    "protected_offspring_table": _sql("", ",\ntab AS (SELECT k, count(*) AS n FROM (SELECT p.id, count(e.child) AS k FROM ped p LEFT JOIN edges e ON e.parent = p.id GROUP BY p.id) "
+        "GROUP BY k)", _ordered(20)),
     "protected_half_founders": _sql(
         """SELECT sex || '/' || known AS label, CASE WHEN (SELECT min(n) FROM cro) >= 3 THEN n END AS n FROM cro
 UNION ALL SELECT known, CASE WHEN count(*) >= 20 AND count(DISTINCT family) >= 20 THEN count(*) END FROM kno GROUP BY known""",
@@ -386,7 +467,8 @@ cro AS (SELECT sex, known, count(*) AS n FROM kno GROUP BY ALL)""",
     ).replace(_PED, _PART),
     "protected_categories": _sql(
         """SELECT k AS label, n, 'intact' AS status FROM cat WHERE place > 2 UNION ALL SELECT 'other', sum(n)::BIGINT, 'merged' FROM cat WHERE place <= 2""",
-        ",\ncat AS (SELECT k, n, row_number() OVER (ORDER BY n, k DESC) AS place FROM (SELECT CASE WHEN id % 7 = 3 THEN 'rare' WHEN id % 11 = 3 THEN 'rarer' ELSE segment END AS k, count(*) AS n FROM ped GROUP BY 1))",
+        ",\ncat AS (SELECT k, n, row_number() OVER (ORDER BY n, k DESC) AS place FROM (SELECT CASE WHEN id % 7 = 3 THEN 'rare' WHEN id % 11 = 3 THEN "
+            "'rarer' ELSE segment END AS k, count(*) AS n FROM ped GROUP BY 1))",
     ),
     "sex_concordance_moments": _sql(
         """SELECT grouping, p::BIGINT AS pairs, c::BIGINT AS concordant, round(e, 6) AS expected, round(v, 6) AS variance, round((c - e) / sqrt(v), 6) AS z FROM (SELECT *, p * q2 AS e, p * q2 + t * q3 + (p * p - p - t) * q22 - p * q2 * p * q2 AS v FROM (
@@ -395,7 +477,8 @@ SELECT *, (m * (m - 1) + f * (f - 1)) / (n * (n - 1)) AS q2, (m * (m - 1) * (m -
 FROM (SELECT grouping, sum(size)::DOUBLE AS n, sum(males)::DOUBLE AS m, sum(size - males)::DOUBLE AS f, sum(size * (size - 1) / 2)::DOUBLE AS p, sum(size * (size - 1) * (size - 2))::DOUBLE AS t, sum((males * (males - 1) + (size - males) * (size - males - 1)) / 2)::DOUBLE AS c FROM mom GROUP BY 1)))""",
         ",\nmom AS (" + _MOMENTS + ")",
     ).replace(_PED, _PART),
-    "sex_concordance_skips": "SELECT * FROM (VALUES ('no sex', 'no_input_sex'), ('one group', 'fewer_than_two_eligible_groups'), ('one sex', 'single_sex')) t(\"case\", skipped)",
+    "sex_concordance_skips": "SELECT * FROM (VALUES ('no sex', 'no_input_sex'), ('one group', 'fewer_than_two_eligible_groups'), ('one sex', 'single_sex')) t(\"case\", "
+        "skipped)",
     "topological_order": _sql("SELECT id, row_number() OVER (ORDER BY depth, id) AS place FROM depth", _WALKS).replace(_PED, _PART),
     "reduction": "WITH" + _DIRTY + """,
 yr AS (SELECT DISTINCT c.id, c.birth_year - p.birth_year AS age FROM lnk l JOIN src c ON c.id = l.id JOIN src p ON p.id = l.parent)

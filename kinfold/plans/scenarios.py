@@ -24,7 +24,8 @@ _PLAIN = {
     "mother": f"coalesce({_TEXT.format('mother')}, '-1')",
     "father": f"coalesce({_TEXT.format('father')}, '.')",
     "birth_year": "CAST(1900 + CAST(floor(id / 40) AS INT) AS STRING)",
-    "birth_date": "CASE WHEN id % 3 = 0 THEN concat(CAST(1900 + CAST(floor(id / 40) AS INT) AS STRING), '-', right(concat('0', CAST(1 + id % 12 AS STRING)), 2), '-', right(concat('0', CAST(1 + id % 28 AS STRING)), 2)) ELSE '' END",
+    "birth_date": "CASE WHEN id % 3 = 0 THEN concat(CAST(1900 + CAST(floor(id / 40) AS INT) AS STRING), '-', right(concat('0', CAST(1 + id % 12 AS STRING)), "
+        "2), '-', right(concat('0', CAST(1 + id % 28 AS STRING)), 2)) ELSE '' END",
     "twin_set": "CASE WHEN id >= 48 AND id % 100 < 2 THEN concat('s', CAST(CAST(floor(id / 100) AS INT) AS STRING)) END",
     "zygosity": "CASE WHEN id >= 48 AND id % 100 < 2 THEN 'MZ' END",
 }
@@ -64,15 +65,21 @@ _SWAPPED = "CASE WHEN sex = 'F' THEN 'M' ELSE 'F' END"
 _ROLES = {
     # 2 has no recorded sex, 4 has one, and both are mothers and fathers; 0 and two others are parents without a row.
     "sex": f"CASE WHEN id = 2 THEN 'U' WHEN id % 43 = 7 THEN {_SWAPPED} ELSE sex END",
-    "mother": "CASE WHEN id < 48 THEN '-1' WHEN id % 53 = 9 THEN concat('9', CAST(1000000 + id AS STRING)) WHEN id % 61 = 12 THEN '70000000' WHEN id % 71 = 13 THEN '2' WHEN id % 73 = 14 THEN '4' ELSE CAST(mother AS STRING) END",
-    "father": "CASE WHEN id < 48 THEN '.' WHEN id % 59 = 11 THEN concat('8', CAST(1000000 + id AS STRING)) WHEN id % 67 = 13 THEN '70000000' WHEN id % 71 = 14 THEN '2' WHEN id % 73 = 15 THEN '4' WHEN id % 79 = 21 THEN CAST(id AS STRING) WHEN id % 83 = 22 THEN CAST(mother AS STRING) ELSE CAST(father AS STRING) END",
+    "mother": "CASE WHEN id < 48 THEN '-1' WHEN id % 53 = 9 THEN concat('9', CAST(1000000 + id AS STRING)) WHEN id % 61 = 12 THEN '70000000' WHEN id % 71 "
+        "= 13 THEN '2' WHEN id % 73 = 14 THEN '4' ELSE CAST(mother AS STRING) END",
+    "father": "CASE WHEN id < 48 THEN '.' WHEN id % 59 = 11 THEN concat('8', CAST(1000000 + id AS STRING)) WHEN id % 67 = 13 THEN '70000000' WHEN id % 71 "
+        "= 14 THEN '2' WHEN id % 73 = 15 THEN '4' WHEN id % 79 = 21 THEN CAST(id AS STRING) WHEN id % 83 = 22 THEN CAST(mother AS STRING) ELSE "
+        "CAST(father AS STRING) END",
 }
 _CYCLES = {
     # 20 and 22 are each other's mother, and what follows from them; births are out of order, out of range and at odds.
     "mother": "CASE WHEN id = 20 THEN '22' WHEN id = 22 THEN '20' ELSE coalesce(CAST(mother AS STRING), '-1') END",
     "birth_year": "CASE WHEN id = 22 THEN '1930' WHEN id % 61 = 3 THEN '2500' WHEN id % 67 = 4 THEN '' ELSE CAST(1900 + CAST(floor(id / 40) AS INT) AS STRING) END",
-    "birth_date": "CASE WHEN id % 97 = 9 THEN '2400-05-06' WHEN id = 22 THEN '' WHEN id % 3 = 0 OR id % 7 = 0 THEN concat(CAST(1900 + CAST(floor(id / 40) AS INT) + CASE WHEN id % 89 = 6 THEN 1 ELSE 0 END AS STRING), '-', right(concat('0', CAST(1 + id % 12 AS STRING)), 2), '-', right(concat('0', CAST(1 + id % 28 AS STRING)), 2)) ELSE '' END",
-    "twin_set": "CASE WHEN id >= 48 AND id % 100 < 2 THEN concat('s', CAST(CAST(floor(id / 100) AS INT) AS STRING)) WHEN id >= 48 AND id % 40 IN (8, 9) THEN concat('t', CAST(CAST(floor(id / 40) AS INT) AS STRING)) END",
+    "birth_date": "CASE WHEN id % 97 = 9 THEN '2400-05-06' WHEN id = 22 THEN '' WHEN id % 3 = 0 OR id % 7 = 0 THEN concat(CAST(1900 + CAST(floor(id / 40) AS "
+        "INT) + CASE WHEN id % 89 = 6 THEN 1 ELSE 0 END AS STRING), '-', right(concat('0', CAST(1 + id % 12 AS STRING)), 2), '-', right(concat('0', "
+        "CAST(1 + id % 28 AS STRING)), 2)) ELSE '' END",
+    "twin_set": "CASE WHEN id >= 48 AND id % 100 < 2 THEN concat('s', CAST(CAST(floor(id / 100) AS INT) AS STRING)) WHEN id >= 48 AND id % 40 IN (8, 9) THEN "
+        "concat('t', CAST(CAST(floor(id / 40) AS INT) AS STRING)) END",
     "zygosity": "CASE WHEN id >= 48 AND id % 100 < 2 THEN 'MZ' WHEN id % 40 = 8 THEN 'DZ' WHEN id % 101 = 60 THEN 'MZ' END",
 }
 SCENARIOS: dict[str, Scenario] = {
@@ -170,7 +177,8 @@ def _cleared(s: Scenario) -> str:
     """Links that the two breaking checks remove."""
     if not s.options.get("break_cycles"):
         return ",\nwrong AS (SELECT id, '' AS role FROM src1 WHERE false),\nsrc AS (SELECT * FROM src1)"
-    less = "SELECT row, id, sex, CASE WHEN (id, 'mother') NOT IN (SELECT id, role FROM {0}) THEN mother END AS mother, CASE WHEN (id, 'father') NOT IN (SELECT id, role FROM {0}) THEN father END AS father, birth_year, birth_date, zyg, grp FROM {1}"
+    less = ("SELECT row, id, sex, CASE WHEN (id, 'mother') NOT IN (SELECT id, role FROM {0}) THEN mother END AS mother, CASE WHEN (id, 'father') NOT IN "
+        "(SELECT id, role FROM {0}) THEN father END AS father, birth_year, birth_date, zyg, grp FROM {1}")
     return f""",
 src2 AS ({less.format("late", "src1")}),
 apart2 AS (SELECT * FROM src2 WHERE mother IS DISTINCT FROM father),
@@ -196,7 +204,8 @@ def _found(s: Scenario) -> dict[str, str]:
         "duplicate_ids": "SELECT 0 FROM src1 GROUP BY id HAVING count(*) > 1",
         "parent_token_range_mother": "SELECT 0 FROM src1 WHERE mother < -1",
         "parent_token_range_father": "SELECT 0 FROM src1 WHERE father < -1",
-        "zero_parent_present": "SELECT count(*) FROM (SELECT 'm' AS role FROM src1 WHERE mother = 0 UNION ALL SELECT 'f' FROM src1 WHERE father = 0) WHERE NOT EXISTS (SELECT 1 FROM src1 WHERE id = 0) GROUP BY role",
+        "zero_parent_present": "SELECT count(*) FROM (SELECT 'm' AS role FROM src1 WHERE mother = 0 UNION ALL SELECT 'f' FROM src1 WHERE father = 0) WHERE NOT EXISTS "
+            "(SELECT 1 FROM src1 WHERE id = 0) GROUP BY role",
         "cycle_breaks": "SELECT 0 FROM late",
         "role_conflict_breaks": "SELECT 0 FROM wrong",
         "parent_refs_present_mother": "SELECT rm FROM per WHERE row IS NULL AND rm > 0",
@@ -209,7 +218,8 @@ def _found(s: Scenario) -> dict[str, str]:
         "parents_distinct": "SELECT 0 FROM src WHERE mother = father",
         "sex_role_override": "SELECT 0 FROM imp WHERE sex_source = 'role'",
         "sex_role_consistency": f"SELECT 0 FROM imp WHERE sex_source IN ('input', 'role') AND NOT ({both}) AND ((rm > 0 AND now <> 'F') OR (rf > 0 AND now <> 'M'))",
-        "acyclic": "SELECT DISTINCT 0, child FROM (SELECT child FROM reach2 WHERE parent IN (SELECT child FROM reach2 WHERE child = parent) UNION SELECT child FROM reach2 WHERE child = parent)",
+        "acyclic": "SELECT DISTINCT 0, child FROM (SELECT child FROM reach2 WHERE parent IN (SELECT child FROM reach2 WHERE child = parent) UNION SELECT child "
+            "FROM reach2 WHERE child = parent)",
         "birth_year_range": f"SELECT 0 FROM src WHERE birth_year NOT BETWEEN {o.birth_year_min} AND {o.birth_year_max}",
         "birth_year_topology": f"SELECT 0 FROM aged WHERE NOT dated AND ({by_year.replace('age', 'by_year')})",
         "birth_date_range": f"SELECT 0 FROM src WHERE year(birth_date) NOT BETWEEN {o.birth_year_min} AND {o.birth_year_max}",
@@ -256,7 +266,8 @@ f AS ({" UNION ALL ".join(parts) or "SELECT '' AS " + chr(34) + "check" + chr(34
 def cycles_sql(ped: str) -> str:
     """Members of cycles, each named by its least id."""
     reach = _typed(SCENARIOS["checks_births"])
-    return f"WITH RECURSIVE{ped},\n{reach} SELECT a.child AS id, min(a.parent) AS cycle FROM reach a JOIN reach b ON b.child = a.parent AND b.parent = a.child WHERE a.child IN (SELECT child FROM reach WHERE child = parent) GROUP BY 1"
+    return (f"WITH RECURSIVE{ped},\n{reach} SELECT a.child AS id, min(a.parent) AS cycle FROM reach a JOIN reach b ON b.child = a.parent AND b.parent = "
+        f"a.child WHERE a.child IN (SELECT child FROM reach WHERE child = parent) GROUP BY 1")
 
 
 def oracle_sql(ped: str) -> dict[str, str]:

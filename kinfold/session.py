@@ -79,7 +79,10 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def counted(df: DataFrame, name: str = "step", **totals: Column) -> tuple[DataFrame, dict]:
-    """``stored``, with aggregates of the rows that were written, from the same job; ``n`` is their number."""
+    """``stored``, with aggregates of the rows that were written, from the same job; ``n`` is their number.
+
+    They are taken in the stage that writes, whose tasks count once, however often one is tried.
+    """
     seen = Observation()
     totals = {"n": F.count(F.lit(1)), **totals}
     out = stored(df.observe(seen, *(c.alias(k) for k, c in totals.items())), name)
