@@ -146,7 +146,7 @@ def run(argv: list[str] | None = None) -> int:
         degree = 5 if getattr(a, "per_individual_burden", False) else getattr(a, "max_degree", None) or 2
         if a.command == "summarize":
             if a.safe_attempt:
-                got = reports.safe_summary(raw, o, a.min_cell, degree)
+                got = reports.safe_summary(raw, o, a.min_cell, degree, a.inbreeding)
             else:
                 got = reports.summarize(raw, o, a.inbreeding, degree, a.per_individual_burden, a.sex_concordance, a.sex_concordance_permutations, a.sex_concordance_seed)
                 sinks.write_delimited(sinks.annotated(got.tables["individual"], raw, o.id), str(out / "annotated.tsv"), single=True, gzip=True)

@@ -551,6 +551,15 @@ def protected_half_founders(spark, sf):
     return spark.createDataFrame(out, "label string, n long")
 
 
+@_query
+def safe_pair_support(spark, sf):
+    """Pairs by code, and the fewest families or ancestors behind them."""
+    from kinfold.plans.reports import pair_support
+
+    d = Derived(spark, sf, whole=False)
+    return pair_support(d.ped, _kin(d, 3).pairs())
+
+
 @_query
 def protected_categories(spark, sf):
     """Small categories in one, which takes in the smallest shown category if it stays small itself."""

@@ -484,3 +484,14 @@ FROM (SELECT grouping, sum(size)::DOUBLE AS n, sum(males)::DOUBLE AS m, sum(size
 yr AS (SELECT DISTINCT c.id, c.birth_year - p.birth_year AS age FROM lnk l JOIN src c ON c.id = l.id JOIN src p ON p.id = l.parent)
 SELECT id::VARCHAR AS id, 'birth_year_range' AS "check", 1 AS round FROM src WHERE birth_year NOT BETWEEN 1800 AND 2026 UNION ALL SELECT DISTINCT id::VARCHAR, 'birth_year_topology', 1 FROM yr WHERE age < 12 OR age > 81""",
 }
+
+_LINE = ", ".join(f"'{c[0]}'" for c in CODES if not c[3] and c[0] != "MZ")
+ORACLES["safe_pair_support"] = _sql(
+    """SELECT code, n, least(families, coalesce(ancestors, families)) AS units FROM (SELECT code, count(*) // 2 AS n, count(DISTINCT family) AS families FROM (SELECT code, id1 AS id FROM rel UNION ALL SELECT code, id2 FROM rel) JOIN fami USING (id) GROUP BY code)
+LEFT JOIN (SELECT code, count(DISTINCT anc) AS ancestors FROM anc GROUP BY code) USING (code)""",
+    _WALKS,
+    _related(3),
+    f""",
+fami AS (SELECT id, CASE WHEN mother IS NULL AND father IS NULL THEN 'i' || id ELSE coalesce(mother::VARCHAR, '-') || '/' || coalesce(father::VARCHAR, '-') END AS family FROM ped),
+anc AS (SELECT code, id2 AS anc FROM rel WHERE code IN ({_LINE}) UNION ALL SELECT r.code, CASE r.code WHEN 'PHS' THEN p.father ELSE p.mother END FROM rel r JOIN ped p ON p.id = r.id1 WHERE r.code IN ('FS', 'MHS', 'PHS'))""",
+).replace(_PED, _PART).replace("SELECT id, mother, 1 FROM ped", _TWINS + " UNION ALL SELECT id, mother, 1 FROM ped")

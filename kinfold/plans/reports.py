@@ -119,18 +119,59 @@ def summarize(raw: DataFrame, options: validation.Options, inbreeding: bool = Tr
     return Result(payload, tables)
 
 
-def safe_summary(raw: DataFrame, options: validation.Options, min_cell: int = disclosure.MIN_CELL, max_degree: int = 2) -> Result:
-    """Only protected counts: small cells merged or withheld, counts gated by the families behind them."""
+def pair_support(ped: DataFrame, pairs: DataFrame) -> DataFrame:
+    """code, n, units: the families of the members, or the ancestors behind the pairs where there are fewer of them.
+
+    The ancestors are the older members of pairs in one line and the shared parents of sibs.
+    """
+    family = sections.family_id(ped)
+    sides = pairs.select("code", F.explode(F.array("id1", "id2")).alias("id")).join(family, "id").groupBy("code").agg((F.count("*") / 2).cast("long").alias("n"), F.countDistinct("family").alias("families"))
+    line = [c for c, _, _, down, _ in relationships.CODES if not down and c != "MZ"]
+    older = pairs.where(F.col("code").isin(*line)).select("code", F.col("id2").alias("anc"))
+    of = pairs.where(F.col("code").isin("FS", "MHS", "PHS")).select("code", F.col("id1").alias("id")).join(ped.select("id", "mother", "father"), "id")
+    shared = of.select("code", F.when(F.col("code") == "PHS", F.col("father")).otherwise(F.col("mother")).alias("anc"))
+    ancestors = older.unionByName(shared).groupBy("code").agg(F.countDistinct("anc").alias("ancestors"))
+    return sides.join(ancestors, "code", "left").select("code", "n", F.least("families", F.coalesce("ancestors", "families")).alias("units"))
+
+
+def safe_summary(raw: DataFrame, options: validation.Options, min_cell: int = disclosure.MIN_CELL, max_degree: int = 2, inbreeding: bool = True) -> Result:
+    """Only what is listed, and protected: small cells merged or withheld, counts gated by the families and ancestors behind
+    them, statistics shown only beside the intact tables that they follow from."""
     p = Pedigree(raw, options)
-    sex = [(r["sex"] or "unknown", r["n"]) for r in p.ped.groupBy("sex").agg(F.count("*").alias("n")).collect()]
-    depth = [(r["depth"], r["n"]) for r in sections.depth_counts(p.depth).orderBy("depth").collect()]
-    sibs = [(r["n_offspring"], r["n"]) for r in mating_pairs(p.ped).groupBy("n_offspring").agg(F.count("*").alias("n")).orderBy("n_offspring").collect()]
-    family = sections.family_id(p.ped)
-    sides = p.pairs(max_degree).select("code", F.explode(F.array("id1", "id2")).alias("id")).join(family, "id")
-    support = {r["code"]: (r["n"], r["families"]) for r in sides.groupBy("code").agg((F.count("*") / 2).cast("long").alias("n"), F.countDistinct("family").alias("families")).collect()}
-    spec = [disclosure.Release("sex", "unordered"), disclosure.Release("depth", "ordered"), disclosure.Release("sibship_size", "ordered"), disclosure.Release("individuals", "count"), *(disclosure.Release(f"pairs.{c}", "count", ("individuals",)) for c in relationships.ORDER if relationships.DEGREE[c] <= max_degree), disclosure.Release("effective_pairs", "derived", ("sibship_size",))]
-    source: dict[str, Any] = {"sex": sex, "depth": depth, "sibship_size": sibs, "individuals": p.ped.count(), "effective_pairs": row(sections.mating_pair_summary(p.ped))["effective_pairs"]}
-    source |= {f"pairs.{c}": support.get(c, (0, 0)) for c in relationships.ORDER if relationships.DEGREE[c] <= max_degree}
+    who = p.once("individual", lambda: individual_table(p.ped, inbreeding, p.paths(), p.depth))
+
+    def table(df: DataFrame, key: str) -> list[tuple[Any, int]]:
+        return [(r[key], r["n"]) for r in df.groupBy(key).agg(F.count("*").alias("n")).orderBy(key).collect()]  # a row per bin
+
+    sex = F.coalesce("sex", F.lit("unknown"))
+    size = pedigree_components(p.ped).groupBy("component").agg(F.count("*").alias("size"))
+    source: dict[str, Any] = {
+        "individuals": p.ped.count(),
+        "sex": table(p.ped.select(sex.alias("sex")), "sex"),
+        "depth": table(p.depth, "depth"),
+        "depth_by_sex": {(r["depth"], r["sex"]): r["n"] for r in p.ped.select("id", sex.alias("sex")).join(p.depth, "id").groupBy("depth", "sex").agg(F.count("*").alias("n")).collect()},
+        "founders": p.ped.where("mother is null and father is null").count(),
+        "half_founders": p.ped.where("(mother is null) != (father is null)").count(),
+        "sibship_size": table(mating_pairs(p.ped), "n_offspring"),
+        "offspring": table(who, "n_offspring"),
+        "mates": table(who, "n_mates"),
+        "component_size": table(size.select(F.pow(F.lit(10), F.floor(F.log10("size"))).cast("long").alias("from")), "from"),
+        "effective_pairs": row(sections.mating_pair_summary(p.ped))["effective_pairs"],
+        "mean_depth": p.depth.agg(F.avg("depth")).first()[0],
+    }
+    if inbreeding:
+        source["inbreeding"] = [(r["bin"], r["n"]) for r in sections.inbreeding_histogram(who).orderBy("bin").collect()]
+    if options.multiple_birth:
+        source["multiple_births"] = [(r["size"], r["n_sets"]) for r in births.births_by_size(p.ped.where("set is not null")).orderBy("size").collect()]
+    support = {r["code"]: (r["n"], r["units"]) for r in pair_support(p.ped, p.pairs(max_degree)).collect()}  # at most 23 codes
+    codes = [c for c in relationships.ORDER if relationships.DEGREE[c] <= max_degree]
+    source |= {f"pairs.{c}": support.get(c, (0, 0)) for c in codes}
+    R = disclosure.Release  # noqa: N806
+    spec = [
+        R("individuals", "count"), R("sex", "unordered"), R("depth", "ordered"), R("depth_by_sex", "contingency", ("individuals",)), R("founders", "count", ("individuals",)), R("half_founders", "count", ("individuals",)),
+        R("sibship_size", "ordered"), R("offspring", "ordered"), R("mates", "ordered"), R("component_size", "ordered"), *(R(f"pairs.{c}", "count", ("individuals",)) for c in codes),
+        *([R("inbreeding", "ordered")] if inbreeding else []), *([R("multiple_births", "ordered")] if options.multiple_birth else []), R("effective_pairs", "derived", ("sibship_size",)), R("mean_depth", "derived", ("depth",)),
+    ]
     return Result({"min_cell": min_cell, "release": disclosure.build_release(spec, source, min_cell)})
 
 
