@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import counted, stored, texts
+from kinfold.llm._base import counted, sized, stored, texts
 from kinfold.llm._components import components
 from kinfold.llm._words import SPACE, chunks, grams, lists, mix, record_batch, seeds, words
 
@@ -244,14 +244,14 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, few: int
     return both.mapInArrow(fn, ddl).where("linked").select("a", "b")
 
 
-def _with_first(sets: DataFrame) -> DataFrame:
+def _with_first(sets: DataFrame, many: int) -> DataFrame:
     """``rep``: the least doc_id of the documents with an equal set, for those that have one.
 
     Groups of copies are aggregated before they are met again: few are broadcast, more are joined with the documents dealt
     by salt, so that a large group of copies doesn't land in one task.
     """
     same = ["n", "one", "two"]
-    groups, seen = counted(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"), "copies")
+    groups, seen = counted(sized(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"), many), "copies")
     if seen["n"] <= FEW_IDS // 4:
         return sets.join(F.broadcast(groups), same, "left")
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -276,32 +276,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))
     fn, ddl = _describe(size)
     sets = docs.mapInArrow(fn, ddl).groupBy("doc_id").agg(F.min_by(F.struct("n", "one", "two", "sketch"), "row").alias("s"), F.min("row").alias("row"), F.max("row").alias("most"))
-    base = stored(sets.select("doc_id", "row", "most", "s.*"), "sets")
-    docs = _speaking(docs, base.where("row < most").select("doc_id", F.col("row").alias("own"))).select("doc_id", "text")
-    named = stored(_with_first(base.select("doc_id", "n", "one", "two")).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "first-copies")
+    many = docs.count()  # from the files' footers
+    base = stored(sized(sets.select("doc_id", "row", "most", "s.*"), many), "sets")
+    docs = _speaking(docs, sized(base.where("row < most").select("doc_id", F.col("row").alias("own")), many)).select("doc_id", "text")
+    named = stored(_with_first(base.select("doc_id", "n", "one", "two"), many).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "first-copies")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(total) // part_rows))  # about a signature a shingle
     fn, ddl = _emit(size, percent, parts)
     copies = stored(named.where("rep != doc_id").select("doc_id"), "copies")  # they have nothing more to find
     ours = docs.join(_some(copies), "doc_id", "left_anti")
-    stars = stored(ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct(), "stars")
+    stars = stored(sized(ours.mapInArrow(fn, ddl).groupBy("part").applyInArrow(_buckets, "center long, doc long").distinct(), many), "stars")
 
     known = base.select(F.col("doc_id"), "n", "sketch")
     near = stars.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
     near = near.join(known.alias("y"), F.col("b") == F.col("y.doc_id")).join(known.alias("x"), F.col("a") == F.col("x.doc_id"))
-    near = stored(near.where(_close("x", "y", percent)).select("a", "b"), "candidates")
-    links = stored(_links(near, docs, size, percent), "verified")
-    roots = stored(components(links), "roots")
+    near = stored(sized(near.where(_close("x", "y", percent)).select("a", "b"), many), "candidates")
+    links = stored(sized(_links(near, docs, size, percent), many), "verified")
+    roots = stored(sized(components(links), many), "roots")
 
     # Documents that share a bucket share its center, so the pairs left to look at meet under a center.
     of = stars.unionByName(stars.select("center", F.col("center").alias("doc")).distinct())
     of = of.join(roots, F.col("doc") == F.col("node"), "left").select("center", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = stored(of.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("center"), "mixed")
+    mixed = stored(sized(of.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("center"), many), "mixed")
     open_ = of.join(_some(mixed), "center", "left_semi").join(known, F.col("doc") == F.col("doc_id")).select("center", "doc", "root", "n", "sketch")
-    open_ = stored(open_, "open")
+    open_ = stored(sized(open_, many), "open")
     pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.center") == F.col("y.center")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
-    pairs = stored(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_links(pairs, docs, size, percent), "verified")
+    pairs = stored(sized(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), many), "pairs")
+    more = stored(sized(_links(pairs, docs, size, percent), many), "verified")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return named.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import counted, partitions, stored, texts
+from kinfold.llm._base import counted, partitions, sized, stored, texts
 from kinfold.llm._words import SPACE, chunks, grams, lists, record_batch, sliding_min, words
 
 #: Low bits of a packed value hold a place in the chunk, the others the k-gram's hash.
@@ -242,10 +242,10 @@ def _finish(window: int):
 FEW_GROUPS, SALTS = 200_000, 16
 
 
-def _with_first(base: DataFrame) -> DataFrame:
+def _with_first(base: DataFrame, many: int) -> DataFrame:
     """``rep``: the least doc_id of the documents with the same words, for rows that have such copies."""
     dup = base.where("has_window").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("sha", "rep")
-    dup, seen = counted(dup, "copies")
+    dup, seen = counted(sized(dup, many), "copies")
     if seen["n"] <= FEW_GROUPS:
         return base.join(F.broadcast(dup), "sha", "left")
     salted = dup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -257,8 +257,9 @@ def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[Data
     """Every row with its digest and whether it is a copy; and for rows with repeats the starts of their windows (marks)."""
     spark = docs.sparkSession
     fn, ddl = _scan(window, k)
-    base = stored(docs.mapInArrow(fn, ddl).withColumn("has_window", F.col("n_words") >= window), "suffixes")
-    named = _with_first(base).withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)))
+    base, seen = counted(docs.mapInArrow(fn, ddl).withColumn("has_window", F.col("n_words") >= window), "suffixes")
+    many = seen["n"]
+    named = _with_first(base, many).withColumn("copy", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)))
     named = stored(named.select("doc_id", "row", "n_words", "kept_sha256", "copy", F.when(~F.col("copy"), F.col("keys")).alias("keys")), "first-copies")
 
     at = named.where(~F.col("copy")).select("doc_id", "row", F.explode("keys").alias("key"))
@@ -269,7 +270,7 @@ def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[Data
     fn, ddl = _records(window, k)
     found = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "small", "large", "row").mapInArrow(fn, ddl)
     found = found.withColumn("cid", F.xxhash64("key", "lead", "n", "ctx")).withColumn("cid2", F.hash("ctx", "key", "n"))
-    found = stored(found, "records")
+    found = stored(sized(found, many), "records")
 
     plain = found.where("key is not null")
     merged = plain.groupBy("key", "lead", "n", "cid", "cid2", "ctx").agg(F.min("doc_id").alias("doc"))
@@ -285,7 +286,7 @@ def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[Data
     least = hot.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
     hot_hits = hot.join(least, ["one", "two"]).where("least < doc_id").groupBy("doc_id", "row").agg(F.collect_list("start").alias("at"))
     marks = hits.where(F.size("at") > 0).unionByName(hot_hits).groupBy("doc_id", "row").agg(F.collect_list("at").alias("marks"))
-    marks = stored(marks, "marks")
+    marks = stored(sized(marks, many), "marks")
     return named, marks
 
 
