@@ -273,10 +273,11 @@ def _speaking(docs: DataFrame, several: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, part_rows: int = 400_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))
+    docs = texts(docs, key, text)
+    many = docs.count()  # from the files' footers
+    docs = sized(docs, many).withColumn("row", F.xxhash64("text"))
     fn, ddl = _describe(size)
     sets = docs.mapInArrow(fn, ddl).groupBy("doc_id").agg(F.min_by(F.struct("n", "one", "two", "sketch"), "row").alias("s"), F.min("row").alias("row"), F.max("row").alias("most"))
-    many = docs.count()  # from the files' footers
     base = stored(sized(sets.select("doc_id", "row", "most", "s.*"), many), "sets")
     docs = _speaking(docs, sized(base.where("row < most").select("doc_id", F.col("row").alias("own")), many)).select("doc_id", "text")
     named = stored(_with_first(base.select("doc_id", "n", "one", "two"), many).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "first-copies")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import crc_mod, partitions, stored
+from kinfold.llm._base import crc_mod, partitions, sized, stored
 from kinfold.llm._words import SPACE, chunks, mix, record_batch, seeds, trim, words
 
 _END, _BEGIN, _L, _R = seeds(4, 31337)
@@ -364,9 +364,9 @@ def _score(m: Model, word_parts: int, pair_parts: int, train_docs: int):
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, top: int = 5, part_rows: int = 600_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", folds) != held_out).alias("train"))
+    many, train_docs = docs.agg(F.count("*"), F.count_if(crc_mod("doc_id", folds) != held_out)).first()
+    rows = sized(docs, many).select("doc_id", "text", (crc_mod("doc_id", folds) != held_out).alias("train"))
     blocks = stored(rows.mapInArrow(_blocks, _BLOCK), "blocks")
-    train_docs = docs.where(crc_mod("doc_id", folds) != held_out).count()
     size = blocks.agg(F.sum("n_words").alias("n"), F.sum(F.octet_length("tokens")).alias("m")).first()
     spread = partitions(docs.sparkSession)
     word_parts = max(spread, -(-int(size["n"] or 0) // part_rows))

@@ -12,9 +12,9 @@ suffixes share their least k-gram and travel as one record with their joint word
 4. Each group builds the deep part of its suffix tree: suffixes are ordered by prefix doubling, and neighbours that share
    ``window`` words or more form an internal node, whose depth is the length of a maximal repeat of its members.  A node's
    least doc_id is known exactly, since words and not hashes are compared.
-5. A prefix with more than ``group_limit`` documents is lengthened, in one step, to the whole window: its suffixes are
-   leaves, known by two 64-bit fingerprints, and an aggregate with map-side combine finds the least id, so a group that
-   any number of documents share is never held by one task.
+5. A prefix with more than ``group_limit`` documents, whose records of 92 words at most would take some 100 MB, is
+   lengthened, in one step, to the whole window: its suffixes are leaves, known by two 64-bit fingerprints, and an aggregate
+   with map-side combine finds the least id, so a group that any number of documents share is never held by one task.
 6. The answers return to the places by join, the marks are gathered by document, and the words left are joined.
    ``maximal_repeats`` lists the marked spans instead.
 
@@ -253,6 +253,12 @@ def _with_first(base: DataFrame, many: int) -> DataFrame:
     return base.withColumn("salt", salt).join(salted, ["sha", "salt"], "left").drop("salt")
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text, and ``row``, which tells rows of one id apart by their texts."""
+    docs = texts(docs, key, text)
+    return sized(docs, docs.count()).withColumn("row", F.xxhash64("text"))  # counted from the files' footers
+
+
 def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
     """Every row with its digest and whether it is a copy; and for rows with repeats the starts of their windows (marks)."""
     spark = docs.sparkSession
@@ -290,12 +296,12 @@ def _marks(docs: DataFrame, window: int, k: int, group_limit: int) -> tuple[Data
     return named, marks
 
 
-def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 1024) -> DataFrame:
+def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 16_384) -> DataFrame:
     """doc_id, start, end (word places, exclusive): the longest spans whose every window also starts in a document of smaller id.
 
     A document all of whose words an earlier one has is one span.
     """
-    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))
+    docs = _rows(docs, key, text)
     named, marks = _marks(docs, window, k, group_limit)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -313,12 +319,12 @@ def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return spans.unionByName(named.where("copy").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 1024, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 8, group_limit: int = 16_384, with_text: bool = False) -> DataFrame:
     """Words covered by a window that also starts in a document of smaller id are removed.
 
     Returns doc_id, n_words, n_removed, kept_sha256; ``with_text`` adds ``kept_text``, the words left joined by one space.
     """
-    docs = texts(docs, key, text).withColumn("row", F.xxhash64("text"))  # rows of one id are told apart by their texts
+    docs = _rows(docs, key, text)
     named, marks = _marks(docs, window, k, group_limit)
     fn, ddl = _finish(window)
     cut = docs.join(marks, ["doc_id", "row"]).select("doc_id", "text", "marks").mapInArrow(fn, ddl)

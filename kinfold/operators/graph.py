@@ -110,12 +110,15 @@ def cycle_components(ped: DataFrame, depth: DataFrame | None = None) -> DataFram
     depth = structural_depth(ped) if depth is None else depth
     open_ = depth.where("depth is null").select("id")
     links = inner_edges(ped).where("child != parent").select("child", "parent").distinct()
-    links = stored(links.join(open_.select(F.col("id").alias("child")), "child", "left_semi").join(open_.select(F.col("id").alias("parent")), "parent", "left_semi"), "open-links")
+    links, seen = counted(links.join(open_.select(F.col("id").alias("child")), "child", "left_semi").join(open_.select(F.col("id").alias("parent")), "parent", "left_semi"), "open-links")
     while True:  # a row that is nobody's parent here, or has no parent here, is in no cycle
-        fewer = stored(links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"), "open-links")
-        if fewer.count() == links.count():
-            break
+        inner = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        fewer, now = counted(inner.select("child", "parent"), "open-links")
+        forget(links)
         links = fewer
+        if now["n"] == seen["n"]:
+            break
+        seen = now
     nodes = links.select(F.col("child").alias("id")).distinct()
     cycles = None
     left = stored(nodes, "cycle-nodes")
@@ -132,12 +135,14 @@ def cycle_components(ped: DataFrame, depth: DataFrame | None = None) -> DataFram
 
 def _reach(nodes: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
     """The least id among those a node can reach along the links."""
-    now = nodes.select("id", F.col("id").alias("label"))
+    now, held = nodes.select("id", F.col("id").alias("label")), None
     while True:
         seen = links.join(now.select(F.col("id").alias(target), "label"), target).groupBy(F.col(source).alias("s")).agg(F.min("label").alias("m"))
-        then = stored(now.join(seen, F.col("id") == F.col("s"), "left").select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")), "labels")
-        now = then.select("id", "label")
-        if then.where("moved").isEmpty():
+        then = now.join(seen, F.col("id") == F.col("s"), "left").select("id", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved"))
+        then, seen_ = counted(then, "labels", moved=F.count_if(F.col("moved")))
+        forget(held)
+        held, now = then, then.select("id", "label")
+        if not seen_["moved"]:
             return now
 
 
