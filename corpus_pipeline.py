@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import read, stored
+from kinfold.llm._base import read, sized, stored
 from kinfold.llm.best_fit_packing import pack
 from kinfold.llm.decontamination import clean
 from kinfold.llm.jaccard_join import near_duplicates
@@ -26,16 +26,21 @@ from kinfold.llm.secret_scan import redact
 from kinfold.session import ship
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """Few documents in few partitions; counted from the files' footers, and without effect on a large table."""
+    return sized(docs, docs.count())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return accepted(docs, read(spark, sf_dir, "labels"), threshold=0.3)
+    return accepted(_sized(docs), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     classes = stored(near_duplicates(docs, size=5, percent=80), "classes")
     later = classes.where("component_id != doc_id").select("doc_id")
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    kept = _sized(docs).join(later, "doc_id", "left_anti").select(docs.columns)
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_m")).where("_m > 1").select("doc_id")
     several = stored(several, "several")
     if several.isEmpty():
@@ -49,12 +54,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return clean(docs, read(spark, sf_dir, "benchmark"), window=10)
+    return clean(_sized(docs), read(spark, sf_dir, "benchmark"), window=10)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = redact(docs)
+    out = redact(_sized(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
