@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--missing-parent-token", action="append", default=[])
     common.add_argument("--allow-missing-sex", action="store_true")
     common.add_argument("--no-override-asserted-sex", action="store_true")
+    common.add_argument("--single-file", action="store_true", help="tables with a row per individual as one part, written by one task")
     common.add_argument("--threads", default="*")
     common.add_argument("--max-memory", default="8g")
     safe = argparse.ArgumentParser(add_help=False)
@@ -149,7 +150,7 @@ def run(argv: list[str] | None = None) -> int:
                 got = reports.safe_summary(raw, o, a.min_cell, degree, a.inbreeding)
             else:
                 got = reports.summarize(raw, o, a.inbreeding, degree, a.per_individual_burden, a.sex_concordance, a.sex_concordance_permutations, a.sex_concordance_seed)
-                sinks.write_delimited(sinks.annotated(got.tables["individual"], raw, o.id), str(out / "annotated.tsv"), single=True, gzip=True)
+                sinks.write_delimited(sinks.annotated(got.tables["individual"], raw, o.id), str(out / "annotated.tsv"), single=a.single_file, gzip=True)
                 if a.tsv:
                     sinks.write_delimited(sinks.long_table(spark, got.payload), str(out / "summary.tsv"), single=True)
                 if "burden" in got.tables:
@@ -161,7 +162,7 @@ def run(argv: list[str] | None = None) -> int:
                 if name in got.tables:
                     sinks.write_delimited(got.tables[name], str(out / f"validate.{name}.tsv"), single=True)
             if "fixed" in got.tables:
-                sinks.fixed_pedigree(got.tables["fixed"], str(out / "validate.tsv"), single=True, gzip=True)
+                sinks.fixed_pedigree(got.tables["fixed"], str(out / "validate.tsv"), single=a.single_file, gzip=True)
             print(got.payload["summary"], file=sys.stderr)
         elif a.command == "effective-size":
             named = {e.removeprefix("ne_") for e in a.estimators.split(",")}
