@@ -27,9 +27,9 @@ import html
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +59,10 @@ BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 P_BARRIER = ("button", "table", "td", "th", "object", "template")
 
-#: Deepest nesting that is aligned (the tree itself has every element), and the largest table of children that is solved exactly.
-DEEP, WIDE = 200, 20_000
+#: Tables of children up to this size are filled number by number, larger ones row by row with numpy: the same numbers.
+SMALL = 1_000
+#: Sizes of matches that are remembered; beyond, they are worked out again.
+KEPT = 1 << 20
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -153,24 +155,38 @@ def parse(page: str) -> Node:
 
 
 class Fold:
-    """A node of the folded tree: neighbouring siblings of one kind.  What lies deeper than DEEP belongs to the node there."""
+    """A node of the folded tree: neighbouring siblings of one kind.  ``sign`` and ``count`` are the subtree's; see ``seal``."""
 
-    __slots__ = ("kind", "members", "kids", "sign", "slot")
+    __slots__ = ("kind", "members", "kids", "sign", "count", "slot")
 
-    def __init__(self, kind: str, members: list[Node], depth: int = 0) -> None:
+    def __init__(self, kind: str, members: list[Node]) -> None:
         self.kind, self.members, self.slot = kind, members, 0
+        self.kids: list[Fold] = []
+
+    def seal(self) -> None:
+        """Once its kids are sealed."""
+        self.count = 1 + sum(k.count for k in self.kids)
+        self.sign = hash((self.kind, *(k.sign for k in self.kids)))
+
+
+def fold(tree: Node) -> Fold:
+    """The folded tree, of any depth."""
+    top = Fold("", [tree])
+    done, todo = [], [top]
+    while todo:
+        x = todo.pop()
+        done.append(x)
         runs: list[list[Node]] = []
-        if depth < DEEP:
-            for k in (k for m in members if not m.out for k in m.kids if not isinstance(k, str)):
-                if runs and runs[-1][0].kind == k.kind and k.tag in REPEATED:
-                    runs[-1].append(k)
-                else:
-                    runs.append([k])
-        else:
-            for m in self.members:  # grows
-                self.members += [k for k in m.kids if not isinstance(k, str)]
-        self.kids = [Fold(r[0].kind, r, depth + 1) for r in runs] if runs else []
-        self.sign = hash((kind, *(k.sign for k in self.kids)))
+        for k in (k for m in x.members if not m.out for k in m.kids if not isinstance(k, str)):
+            if runs and runs[-1][0].kind == k.kind and k.tag in REPEATED:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        x.kids = [Fold(r[0].kind, r) for r in runs]
+        todo += x.kids
+    for x in reversed(done):
+        x.seal()
+    return top
 
 
 def _number(text: str) -> int:
@@ -197,62 +213,159 @@ def unpack_fold(packed: bytes) -> Fold:
         x.slot = i
         x.kids = done[len(done) - n :][::-1] if n else []
         del done[len(done) - n :]
-        x.sign = hash((x.kind, *(k.sign for k in x.kids)))
+        x.seal()
         done.append(x)
     return folds[0]
 
 
+class _Table:
+    """The children of two nodes of one kind, and how to match most below them in order.
+
+    Equal last children are matched at once, which no best match beats.  Of the rest a table has the best of each two beginnings;
+    one row in about sqrt(rows) is kept, those between are worked out again on the way back.
+    """
+
+    def __init__(self, a: Fold, b: Fold) -> None:
+        self.m, self.n, self.tail, self.end = len(a.kids), len(b.kids), 0, (len(a.kids), len(b.kids))
+        while self.m and self.n and a.kids[self.m - 1].sign == b.kids[self.n - 1].sign:
+            self.m, self.n = self.m - 1, self.n - 1
+            self.tail += a.kids[self.m].count
+        self.a, self.b = a.kids[: self.m], b.kids[: self.n]
+        self.small = self.m * self.n <= SMALL
+        self.rows: dict[int, list[int] | np.ndarray] = {}  # by a child's sign: sizes of its matches with the distinct others of its kind
+        self.kinds: dict[str, tuple[dict[int, Fold], list[int], list[int]]] = {}  # distinct children, places, and which of them is there
+
+    def ask(self) -> Iterator[tuple[Fold, Fold]]:
+        """Yields the pairs of children whose sizes take tables of their own, and is sent the sizes."""
+        number: dict[int, int] = {}
+        wanted = {x.kind for x in self.a}
+        for j, y in enumerate(self.b):
+            if y.kind in wanted:
+                distinct, places, which = self.kinds.setdefault(y.kind, ({}, [], []))
+                if y.sign not in distinct:
+                    number[y.sign], distinct[y.sign] = len(distinct), y
+                places.append(j)
+                which.append(number[y.sign])
+        if not self.small:
+            self.kinds = {k: (d, np.array(p), np.array(w)) for k, (d, p, w) in self.kinds.items()}
+        for x in self.a:
+            if x.sign not in self.rows and x.kind in self.kinds:
+                row = []
+                for y in self.kinds[x.kind][0].values():
+                    row.append(x.count if x.sign == y.sign else 1 if not (x.kids and y.kids) else (yield x, y))
+                self.rows[x.sign] = row if self.small else np.array(row, np.int32)
+
+    def weights(self, i: int) -> list[int] | np.ndarray:
+        """Of child i with each of the others; 0 where kinds differ."""
+        x = self.a[i]
+        out = [0] * self.n if self.small else np.zeros(self.n, np.int32)
+        if x.kind in self.kinds:
+            _, places, which = self.kinds[x.kind]
+            row = self.rows[x.sign]
+            if self.small:
+                for j, k in zip(places, which, strict=True):
+                    out[j] = row[k]
+            else:
+                out[places] = row[which]
+        return out
+
+    def begin(self) -> list[int] | np.ndarray:
+        return [0] * (self.n + 1) if self.small else np.zeros(self.n + 1, np.int32)
+
+    def next(self, above: list[int] | np.ndarray, i: int) -> list[int] | np.ndarray:
+        w = self.weights(i)
+        if self.small:
+            best, out = 0, [0]
+            for j, v in enumerate(w):
+                best = max(best, above[j + 1], above[j] + v)
+                out.append(best)
+            return out
+        out = np.zeros(self.n + 1, np.int32)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=out[1:])
+        return out
+
+    def size(self) -> int:
+        row = self.begin()
+        for i in range(self.m if self.n else 0):
+            row = self.next(row, i)
+        return 1 + self.tail + int(row[-1])
+
+    def steps(self) -> list[tuple[int, int]]:
+        """Places of the children that the largest match pairs."""
+        out = [(self.end[0] - k, self.end[1] - k) for k in range(1, self.end[0] - self.m + 1)]
+        if not self.kinds:
+            return out
+        each = isqrt(self.m) + 1
+        row = self.begin()
+        kept = [row]
+        for i in range(self.m):
+            row = self.next(row, i)
+            if (i + 1) % each == 0:
+                kept.append(row)
+        i, j, low, block = self.m, self.n, self.m, []
+        seen, w = -1, []
+        while i and j:
+            if i <= low:  # rows low to i
+                low = (i - 1) // each * each
+                block = [kept[low // each]]
+                for r in range(low, i):
+                    block.append(self.next(block[-1], r))
+            if seen != i:
+                seen, w = i, self.weights(i - 1)
+            here, above = block[i - low], block[i - 1 - low]
+            if w[j - 1] and here[j] == above[j - 1] + w[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+
+def _filled(a: Fold, b: Fold, sizes: dict[tuple[int, int], int]) -> _Table:
+    """The table of two nodes; those below are filled first, without recursion."""
+    top = _Table(a, b)
+    todo = [((a.sign, b.sign), top, top.ask())]
+    size = None
+    while True:
+        key, table, asking = todo[-1]
+        try:
+            x, y = asking.send(size)
+        except StopIteration:
+            todo.pop()
+            if not todo:
+                return table
+            size = table.size()
+            if len(sizes) >= KEPT:
+                sizes.clear()
+            sizes[key] = size
+            continue
+        size = sizes.get((x.sign, y.sign))
+        if size is None:
+            below = _Table(x, y)
+            todo.append(((x.sign, y.sign), below, below.ask()))
+
+
 def match(a: Fold, b: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
-    """Simple tree matching of two folded trees: size and pairs of the largest match."""
+    """Simple tree matching of two folded trees, of any width and depth: size and pairs of the largest match."""
     if a.kind != b.kind:
         return 0, []
-    if a.sign == b.sign:
-        pairs, todo = [], [(a, b)]
-        while todo:
-            x, y = todo.pop()
-            pairs.append((x, y))
+    sizes: dict[tuple[int, int], int] = {}
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        if x.sign == y.sign:
             todo += zip(x.kids, y.kids, strict=True)
-        return len(pairs), pairs
-    m, n = len(a.kids), len(b.kids)
-    if m * n > WIDE:
-        return _greedy(a, b)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    inner = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            got = match(a.kids[i - 1], b.kids[j - 1])
-            inner[i, j] = got
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + got[0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if inner[i, j][0] and best[i][j] == best[i - 1][j - 1] + inner[i, j][0]:
-            pairs += inner[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n], pairs
-
-
-def _greedy(a: Fold, b: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
-    """For very wide nodes: each child in order meets the next child of its kind, instead of the best match of all."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b.kids):
-        places.setdefault(y.kind, []).append(j)
-    size, pairs, at = 1, [(a, b)], 0
-    for x in a.kids:
-        own = places.get(x.kind, [])
-        k = bisect_left(own, at)
-        if k < len(own):
-            got = match(x, b.kids[own[k]])
-            size, pairs, at = size + got[0], pairs + got[1], own[k] + 1
-    return size, pairs
+        elif x.kids and y.kids:
+            todo += [(x.kids[i], y.kids[j]) for i, j in _filled(x, y, sizes).steps()]
+    return len(pairs), pairs
 
 
 def align(tree: Node, reference: Fold | None) -> list[tuple[int, int, int, Node]]:
     """Slot, digest, length and element of each text of a page that may be content."""
-    top = Fold("", [tree])
+    top = fold(tree)
     found = {id(y): x.slot for x, y in match(reference, top)[1]} if reference else {}
     out, todo = [], [(top, -1)]
     while todo:
@@ -270,8 +383,8 @@ def align(tree: Node, reference: Fold | None) -> list[tuple[int, int, int, Node]
 
 def choose(pages: list[str]) -> Fold:
     """The page whose tree agrees best with the others'."""
-    folds = [Fold("", [parse(p)]) for p in pages]
-    sizes = [match(f, f)[0] for f in folds]
+    folds = [fold(parse(p)) for p in pages]
+    sizes = [f.count for f in folds]
     agree = [sum(2 * match(f, g)[0] / (m + n) for g, n in zip(folds, sizes, strict=True)) for f, m in zip(folds, sizes, strict=True)]
     return folds[max(range(len(folds)), key=lambda i: (agree[i], sizes[i]))]
 

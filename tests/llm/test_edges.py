@@ -300,6 +300,31 @@ def test_words_of_classes_inside_articles_are_read_whole():
     assert content(parse(page)) == "T\none\ntwo\nthree\nfour\nend"
 
 
+def test_wide_and_deep_pages_are_aligned_as_others():
+    import random
+
+    from kinfold.llm.html_extraction import align, fold, match, pack_fold, parse, unpack_fold
+
+    rng = random.Random(5)
+    for m, n in ((20, 30), (150, 200), (300, 100)):  # leaves: the largest match is a longest common subsequence of kinds
+        one, two = ([rng.choice("abc") for _ in range(k)] for k in (m, n))
+        a, b = (fold(parse("".join(f"<div class={c}>x</div>" for c in kinds))) for kinds in (one, two))
+        best = [[0] * (n + 1) for _ in range(m + 1)]
+        for i in range(m):
+            for j in range(n):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (one[i] == two[j]))
+        size, pairs = match(a, b)
+        assert size == len(pairs) == 1 + best[m][n]
+    deep = "<div>" * 300
+    assert len({slot for slot, *_ in align(parse(f"{deep}<h1>a</h1><p>b</p>"), None)}) == 2
+    # a block that all pages have last and most have first too hides nothing that stands between
+    body = lambda i: "".join(f"<h2>title {i} {j}</h2><p>story {i} {j}</p>" for j in range(80)) + "<div class=r>Site rights</div>" + f"<div class=z>end {i}</div>"
+    full = [parse("<div class=z>extra</div>" + body(i)) for i in range(3)]
+    reference = unpack_fold(pack_fold(fold(full[0])))
+    slots = [{slot for slot, _, _, node in align(page, reference) if node.kids == ["Site rights"]} for page in (*full, parse(body(4)))]
+    assert len(slots[0]) == 1 and all(s == slots[0] for s in slots)
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 64])
 def test_extraction_does_not_depend_on_partitions(spark, partitions):
     from kinfold.llm.html_extraction import extract
