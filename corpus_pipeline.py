@@ -67,7 +67,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return pack(_sized(docs), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 STAGES = [("quality", quality), ("near_duplicates", dedup), ("decontamination", decontaminate), ("secrets", secrets), ("packing", packing)]

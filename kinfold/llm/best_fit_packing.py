@@ -6,7 +6,8 @@ cached, which gives the same ids; added tokens (such as an end of text) are foun
 by hash into shards of about ``shard`` pieces.  Each shard is solved on several *islands*: a population of groupings,
 begun by randomised best-fit decreasing; crossover injects the best-filled bins of one parent into another, drops the
 bins that hold the same pieces, and best-fits the displaced ones.  Between epochs each island's best grouping migrates to
-the next island.  A shard stops as soon as it reaches the lower bound ceil(total / capacity).  The last, badly filled bins
+the next island.  A shard stops as soon as it reaches the lower bound ceil(total / capacity), and once every island of every shard has,
+there is no further epoch.  The last, badly filled bins
 of all shards are dissolved and packed once more together.
 
 Defined cases: null and empty texts are one end id; rows without a doc_id take no part; repeated rows give repeated
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import stored, texts
+from kinfold.llm._base import counted, sized, stored, texts
 from kinfold.llm._words import LOWER, SPACE, chunks, hash_runs, record_batch
 
 #: Kinds of bytes, after lower-casing: the tokenizer's splitting (letters, single digits, other characters) always parts
@@ -239,7 +240,7 @@ def _unlabel(blob: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(lab[order])) + 1)] if len(lab) else []
 
 
-_ELITE = "shard long, island int, n_bins int, fit double, grouping binary"
+_ELITE = "shard long, island int, n_bins int, bound int, fit double, grouping binary"
 
 
 def _island(capacity: int, population: int, generations: int, epoch: int):
@@ -250,7 +251,7 @@ def _island(capacity: int, population: int, generations: int, epoch: int):
         start = [_unlabel(x) for x in elites["grouping"].to_pylist()]
         best = s.evolve(start, population, generations) if items.num_rows else []
         n, fit = s.fitness(best) if best else (0, 0.0)
-        return pa.table({"shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "n_bins": pa.array([n], pa.int32()), "fit": pa.array([fit], pa.float64()), "grouping": pa.array([_labels(best, items.num_rows)], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "n_bins": pa.array([n], pa.int32()), "bound": pa.array([s.bound], pa.int32()), "fit": pa.array([fit], pa.float64()), "grouping": pa.array([_labels(best, items.num_rows)], pa.binary())})
 
     return run
 
@@ -290,7 +291,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard: int, islands: int, epoc
             moved = elites.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
             elites = elites.unionByName(moved) if islands > 1 else elites
         elites = spread.groupBy("shard", "island").cogroup(elites.groupBy("shard", "island")).applyInArrow(_island(capacity, population, generations, epoch), _ELITE)
-        elites = stored(elites, "elites")
+        elites, seen = counted(sized(elites, n), "elites", open=F.count_if(F.col("n_bins") > F.col("bound")))
+        if not seen["open"]:
+            break
     return items.groupBy("shard").cogroup(elites.groupBy("shard")).applyInArrow(_lay_out(level), _OUT)
 
 
@@ -299,7 +302,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     docs = texts(docs, key, text)
     pieces = stored(docs.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     options = {"capacity": capacity, "shard": shard, "islands": islands, "epochs": epochs, "population": population, "generations": generations}
-    out = stored(pack_pieces(pieces, **options), "packed")
+    out = stored(sized(pack_pieces(pieces, **options), pieces.count()), "packed")
     bad = F.col("fill") < poor * capacity
     again = pack_pieces(out.where(bad).drop("sequence_id", "offset", "fill"), **options, level=1)
     return out.where(~bad).unionByName(again).drop("fill")

@@ -320,6 +320,21 @@ def test_elites_migrate(spark):
     assert len(got) == 120 and max(fill.values()) <= 500 and 40 <= len(fill) <= 46
 
 
+@pytest.mark.parametrize(("length", "epochs"), [(100, 1), (300, 3)])
+def test_no_epochs_beyond_the_bound(spark, monkeypatch, length, epochs):
+    """Islands that have reached the lower bound aren't run and written again; others are (no two pieces of 300 share a bin of 500)."""
+    from kinfold.llm import best_fit_packing as packing
+
+    written = []
+    for name in ("stored", "counted"):
+        plain = getattr(packing, name)
+        monkeypatch.setattr(packing, name, lambda df, table, f=plain, **b: written.append(table) or f(df, table, **b))
+    pieces = spark.createDataFrame([(i, 0, 0, length, 0) for i in range(60)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack_pieces(pieces, 500, 1000, 2, 3, 4, 5).collect()
+    assert len({r["doc_id"] for r in got}) == 60 and len({r["sequence_id"] for r in got}) == (12 if length == 100 else 60)
+    assert written == ["elites"] * epochs
+
+
 def test_pipeline_against_plain_stages(spark):
     """Each stage on its own input: what goes is what a plain version says."""
     import corpus_pipeline
